@@ -1,0 +1,31 @@
+"""Joining a large table to a side that is expected, but not known, to be small."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 20_000
+
+
+def join_counted(
+    big: DataFrame,
+    small: DataFrame,
+    on: str | Sequence[str],
+    how: str = "left",
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Join after counting ``small``: broadcast within ``max_rows``, else by shuffle.
+
+    ``small`` is computed once. Within the bound its rows become a local table
+    that is broadcast, so ``big`` is never shuffled and a key that holds a large
+    share of it does no harm. Past the bound it is an ordinary join, whose
+    skewed partitions adaptive execution splits.
+    """
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return big.join(small, on, how)
+    local = big.sparkSession.createDataFrame(rows, small.schema)
+    return big.join(F.broadcast(local), on, how)
