@@ -59,7 +59,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFr
 
 def pivot_count(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
     """Row counts with one column per listed value, empty cells 0."""
-    return df.groupBy(*rows).pivot(column, list(values)).agg(F.count("*")).fillna(0, subset=list(values))
+    return df.groupBy(*rows).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0, subset=list(values))
 
 
 def pivot_sum(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[str], amount: str) -> DataFrame:
