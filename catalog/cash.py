@@ -8,6 +8,7 @@ from girder.functions.exprs import month_start
 from girder.operators import schedule, summaries, timeline
 from girder.plans import cash
 from girder.plans import views as plans
+from girder.plans.operations import cash_horizon, compare_scenarios
 from girder.sources import standins as src
 
 
@@ -175,8 +176,6 @@ FROM case_months FULL OUTER JOIN out_months USING (month_str) WINDOW w AS (ORDER
 )
 def delayed_receipts_scenario(spark: SparkSession, sf: str) -> DataFrame:
     """Cash balance if every overdue receipt arrives three months later than planned."""
-    from girder.plans.operations import compare_scenarios
-
     receipts = src.cash_in(spark, sf)
     costs = src.cost_records(spark, sf, ("amount_kpy", "status", "payment_due_month"))
     return compare_scenarios(receipts, schedule.delay_receipts(receipts, 3, status="遅延"), costs)
@@ -187,8 +186,6 @@ def delayed_receipts_scenario(spark: SparkSession, sf: str) -> DataFrame:
     "cashflow",
 )
 def six_month_cash_plan(spark: SparkSession, sf: str) -> DataFrame:
-    from girder.plans.operations import cash_horizon
-
     flow = plans.cashflow_forecast(
         src.cash_in(spark, sf), src.cost_records(spark, sf, ("amount_kpy", "status", "payment_due_month"))
     )

@@ -124,7 +124,7 @@ def costs_from_lines(lines: DataFrame, part: DataFrame, columns: Sequence[str] =
         "payment_due_month": lambda: month_key(F.add_months(day, 1)),
         "vendor_name": lambda: F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")),
         "input_timestamp": lambda: F.col("l_shipdate").cast("timestamp_ntz"),
-        "line_number": lambda: F.col("l_linenumber"),
+        "certainty": lambda: F.when(F.col("l_linenumber") % 3 == 0, "高").when(F.col("l_linenumber") % 3 == 1, "中").otherwise("低"),
     }
     return df.select(*[exprs[c]().alias(c) for c in columns])
 
@@ -260,6 +260,29 @@ def external_factors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def headcount(spark: SparkSession, folder: str) -> DataFrame:
+    """Employees per month: the customers ordering in it."""
+    orders = source(spark, folder, "orders")
+    return orders.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("sales_month")).agg(
+        F.countDistinct("o_custkey").alias("employees")
+    )
+
+
+def acquisition_costs(spark: SparkSession, folder: str) -> DataFrame:
+    return saas(spark, folder).select("product", "month", (F.col("expansion_mrr_kpy") + 1000).alias("cac_kpy"))
+
+
+def program_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost and effect entries of programmes, one per event."""
+    return source(spark, folder, "events").select(
+        F.col("event_type").alias("program"),
+        _event_month("1996-01-01").alias("month"),
+        F.when(F.col("value") < 10, "cost").otherwise("effect").alias("metric"),
+        F.col("user_id").alias("participant"),
+        cents("value").alias("amount_kpy"),
+    )
+
+
 def all_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {
         "projects_master": projects(spark, folder),
