@@ -11,7 +11,7 @@ from girder.models import arima, attribution, boosted, features, forest
 from girder.operators.timeline import active_projects, month_axis, on_axis
 from girder.plans import cash, documents
 from girder.plans.operations import season_index
-from girder.session import scratch_path
+from girder.session import scratch_path, settle
 from girder.sources import sinks
 from girder.sources import standins as src
 
@@ -250,13 +250,11 @@ def cash_alerts(spark: SparkSession, sf: str) -> DataFrame:
 def area_cash(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly cash frame of every area.
 
-    Receipts and costs are summed per project and month before they meet the
-    project table, so no single project weighs on the join.
+    Costs are summed per project, month and category before they meet the project
+    table, so no single project weighs on the join. Receipts are a few per project.
     """
     area = src.projects(spark, sf, ("project_id", "area_name"))
-    receipts = src.cash_in(spark, sf).groupBy("project_id", "deposit_month").agg(
-        F.sum("expected_amount_kpy").alias("expected_amount_kpy")
-    )
+    receipts = src.cash_in(spark, sf)
     costs = src.cost_records(spark, sf, ("project_id", "payment_due_month", "category", "amount_kpy"))
     paid = costs.groupBy("project_id", "payment_due_month", "category").agg(F.sum("amount_kpy").alias("amount_kpy"))
     return cash.monthly_cash(receipts.join(area, "project_id"), paid.join(area, "project_id"), by=["area_name"])
@@ -266,7 +264,7 @@ def area_cash(spark: SparkSession, sf: str) -> DataFrame:
 def area_cash_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """Anomalies over the months of all areas, with season and activity as features."""
     by = ["area_name"]
-    frame = area_cash(spark, sf)
+    frame = settle(area_cash(spark, sf))
     running = active_projects(
         src.projects(spark, sf, ("area_name", "start_date", "end_date")), frame.select("area_name", "month"), by=by
     )
@@ -291,7 +289,7 @@ def cash_flow_outlook(spark: SparkSession, sf: str) -> DataFrame:
 def area_cash_outlook(spark: SparkSession, sf: str) -> DataFrame:
     """Six-month outlook of each area on a gap-free month axis."""
     by = ["area_name"]
-    frame = area_cash(spark, sf).select("area_name", "month", "net_cashflow")
+    frame = settle(area_cash(spark, sf).select("area_name", "month", "net_cashflow"))
     full = on_axis(frame, month_axis(frame, by=by), ["net_cashflow"], by=by)
     return arima.forecast(full, "net_cashflow", by=by)
 

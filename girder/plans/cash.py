@@ -20,15 +20,15 @@ def monthly_cash(cash_in: DataFrame, costs: DataFrame, by: Sequence[str] = ()) -
     ``by`` names series columns both tables have. The concentration index comes
     from the same aggregate as the outflow and is NULL in a month without costs.
     """
-    inflow = cash_in.groupBy(*by, month_start("deposit_month").alias("month")).agg(
+    inflow = cash_in.groupBy(*by, F.col("deposit_month").alias("month")).agg(
         F.sum("expected_amount_kpy").alias("inflow")
     )
-    dated = costs.select(*by, month_start("payment_due_month").alias("month"), "category", "amount_kpy")
+    dated = costs.withColumnRenamed("payment_due_month", "month")
     outflow = concentration(dated, [*by, "month"], "category", "amount_kpy").withColumnRenamed("total", "outflow")
     net = F.col("net_cashflow")
     return (
         inflow.join(outflow, [*by, "month"], "full")
-        .withColumns({"inflow": zero("inflow"), "outflow": zero("outflow")})
+        .withColumns({"month": month_start("month"), "inflow": zero("inflow"), "outflow": zero("outflow")})
         .withColumn("net_cashflow", F.col("inflow") - F.col("outflow"))
         .withColumn("cumulative_cashflow", running_total(net, by_time("month", by)))
         .select(*by, "month", "inflow", "outflow", "net_cashflow", "cumulative_cashflow", "hhi")

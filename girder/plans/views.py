@@ -17,6 +17,7 @@ from girder.functions.exprs import (
     count_where,
     label_by_rules,
     month_diff,
+    month_key,
     month_start,
     pct,
     safe_div,
@@ -63,10 +64,9 @@ def project_costs(costs: DataFrame, terms: CostTerms = TERMS) -> DataFrame:
     )
 
 
-def _monthly(df: DataFrame, month: str | Column, **measures: Column) -> DataFrame:
-    """Rows reduced to a month and the measures they feed; a NULL month joins nothing."""
-    day = month_start(month) if isinstance(month, str) else month
-    return df.select(day.alias("month"), *[m.alias(k) for k, m in measures.items()]).filter(
+def _monthly(df: DataFrame, month: str, **measures: Column) -> DataFrame:
+    """Rows reduced to a ``YYYY-MM`` month and the measures they feed; a NULL month joins nothing."""
+    return df.select(F.col(month).alias("month"), *[m.alias(k) for k, m in measures.items()]).filter(
         F.col("month").isNotNull()
     )
 
@@ -84,15 +84,17 @@ def company_dashboard(
     """Company sales, forecast, margin, running projects and cash by month.
 
     All sources are stacked and grouped once, so each row meets one shuffle of
-    partial sums instead of a chain of joins. The rows are the months with
-    receipts; ``spine="all"`` keeps every month any source has.
+    partial sums instead of a chain of joins. Months stay text until they are
+    grouped. The rows are the months with receipts; ``spine="all"`` keeps every
+    month any source has.
     """
+    moves = activity_changes(projects).groupBy("month").agg(F.sum("delta").alias("delta"))
     stacked = [
         _monthly(cash_in, "deposit_month", inflow=F.col("expected_amount_kpy"), is_cash=F.lit(1)),
         _monthly(costs, cost_month, outflow=F.col("amount_kpy")),
         _monthly(facilities, "month", facility=F.col("revenue_kpy")),
         _monthly(saas, "month", mrr=F.col("mrr_kpy")),
-        _monthly(activity_changes(projects), F.col("month"), delta=F.col("delta")),
+        moves.select(month_key("month").alias("month"), "delta"),
     ]
     rows = stacked[0]
     for part in stacked[1:]:
@@ -111,7 +113,7 @@ def company_dashboard(
         monthly.withColumn("total_sales", sales)
         .withColumn("total_cost", zero("outflow"))
         .select(
-            F.col("month").alias("sales_month"),
+            month_start("month").alias("sales_month"),
             "total_sales",
             zero("inflow").alias("actual_sales"),
             to_int(trailing_mean("total_sales", w)).alias("forecast_sales"),

@@ -28,3 +28,23 @@ def test_flagship_matches_its_sql(spark, sf):
     got = df.toPandas().sort_values("project_id")
     for c in ("total_cost_kpy", "gross_profit", "effective_cost_rate", "risk_level"):
         assert got[c].tolist() == want[c].tolist()
+
+
+def test_python_workers_need_no_copy_of_the_package(tmp_path):
+    """Python functions run where the package is not importable."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).resolve().parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from girder.models import forest
+from girder.session import build_session
+spark = build_session(master="local[2]", shuffle_partitions=2, **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path / 'c')!r}}})
+df = spark.range(40).selectExpr("id", "cast(id % 7 as double) a", "if(id = 3, 99D, 1D) b")
+print("rows", forest.detect(df, ["id"], ["a", "b"], trees=5).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "rows 40" in done.stdout, done.stderr[-2000:]
