@@ -8,6 +8,7 @@ from catalog.registry import query
 from girder.operators.quality import quality_report
 from girder.plans import documents
 from girder.plans import operations as ops
+from girder.session import settle
 from girder.sources import standins as src
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
@@ -415,12 +416,13 @@ KPI_USES = "dashboard cost_summary cashflow properties facilities saas cash_in"
 
 
 def kpi(spark: SparkSession, sf: str) -> DataFrame:
+    # The monthly results are small and read for several blocks.
     return documents.kpi_document(
         KPI_MONTH,
         v.dashboard(spark, sf),
         business(spark, sf),
         v.cost_summary(spark, sf),
-        v.cashflow(spark, sf),
+        settle(v.cashflow(spark, sf)),
         src.saas(spark, sf),
         src.facilities(spark, sf),
     )

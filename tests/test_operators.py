@@ -143,6 +143,19 @@ def test_dated_table_keeps_other_days(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [2, 3]
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left = spark.range(1000).withColumn("v", F.col("id") * 2)
+    for name in ("bucketed_a", "bucketed_b"):
+        sinks.write_bucketed(left, name, "id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucketed_a").join(spark.table("bucketed_b"), "id")
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_payload_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert json.loads(sinks.to_payload(df).first()["payload"]) == {"a": 1, "b": None}
