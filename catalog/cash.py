@@ -9,6 +9,7 @@ from girder.operators import schedule, summaries, timeline
 from girder.plans import cash
 from girder.plans import views as plans
 from girder.plans.operations import cash_horizon, compare_scenarios
+from girder.session import settle
 from girder.sources import standins as src
 
 
@@ -82,7 +83,7 @@ def outflow_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def z_scored(spark: SparkSession, sf: str) -> DataFrame:
-    features = cash.cash_features(cash_frame(spark, sf))
+    features = settle(cash.cash_features(cash_frame(spark, sf)))
     z = F.abs("net_cashflow_z")
     return (
         summaries.standardize(features, ["net_cashflow"])
@@ -123,7 +124,7 @@ def flagged_month_details(spark: SparkSession, sf: str) -> DataFrame:
     FEATURES,
 )
 def standardized_cash(spark: SparkSession, sf: str) -> DataFrame:
-    features = cash.cash_features(cash_frame(spark, sf))
+    features = settle(cash.cash_features(cash_frame(spark, sf)))
     z = summaries.standardize(features, ["net_cashflow", "mom_change"])
     return z.select("month", *[F.round(c, 6).alias(c) for c in ("net_cashflow_z", "mom_change_z")])
 

@@ -145,8 +145,7 @@ def budget_against_actual(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT pm_name, CAST(sum(gross_profit) AS BIGINT) AS gross_profit,
-  CAST(rank() OVER (ORDER BY sum(gross_profit) DESC) AS INTEGER) AS profit_rank FROM cost_summary GROUP BY 1""",
+    "SELECT pm_name, CAST(sum(gross_profit) AS BIGINT) AS gross_profit FROM cost_summary GROUP BY 1",
     "cost_summary",
 )
 def manager_ranking(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions.exprs import safe_div
@@ -21,15 +21,19 @@ def share_of_total(
 ) -> DataFrame:
     """Aggregate per key with its percentage of the total, or of the total in ``within``.
 
-    The grand total is a scalar subquery over the same aggregate, whose shuffle
-    Spark reuses; no task receives all groups.
+    Totals are taken from the same aggregate, whose shuffle Spark reuses, as a
+    scalar subquery or a join; no task receives all groups of a total.
     """
     grouped = df.groupBy(*within, *keys).agg(value.alias(name))
-    if within:
-        total = F.sum(name).over(Window.partitionBy(*within))
-    else:
+    if not within:
         total = grouped.agg(F.sum(name)).scalar()
-    return grouped.withColumn("share_pct", safe_div(F.col(name), total) * 100)
+        return grouped.withColumn("share_pct", safe_div(F.col(name), total) * 100)
+    totals = grouped.groupBy(*within).agg(F.sum(name).alias("_total"))
+    return (
+        grouped.join(totals, list(within))
+        .withColumn("share_pct", safe_div(F.col(name), F.col("_total")) * 100)
+        .drop("_total")
+    )
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.functions.exprs import (
@@ -323,12 +323,16 @@ def earned_value_months(projects: DataFrame, costs: DataFrame, month: str = "acc
     proportion to the cost booked in each; a project without cost earns in its
     starting month.
     """
-    booked = costs.groupBy("project_id", F.col(month).alias("month")).agg(F.sum("amount_kpy").alias("cost"))
-    totals = booked.groupBy("project_id").agg(F.sum("cost").alias("total"))
+    whole = Window.partitionBy("project_id")
+    booked = (
+        costs.groupBy("project_id", F.col(month).alias("month"))
+        .agg(F.sum("amount_kpy").alias("cost"))
+        .withColumn("total", F.sum("cost").over(whole))
+    )
     earned = (F.col("contract_amount_kpy") * F.col("progress_rate") / 100).alias("earned")
     base = projects.select("project_id", earned, F.date_format("start_date", "yyyy-MM").alias("start_month"))
     share = F.coalesce(safe_div("cost", "total"), F.lit(1.0))
-    rows = base.join(totals, "project_id", "left").join(booked, "project_id", "left")
+    rows = base.join(booked, "project_id", "left")
     return (
         rows.select(
             F.coalesce("month", "start_month").alias("month"),

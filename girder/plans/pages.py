@@ -6,7 +6,7 @@ moves them below the aggregates where the column allows it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions.exprs import safe_div
@@ -130,7 +130,6 @@ def project_table(summary: DataFrame, rows: int | None = 15) -> DataFrame:
 
 def progress_scatter(summary: DataFrame) -> DataFrame:
     """Progress against cost rate by project name, with the mean target as reference line."""
-    reference = summary.agg(F.avg("target_cost_rate")).scalar()
     points = chart(
         summary,
         ["project_name", "risk_level"],
@@ -138,9 +137,13 @@ def progress_scatter(summary: DataFrame) -> DataFrame:
             "progress_rate": ("avg", "progress_rate"),
             "effective_cost_rate": ("avg", "effective_cost_rate"),
             "contract_amount_kpy": ("sum", "contract_amount_kpy"),
+            "_targets": ("sum", "target_cost_rate"),
+            "_known": ("count", "target_cost_rate"),
         },
     )
-    return points.withColumn("target_reference", reference)
+    # Read off the grouped points, whose shuffle Spark reuses, and not off the view again.
+    reference = points.agg(safe_div(F.sum("_targets"), F.sum("_known"))).scalar()
+    return points.withColumn("target_reference", reference).drop("_targets", "_known")
 
 
 def category_donut(detail: DataFrame) -> DataFrame:
@@ -156,9 +159,10 @@ def budget_against_actual(detail: DataFrame) -> DataFrame:
 
 
 def manager_ranking(summary: DataFrame) -> DataFrame:
-    """Gross profit per project manager with its rank."""
-    totals = chart(summary, ["pm_name"], {"gross_profit": ("sum", "gross_profit")})
-    return totals.withColumn("profit_rank", F.rank().over(Window.orderBy(F.desc("gross_profit"))))
+    """Gross profit per project manager, the largest first."""
+    return chart(summary, ["pm_name"], {"gross_profit": ("sum", "gross_profit")}).orderBy(
+        F.desc("gross_profit"), "pm_name"
+    )
 
 
 # Page 4 over the cash-flow forecast.
