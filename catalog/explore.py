@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.definitions import RATE, div
 from catalog.registry import query
@@ -45,7 +46,9 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Projects written as CSV with a byte-order mark and read back under the fixed schema."""
     path = scratch_path(spark, "projects-csv")
     sinks.write_csv(src.projects(spark, sf), path, byte_order_mark=True)
-    return tables.read_csv(spark, path, schemas.PROJECTS)
+    dates = ("start_date", "end_date")
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in dates else f for f in schemas.PROJECTS])
+    return x.parse_dates(tables.read_csv(spark, path, as_text), dates)
 
 
 @query(

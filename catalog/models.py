@@ -260,6 +260,22 @@ def area_cash(spark: SparkSession, sf: str) -> DataFrame:
     return cash.monthly_cash(receipts.join(area, "project_id"), paid.join(area, "project_id"), by=["area_name"])
 
 
+AREA_CASH = """paid AS (SELECT area_name, CAST(payment_due_month || '-01' AS DATE) AS month, category, CAST(sum(amount_kpy) AS BIGINT) AS part
+  FROM costs JOIN projects USING (project_id) GROUP BY ALL)"""
+
+
+@query(
+    """SELECT area_name, month, COALESCE(inflow, 0) AS inflow, COALESCE(outflow, 0) AS outflow, COALESCE(inflow, 0) - COALESCE(outflow, 0) AS net_cashflow,
+  CAST(sum(COALESCE(inflow, 0) - COALESCE(outflow, 0)) OVER (PARTITION BY area_name ORDER BY month) AS BIGINT) AS cumulative_cashflow, round(hhi, 8) AS hhi
+FROM (SELECT area_name, CAST(deposit_month || '-01' AS DATE) AS month, CAST(sum(expected_amount_kpy) AS BIGINT) AS inflow FROM cash_in JOIN projects USING (project_id) GROUP BY ALL)
+FULL OUTER JOIN (SELECT area_name, month, CAST(sum(part) AS BIGINT) AS outflow, sum(CAST(part AS DOUBLE) ** 2) / CAST(sum(part) AS DOUBLE) ** 2 AS hhi FROM paid GROUP BY ALL) USING (area_name, month)""",
+    "cash_in costs projects",
+    AREA_CASH,
+)
+def area_monthly_cash(spark: SparkSession, sf: str) -> DataFrame:
+    return area_cash(spark, sf).withColumn("hhi", F.round("hhi", 8))
+
+
 @query()
 def area_cash_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """Anomalies over the months of all areas, with season and activity as features."""
