@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints of results no longer referenced are deleted.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Running totals keep a row of state per key for good; RocksDB holds it off the heap.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Spares a stack inspection per column expression while a plan is built.
