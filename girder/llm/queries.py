@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import language, lines, mixture
+from girder.llm import fuzzy, language, lines, mixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,3 +43,9 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder).select("doc_id", "text"), min_docs=10, min_chars=1)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+@query
+def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    return fuzzy.compare_neighbours(table(spark, folder).select("doc_id", "text"))
