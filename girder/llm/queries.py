@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import fuzzy, language, lines, mixture
+from girder.llm import fuzzy, jaccard, language, lines, mixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,3 +49,9 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and their likeness."""
     return fuzzy.compare_neighbours(table(spark, folder).select("doc_id", "text"))
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of 85 % Jaccard similarity on 4-word shingles."""
+    return jaccard.similar_components(table(spark, folder).select("doc_id", "text"), size=4, percent=85)
