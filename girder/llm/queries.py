@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import fuzzy, jaccard, language, lines, mixture
+from girder.llm import fuzzy, jaccard, language, lines, mixture, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,3 +55,11 @@ def op6_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of 85 % Jaccard similarity on 4-word shingles."""
     return jaccard.similar_components(table(spark, folder).select("doc_id", "text"), size=4, percent=85)
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document left after removing 50-byte strings that start in a smaller doc_id too."""
+    kept = repeats.drop_repeats(table(spark, folder).select("doc_id", "text"), length=50)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return kept.select("doc_id", size.alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
