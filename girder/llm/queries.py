@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import fuzzy, jaccard, language, lines, mixture, repeats
+from girder.llm import fuzzy, jaccard, language, lines, mixture, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, and the weak candidates that complete each other."""
+    found = secrets.scan(table(spark, folder).select("doc_id", "text"))
+    counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    digest = F.sha2(secrets.listing(F.col("base")), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
+
+
 @query
 def op2_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of the sources to target weights takes of every document."""
