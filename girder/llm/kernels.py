@@ -47,7 +47,9 @@ def powers(n: int, base: int) -> np.ndarray:
 class WordHasher:
     """Hashes of the words of texts: runs of bytes other than space and \\x09-\\x0D, A-Z as a-z."""
 
-    def __init__(self) -> None:
+    def __init__(self, beginnings: tuple[int, ...] = ()) -> None:
+        """With ``beginnings``, also hashes of the first so many bytes of each word; 0 for a shorter word."""
+        self.beginnings = beginnings
         self.spaces = space_table()
         self.values = byte_values()
         self.up = powers(PIECE, BASE)
@@ -86,11 +88,17 @@ class WordHasher:
         sums = np.zeros(len(joined) + 1, np.uint64)
         np.cumsum(self.values[joined] * self.up[: len(joined)], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
+        if self.beginnings:
+            rows = [hashes]
+            for n in self.beginnings:
+                first = mix((sums[np.minimum(starts + n, ends)] - sums[starts]) * self.down[starts] + np.uint64(n << 32))
+                rows.append(np.where(ends - starts >= n, first, np.uint64(0)))
+            hashes = np.stack(rows)
         bounds = np.cumsum([len(p) + 1 for p in pieces])
         return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All word hashes in order, and how many each text has."""
+        """All word hashes in order (with beginnings: a row for each kind), and how many each text has."""
         counts = np.zeros(len(texts), np.int64)
         found: list[np.ndarray] = []
         owners: list[int] = []
@@ -113,7 +121,9 @@ class WordHasher:
                 pieces.append(piece)
                 size += len(piece)
         flush()
-        return (np.concatenate(found) if found else np.zeros(0, np.uint64)), counts
+        if not found:
+            found = [np.zeros((1 + len(self.beginnings), 0) if self.beginnings else 0, np.uint64)]
+        return np.concatenate(found, axis=-1), counts
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import fuzzy, jaccard, language, lines, mixture, repeats, secrets
+from girder.llm import fuzzy, jaccard, language, lines, mixture, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -72,3 +72,10 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeats.drop_repeats(table(spark, folder).select("doc_id", "text"), length=50)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return kept.select("doc_id", size.alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance of junk and of abuse, quality, and whether to keep every document."""
+    docs = table(spark, folder).select("doc_id", "text")
+    return quality.classify(docs, table(spark, folder, "labels").select("doc_id", "toxic")).drop("text")
