@@ -71,3 +71,25 @@ FROM keyed k LEFT JOIN shared s ON k.line_key = s.line_key GROUP BY doc_id
 
 ORACLES["op2_source_mixture"] = mixture_sql()
 ORACLES["op9_line_dedup"] = lines_sql()
+
+
+def containment_sql(docs: str = "documents", items: str = "benchmark", percent: int = 80, size: int = 5) -> str:
+    """Brute force over exact shingles: every item against every document that shares one."""
+
+    def tokens(name: str, key: str) -> str:
+        joined = " || ' ' || ".join(["words[place]"] + [f"words[place + {k}]" for k in range(1, size)])
+        return f"""
+  SELECT DISTINCT {key}, CASE WHEN len(words) < {size} THEN array_to_string(words, ' ') ELSE {joined} END AS token
+  FROM (SELECT {key}, words, unnest(range(1, greatest(len(words) - {size - 1}, 1) + 1)) AS place
+        FROM (SELECT {key}, regexp_extract_all(lower(text), '{WORD}') AS words FROM {name} WHERE text IS NOT NULL AND {key} IS NOT NULL) WHERE len(words) > 0)"""
+
+    return f"""
+WITH d AS ({tokens(docs, 'doc_id')}), i AS ({tokens(items, 'item_id')}),
+sizes AS (SELECT item_id, count(*)::BIGINT AS item_size FROM i GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*)::BIGINT AS shared FROM i JOIN d USING (token) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_size, shared, shared / item_size AS containment
+FROM shared JOIN sizes USING (item_id) WHERE shared * 100 >= item_size * {percent}
+"""
+
+
+ORACLES["op10_benchmark_decontamination"] = containment_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import fuzzy, jaccard, language, lines, mixture, quality, repeats, secrets
+from girder.llm import decontaminate, fuzzy, jaccard, language, lines, mixture, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,3 +79,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Chance of junk and of abuse, quality, and whether to keep every document."""
     docs = table(spark, folder).select("doc_id", "text")
     return quality.classify(docs, table(spark, folder, "labels").select("doc_id", "toxic")).drop("text")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold four fifths or more of a benchmark item's 5-word shingles."""
+    docs = table(spark, folder).select("doc_id", "text")
+    return decontaminate.contained(docs, table(spark, folder, "benchmark").select("item_id", "text"))
