@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from girder.llm.licenses import TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,3 +95,12 @@ FROM shared JOIN sizes USING (item_id) WHERE shared * 100 >= item_size * {percen
 
 
 ORACLES["op10_benchmark_decontamination"] = containment_sql()
+
+
+def license_sql(docs: str = "documents", percent: int = 80) -> str:
+    values = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in TEMPLATES.items())
+    found = containment_sql(docs, "templates", percent).replace("WITH d AS", f"WITH templates(item_id, text) AS (VALUES {values}), d AS", 1)
+    return f"SELECT doc_id, item_id AS license, item_size AS template_size, shared, containment FROM ({found})"
+
+
+ORACLES["op7_license_scan"] = license_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import decontaminate, fuzzy, jaccard, language, lines, mixture, quality, repeats, secrets
+from girder.llm import decontaminate, fuzzy, jaccard, language, licenses, lines, mixture, quality, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,3 +86,10 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     """Documents that hold four fifths or more of a benchmark item's 5-word shingles."""
     docs = table(spark, folder).select("doc_id", "text")
     return decontaminate.contained(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License texts and notices found in every document."""
+    found = licenses.scan(table(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", "license", "template_size", "shared", "containment")
