@@ -105,5 +105,4 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, size: int =
 def clean(docs: DataFrame, items: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents that contain an item."""
     hits = settle(contained(docs, items, percent, size).select("doc_id").distinct())
-    small = hits.count() <= BROADCAST_ROWS
-    return docs.join(_maybe_broadcast(hits, small), "doc_id", "left_anti")
+    return rows_of_ids(docs, hits, keep=False)

@@ -4,6 +4,7 @@ Every string of ``length`` bytes has an anchor: the place in it whose
 GRAM bytes have the least hash. Equal strings have equal anchors, so only
 texts around anchors that two documents share need to be compared.
 
+0. Documents whose whole text stands in an earlier one are settled by a digest.
 1. Each task lists the anchors of its documents, packed by the leading bits
    of their hashes; one task per pack finds those of two or more documents.
 2. Documents with shared anchors give the text around each: the segment that
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.kernels import BASE, byte_values, mix, text_bytes
-from girder.llm.scratch import scratch
+from girder.llm.scratch import rows_of_ids
 from girder.llm.suffixes import suffix_arrays
 from girder.session import settle
 
@@ -228,6 +229,9 @@ def _segments(length: int, bits: int, hot_anchors):
         anchors = Anchors(length)
         hot = hot_anchors.value
         for batch in batches:
+            batch = batch.filter(batch.column("anchors").is_valid())
+            if not batch.num_rows:
+                continue
             ids = batch.column("doc_id").to_numpy()
             texts = text_bytes(batch.column("text"))
             wanted = batch.column("anchors")
@@ -453,29 +457,54 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def covered_ranges(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, end): byte ranges of ``docs`` covered by strings that also start in a smaller doc_id."""
-    spark = docs.sparkSession
-    texts = docs.where("doc_id is not null and octet_length(text) >= %d" % length).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id of documents whose whole text is that of a smaller doc_id."""
+    texts = docs.select("doc_id", F.md5("text").alias("digest")).where("doc_id is not null and digest is not null")
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return texts.join(first, "digest").where("doc_id > first").select("doc_id").distinct()
+
+
+def covered_ranges(texts: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
+    """(doc_id, start, end): byte ranges of ``texts`` (doc_id, text) covered by strings that start in a smaller doc_id too."""
+    spark = texts.sparkSession
+    long_enough = texts.where(f"doc_id is not null and octet_length(text) >= {length}")
+    total = long_enough.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(total // PACK_BYTES).bit_length())
-    packed = texts.mapInArrow(_pack(length, bits), PACKED)
-    with scratch(spark) as store:
-        shared = store(packed.repartition("pack").sortWithinPartitions("pack").mapInArrow(_shared(hot), "doc_id long, anchor long, hot boolean"))
-        # Few by definition: at most one for every ``hot`` entries of documents.
-        hot_anchors = {r["anchor"] for r in shared.where("hot").select("anchor").distinct().collect()}
-        wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        hot_sent = spark.sparkContext.broadcast(hot_anchors)
-        segments = texts.join(wanted, "doc_id").mapInArrow(
-            _segments(length, bits, hot_sent), "anchor long, first long, docs array<long>, starts array<int>, segment binary"
-        )
-        met = segments.repartition("anchor").sortWithinPartitions("anchor", "first")
-        return settle(met.mapInArrow(_covered(length), "doc_id long, start long, end long"))
+    packed = long_enough.mapInArrow(_pack(length, bits), PACKED)
+    shared = packed.repartition("pack").sortWithinPartitions("pack").mapInArrow(_shared(hot), "doc_id long, anchor long, hot boolean")
+    wanted = settle(
+        shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    )
+    # Few by definition: at most one for every ``hot`` entries of documents.
+    hot_anchors = {r["anchor"] for r in wanted.select(F.explode("hot").alias("anchor")).distinct().collect()}
+    hot_sent = spark.sparkContext.broadcast(hot_anchors)
+    # A left join like the last one, so that both read one shuffle of the texts.
+    segments = texts.join(wanted.select("doc_id", "anchors"), "doc_id", "left").mapInArrow(
+        _segments(length, bits, hot_sent), "anchor long, first long, docs array<long>, starts array<int>, segment binary"
+    )
+    met = segments.repartition("anchor").sortWithinPartitions("anchor", "first")
+    return met.mapInArrow(_covered(length), "doc_id long, start long, end long")
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
-    """``docs`` with n_removed, n_spans and kept: the bytes of the text that are left."""
-    own = [c for c in docs.columns if c not in ("n_removed", "n_spans", "kept", "ranges")]
-    ranges = covered_ranges(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own)
-    return docs.select(*own).join(ranges, "doc_id", "left").select(*own, "ranges").mapInArrow(_cut, f"{schema}, n_removed long, n_spans long, kept binary")
+    """``docs`` with n_removed, n_spans and kept: the bytes of the text that are left.
+
+    A document whose whole text stands in a smaller doc_id is covered as it is,
+    and what it could cover, the smaller one does.
+    """
+    own = [c for c in docs.columns if c not in ("n_removed", "n_spans", "kept", "ranges", "anchors")]
+    docs = docs.select(*own)
+    copies = settle(whole_copies(docs.where(f"octet_length(text) >= {length}")))
+    texts = rows_of_ids(docs, copies, keep=False)
+    ranges = covered_ranges(texts.select("doc_id", "text"), length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    cut = texts.join(ranges, "doc_id", "left").select(*own, "ranges").mapInArrow(_cut, f"{schema}, n_removed long, n_spans long, kept binary")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    whole = size >= length
+    again = rows_of_ids(docs, copies).select(
+        *own,
+        F.when(whole, size).otherwise(0).cast("long").alias("n_removed"),
+        whole.cast("long").alias("n_spans"),
+        F.when(whole, F.lit("").cast("binary")).otherwise(F.coalesce("text", F.lit("")).cast("binary")).alias("kept"),
+    )
+    return cut.unionByName(again)

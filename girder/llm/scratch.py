@@ -37,7 +37,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rows_of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (distinct), which has been written already."""
+def rows_of_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (or is not), a distinct column that has been written already."""
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi" if keep else "left_anti")
