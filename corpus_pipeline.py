@@ -1,7 +1,15 @@
 """A training corpus from raw documents: stages that each write their rows for the next.
 
 Every stage reads all its predecessor kept, and its decisions take effect: the
-rows it rejects and the lines it cuts are gone for the stages after it.
+rows it rejects and the lines it cuts are gone for the stages after it. All
+stages but the last return the columns of ``documents``.
+
+Null or empty texts are documents like others: the classifier finds no fault
+in them, they have no lines, shingles or benchmark items, and the mix takes no
+words of them. Rows without doc_id are never near duplicates or contaminated.
+Rows that repeat a doc_id are one document from the near-duplicate stage on.
+Columns beyond those of ``documents`` are carried along; the last stage
+replaces those named like its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,16 +17,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import lines, mixture
-from girder.session import scratch_path
+from girder.llm import decontaminate, jaccard, lines, mixture, quality
+from girder.llm.scratch import rows_of_ids
+from girder.session import scratch_path, settle
+
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds neither junk nor abusive."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return quality.classify(docs, labels).where("keep").select(*docs.columns)
 
 
-def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def cut_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share are cut from all of them."""
     kept = lines.dedup_lines(docs, min_docs=10, min_chars=1)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every group of documents with 80 % of their 5-word shingles in common."""
+    groups = settle(jaccard.similar_components(docs.select("doc_id", "text"), size=5, percent=80))
+    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = rows_of_ids(docs, gone, keep=False)
+    repeated = settle(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    return rows_of_ids(kept, repeated, keep=False).unionByName(rows_of_ids(kept, repeated).dropDuplicates(["doc_id"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +55,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(docs).where("copies > 0")
 
 
-STAGES = [("line dedup", shared_lines), ("source mixture", mix)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", cut_shared_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("source mixture", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# The quality stage is a fitted model, which SQL cannot express.
+# The first stage is a fitted model, which SQL cannot express.
 ORACLE_SQL = None
