@@ -112,9 +112,9 @@ def junk_votes(batch: Batch) -> np.ndarray:
             _vote((f["symbols"] > 0.07) & some, f["symbols"] < 0.05),
             _vote((f["marks"] > 0.01) & some, f["marks"] < 0.002),
             _vote((f["capitals"] > 0.3) & some, f["capitals"] < 0.15),
-            _vote((f["variety"] < 0.25) & (n >= 50), (f["variety"] > 0.45) & some),
+            _vote((f["variety"] < 0.25) & (n >= 50), f["variety"] > 0.45),
             _vote((f["bars"] > 0.03) & some, f["bars"] == 0),
-            _vote((f["echo"] > 0.15) & some, (f["echo"] < 0.08) & some),
+            _vote((f["echo"] > 0.15) & some, f["echo"] < 0.08),
             _vote((f["shouting"] > 0.02) & some, f["shouting"] < 0.005),
         ],
         axis=1,
@@ -134,16 +134,16 @@ def abuse_votes(batch: Batch, listed: np.ndarray, learned_words: np.ndarray, lea
     in_list = hits(batch.words[1:], listed)
     in_words = hits(batch.words[:1], learned_words)
     in_begins = hits(batch.words[1:], learned_begins)
-    none = np.zeros(texts, bool)
     known = bool(len(learned_begins))
+    n = np.maximum(batch.counts, 1)
     every = np.maximum(in_list, in_begins)
     return np.stack(
         [
-            _vote(in_list > 0, none),
-            _vote(in_words > 0, none),
-            _vote(in_begins > 0, (in_begins == 0) & known),
-            _vote(every > 1, every == 0),
-            _vote(every * 300 >= np.maximum(batch.counts, 1), every == 0),
+            _vote(in_list > 0, in_list == 0),
+            _vote((in_words > 0) & (in_words * 300 >= n), (in_words == 0) & known),
+            _vote((in_begins > 1) & (in_begins * 200 >= n), known & (in_begins * 1500 < n)),
+            _vote((every > 2) & (every * 300 >= n), every < 2),
+            _vote((every > 1) & (every * 120 >= n), every * 800 < n),
         ],
         axis=1,
     )
@@ -152,18 +152,18 @@ def abuse_votes(batch: Batch, listed: np.ndarray, learned_words: np.ndarray, lea
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[tuple[int, ...], float]:
     """EM over vote patterns: the chance that a document with each pattern is bad.
 
-    Each labeller has, in either class, a distribution over its three votes.
-    Starts from: bad where any labeller says so.
+    Each labeller has, in either class, a chance to vote bad where it votes at
+    all; to abstain says nothing. Starts from: bad where any labeller says so.
     """
     if not len(patterns):
         return {}
     n, labellers = patterns.shape
     bad = np.where((patterns == BAD).any(1), 0.8, 0.05)
-    votes = np.stack([patterns == v for v in (BAD, NONE, GOOD)], axis=2).astype(float)
+    votes = np.stack([patterns == v for v in (BAD, GOOD)], axis=2).astype(float)
     for _ in range(rounds):
         weights = np.stack([counts * bad, counts * (1 - bad)])
         prior = np.clip(weights.sum(1) / counts.sum(), 1e-6, 1 - 1e-6)
-        table = np.einsum("cn,nlv->clv", weights, votes) + np.array([0.5, 0.5, 0.5])
+        table = np.einsum("cn,nlv->clv", weights, votes) + 0.5
         table /= table.sum(2, keepdims=True)
         # A bad vote speaks for the bad class: the classes cannot change places.
         turned = table[1, :, BAD] > table[0, :, BAD]
@@ -176,8 +176,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dic
     return {tuple(int(v) for v in p): float(x) for p, x in zip(patterns, bad, strict=True)}
 
 
-def _learn_words(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words, and of word beginnings, that toxic rows have far more often; from (text, toxic)."""
+def _learn_words(labelled: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, and of word beginnings, that toxic rows have far more often; from ``sizes`` rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -201,8 +201,14 @@ def _learn_words(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 )
 
     counts = labelled.mapInArrow(run, "kind int, hash long, bad long, good long").groupBy("kind", "hash")
-    sums = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3 and bad >= 15 * good")
-    rows = sums.orderBy(F.desc("bad"), "hash").limit(LEXICON).collect()
+    sums = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3")
+    # Rates in toxic and other rows: their ratio, and how far apart they are in standard errors.
+    bad, good = F.col("bad") / max(sizes.get(1, 0), 1), F.col("good") / max(sizes.get(0, 0), 1)
+    both = (F.col("bad") + F.col("good")) / max(sum(sizes.values()), 1)
+    error = F.sqrt(both * (1 - both) * (1 / max(sizes.get(1, 0), 1) + 1 / max(sizes.get(0, 0), 1)))
+    ratio = bad / ((F.col("good") + 0.5) / max(sizes.get(0, 0), 1))
+    telling = sums.where((bad - good >= 4 * error) & (ratio >= F.when(F.col("kind") == 0, 30).otherwise(4)))
+    rows = telling.orderBy(F.desc("bad"), "hash").limit(LEXICON).collect()
     learned = [np.sort(np.array([r["hash"] for r in rows if r["kind"] == k], np.int64).astype(np.uint64)) for k in (0, 1)]
     return learned[0], learned[1]
 
@@ -266,7 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         cut = {t: int(min(1.0, LABELLED / n) * 1_000_000_007) for t, n in sizes.items()}
         chosen = marked.where((F.col("toxic").isin(0, 1)) & (pick <= F.when(F.col("toxic") == 1, cut.get(1, 0)).otherwise(cut.get(0, 0))))
         # About 2 * LABELLED rows of 12 bytes, whatever the size of the table.
-        words, begins = _learn_words(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+        learning = {t: min(n, LABELLED) for t, n in sizes.items() if t in (0, 1)}
+        words, begins = _learn_words(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), learning)
     sent = spark.sparkContext.broadcast((listed, words, begins))
 
     def votes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
