@@ -300,7 +300,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     posteriors = {}
     for aspect in ("junk", "abuse"):
         mine = [r for r in rows if r["aspect"] == aspect]
-        patterns = np.array([list(r["pattern"]) for r in mine], np.int64).reshape(len(mine), -1)
+        width = len(JUNK_LABELLERS if aspect == "junk" else ABUSE_LABELLERS)
+        patterns = np.array([list(r["pattern"]) for r in mine], np.int64).reshape(len(mine), width)
         posteriors[aspect] = estimate(patterns, np.array([r["n"] for r in mine], float))
     total = sum(r["n"] for r in rows if r["aspect"] == "junk")
     known = spark.sparkContext.broadcast(posteriors)
