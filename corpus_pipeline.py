@@ -25,13 +25,18 @@ from girder.session import scratch_path, settle
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds neither junk nor abusive."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return quality.classify(docs, labels).where("keep").select(*docs.columns)
+    others = F.struct(*docs.columns).alias("others")
+    kept = quality.classify(docs.select("doc_id", "text", others), labels).where("keep")
+    return kept.select(*[F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def cut_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share are cut from all of them."""
-    kept = lines.dedup_lines(docs, min_docs=10, min_chars=1)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = lines.dedup_lines(docs.select("doc_id", "text", F.struct(*others).alias("others")), min_docs=10, min_chars=1)
+    columns = {c: F.col("others")[c].alias(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    columns["n_chars"] = F.length("text").cast("long").alias("n_chars")
+    return kept.select(*[columns[c] for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
