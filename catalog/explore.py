@@ -260,7 +260,7 @@ def risk_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query("SELECT * FROM loss_risk", "projects project_costs", LOSS_RISK)
 def loss_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return explore.loss_risk(*risk_inputs(spark, sf))
+    return explore.loss_risk(*risk_inputs(spark, sf), contracts=src.projects(spark, sf, ("contract_amount_kpy",)))
 
 
 @query(
@@ -270,7 +270,7 @@ WHERE cost_rate_gap IS NOT NULL ORDER BY cost_rate_gap DESC, project_id LIMIT 10
     LOSS_RISK,
 )
 def top_loss_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return explore.top_loss_risk(*risk_inputs(spark, sf))
+    return explore.top_loss_risk(*risk_inputs(spark, sf), contracts=src.projects(spark, sf, ("contract_amount_kpy",)))
 
 
 CROSS = """cross_months AS (

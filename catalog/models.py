@@ -1,12 +1,11 @@
 """Model features, fitted models, anomalies and forecasts over the stand-in tables."""
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog.cash import cash_frame
 from catalog.registry import query
-from girder.functions.exprs import month_start
 from girder.models import arima, attribution, boosted, features, forest
 from girder.operators.timeline import active_projects, month_axis, on_axis
 from girder.plans import cash, documents
@@ -26,7 +25,9 @@ model_features AS (SELECT project_id, project_name, division, client_type, statu
   CAST(confirmed AS DOUBLE) / safe AS confirmed_ratio, actual_cost_rate / target_cost_rate * (progress_rate / 100) AS cost_progress_ratio,
   actual_cost_rate, CAST(actual_cost_rate > target_cost_rate AS INTEGER) AS is_over_budget FROM n)"""
 USES = "projects project_costs"
-BUCKET = "CAST(('0x' || substr(md5(project_id || '-42'), 1, 8))::BIGINT % 100 AS INTEGER)"
+PLACED = """SELECT project_id, is_over_budget, count(*) OVER (PARTITION BY is_over_budget) AS of_class,
+  row_number() OVER (PARTITION BY is_over_budget ORDER BY ('0x' || substr(md5(project_id || '-42'), 1, 8))::BIGINT, project_id) AS place FROM model_features"""
+TESTED = "place <= (of_class * 20 + 50) // 100"
 
 
 def model_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +56,7 @@ def one_hot_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT is_over_budget, CASE WHEN {BUCKET} < 20 THEN 'test' ELSE 'train' END AS side, count(*) AS row_count FROM model_features GROUP BY ALL""",
+    f"""SELECT is_over_budget, CASE WHEN {TESTED} THEN 'test' ELSE 'train' END AS side, count(*) AS row_count FROM ({PLACED}) GROUP BY ALL""",
     USES,
     COST_RATE,
 )
@@ -63,7 +64,7 @@ def split_balance(spark: SparkSession, sf: str) -> DataFrame:
     return features.class_balance(model_rows(spark, sf))
 
 
-@query(f"SELECT project_id FROM model_features WHERE {BUCKET} < 20", USES, COST_RATE)
+@query(f"SELECT project_id FROM ({PLACED}) WHERE {TESTED}", USES, COST_RATE)
 def test_split(spark: SparkSession, sf: str) -> DataFrame:
     return features.split(model_rows(spark, sf))[1].select("project_id")
 
@@ -119,7 +120,7 @@ def classification_metric_formulas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT project_id, round(risk_score, 6) AS risk_score, CASE WHEN risk_score >= 75 THEN '高リスク' WHEN risk_score >= 40 THEN '中リスク' ELSE '低リスク' END AS risk_level
+    """SELECT project_id, round(risk_score, 6) AS risk_score, CASE WHEN risk_score >= 75 THEN '🔴 高リスク' WHEN risk_score >= 40 THEN '🟠 中リスク' ELSE '🟢 低リスク' END AS risk_level
 FROM (SELECT project_id, (over_budget_prob * 0.7::DOUBLE + greatest(0.0::DOUBLE, least((predicted_cost_rate - target_cost_rate) / target_cost_rate, 0.2::DOUBLE)) * 5 * 0.3::DOUBLE) * 100 AS risk_score FROM naive)""",
     USES,
     NAIVE,
@@ -181,7 +182,7 @@ def over_budget_probability_histogram(spark: SparkSession, sf: str) -> DataFrame
     _, test = features.split(model_rows(spark, sf))
     clf = fitted("clf", spark, sf)
     scored = clf.transform(test).withColumn("over_budget_prob", vector_to_array("over_budget_vector")[1])
-    return boosted.probability_histogram(scored)
+    return boosted.probability_histogram(settle(scored.select("over_budget_prob", "is_over_budget")))
 
 
 @query()
@@ -296,25 +297,88 @@ def area_cash_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return forest.rescale_scores(forest.detect(rows, [*by, "month"], cols))
 
 
+COMPANY = "全社"
+
+
+def net_cash_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Net cash per month of every area and of the company, each on a gap-free month axis."""
+    by = ["area_name"]
+    areas = settle(area_cash(spark, sf).select("area_name", "month", "net_cashflow"))
+    company = areas.groupBy("month").agg(F.sum("net_cashflow").alias("net_cashflow")).withColumn("area_name", F.lit(COMPANY))
+    frame = areas.unionByName(company)
+    return settle(on_axis(frame, month_axis(frame, by=by), ["net_cashflow"], by=by))
+
+
+def net_cash_outlook(spark: SparkSession, sf: str) -> DataFrame:
+    return arima.forecast(net_cash_series(spark, sf), "net_cashflow", by=["area_name"])
+
+
 @query()
 def cash_flow_outlook(spark: SparkSession, sf: str) -> DataFrame:
-    return arima.forecast(cash_frame(spark, sf), "net_cashflow")
+    """Six-month outlook of the company."""
+    return net_cash_outlook(spark, sf).filter(F.col("area_name") == COMPANY).drop("area_name")
 
 
 @query()
 def area_cash_outlook(spark: SparkSession, sf: str) -> DataFrame:
-    """Six-month outlook of each area on a gap-free month axis."""
-    by = ["area_name"]
-    frame = settle(area_cash(spark, sf).select("area_name", "month", "net_cashflow"))
-    full = on_axis(frame, month_axis(frame, by=by), ["net_cashflow"], by=by)
-    return arima.forecast(full, "net_cashflow", by=by)
+    """Six-month outlook of each area."""
+    return net_cash_outlook(spark, sf).filter(F.col("area_name") != COMPANY)
 
 
 @query()
 def danger_outlook_months(spark: SparkSession, sf: str) -> DataFrame:
-    """Verbal-order expenses run negative as a series; months forecast below the danger line."""
-    costs = src.cost_records(spark, sf, ("accrual_month", "amount_kpy", "category"))
-    monthly = costs.groupBy("category", month_start("accrual_month").alias("month")).agg(
-        (-F.sum("amount_kpy")).alias("net_cashflow")
+    """Months whose net cash, of an area or the company, is forecast below the danger line."""
+    return arima.months_under(net_cash_outlook(spark, sf))
+
+
+NET_CASH = """monthly AS (SELECT area_name, month, CAST(sum(x) AS BIGINT) AS net FROM (
+    SELECT area_name, CAST(deposit_month || '-01' AS DATE) AS month, expected_amount_kpy AS x FROM cash_in JOIN projects USING (project_id)
+    UNION ALL SELECT area_name, CAST(payment_due_month || '-01' AS DATE), -amount_kpy FROM costs JOIN projects USING (project_id)) GROUP BY ALL),
+series AS (SELECT * FROM monthly UNION ALL SELECT '全社', month, CAST(sum(net) AS BIGINT) FROM monthly GROUP BY month),
+axis AS (SELECT area_name, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM series GROUP BY area_name),
+full_series AS (SELECT a.area_name, a.month, COALESCE(net, 0) AS net FROM axis a LEFT JOIN series s ON a.area_name = s.area_name AND a.month = s.month)"""
+
+
+@query(
+    """SELECT area_name, count(*) AS months, CAST(sum(net) AS BIGINT) AS net_cashflow, min(month) AS first_month, max(month) AS last_month FROM full_series GROUP BY area_name""",
+    "cash_in costs projects",
+    NET_CASH,
+)
+def net_cash_axis(spark: SparkSession, sf: str) -> DataFrame:
+    """What the outlook is made from: every area's and the company's months without a gap."""
+    return net_cash_series(spark, sf).groupBy("area_name").agg(
+        F.count("*").alias("months"),
+        F.sum("net_cashflow").alias("net_cashflow"),
+        F.min("month").alias("first_month"),
+        F.max("month").alias("last_month"),
     )
-    return arima.months_under(arima.forecast(monthly, "net_cashflow", by=["category"]))
+
+
+@query(
+    """SELECT area_name, step, CAST(last_month + to_months(step) AS DATE) AS month, TRUE AS ordered, TRUE AS widening
+FROM (SELECT area_name, max(month) AS last_month FROM full_series GROUP BY area_name), (SELECT unnest(range(1, 7))::INTEGER AS step)""",
+    "cash_in costs projects",
+    NET_CASH,
+)
+def outlook_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Six months for every series, after its last; the interval holds the forecast and never narrows."""
+    width = F.col("upper") - F.col("lower")
+    before = F.lag(width).over(Window.partitionBy("area_name").orderBy("step"))
+    return net_cash_outlook(spark, sf).select(
+        "area_name",
+        "step",
+        "month",
+        ((F.col("lower") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper"))).alias("ordered"),
+        F.coalesce(width >= before * (1 - 1e-12), F.lit(True)).alias("widening"),
+    )
+
+
+@query(
+    "SELECT area_name, month, CAST(net AS DOUBLE) AS forecast FROM full_series WHERE net < -100000",
+    "cash_in costs projects",
+    NET_CASH,
+)
+def danger_line_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The danger line over the observed months, some of which pass and some not."""
+    observed = net_cash_series(spark, sf).select("area_name", "month", F.col("net_cashflow").cast("double").alias("forecast"))
+    return arima.months_under(observed)

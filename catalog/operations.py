@@ -21,8 +21,9 @@ def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 @query(
     """SELECT *, CASE alert_level WHEN '緊急' THEN '事業部長,経営陣' WHEN '警告' THEN '現場監督,事業部長' ELSE '現場監督' END AS recipients
 FROM (SELECT project_id, effective_cost_rate, target_cost_rate,
-  CASE WHEN effective_cost_rate > target_cost_rate + 5 THEN '緊急' WHEN effective_cost_rate > target_cost_rate THEN '警告'
-    WHEN effective_cost_rate >= target_cost_rate * 0.95::DOUBLE THEN '注意' END AS alert_level FROM cost_summary)
+  CASE WHEN rate > target_cost_rate + 5 THEN '緊急' WHEN rate > target_cost_rate THEN '警告'
+    WHEN rate >= target_cost_rate * 0.95::DOUBLE THEN '注意' END AS alert_level
+  FROM (SELECT *, CAST(total_cost_kpy AS DOUBLE) / NULLIF(contract_amount_kpy, 0) * 100 AS rate FROM cost_summary))
 WHERE alert_level IS NOT NULL""",
     "cost_summary",
 )

@@ -187,8 +187,13 @@ def gap_zone(gap: ColumnLike) -> Column:
     return band(gap, [(5, "緊急"), (0, "警告")], default="正常")
 
 
-def score_level(score: ColumnLike) -> Column:
-    return band(score, [(75, "高リスク"), (40, "中リスク")], default="低リスク")
+# Risk levels as they are shown, from high to low.
+SCORE_LEVELS = ("🔴 高リスク", "🟠 中リスク", "🟢 低リスク")
+
+
+def score_level(score: ColumnLike, labels: Sequence[str] = SCORE_LEVELS) -> Column:
+    high, middle, low = labels
+    return band(score, [(75, high), (40, middle)], default=low)
 
 
 # Standard cost shares of a contract's budget.
@@ -220,7 +225,12 @@ def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def hash_bucket(key: ColumnLike, buckets: int, seed: int = 42) -> Column:
-    """Seeded, engine-independent bucket in [0, buckets) from the md5 of the key."""
+def hash_number(key: ColumnLike, seed: int = 42) -> Column:
+    """Seeded, engine-independent number in [0, 2^32) from the md5 of the key."""
     digest = F.md5(F.concat(as_col(key).cast("string"), F.lit(f"-{seed}")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def hash_bucket(key: ColumnLike, buckets: int, seed: int = 42) -> Column:
+    """Seeded, engine-independent bucket in [0, buckets)."""
+    return F.pmod(hash_number(key, seed), F.lit(buckets)).cast("int")

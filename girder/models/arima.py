@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MIN_MONTHS = 8
+MIN_MONTHS = 5  # phi, theta and the variance need three residuals, a residual two differences
 BOUND = 0.98
 
 
@@ -70,8 +70,10 @@ def forecast(df: DataFrame, value: str, steps: int = 6, level: float = 0.9, mont
     """Forecast of each series for the months after its last one.
 
     One row per series and step with ``forecast``, ``lower`` and ``upper``. A
-    series that is too short or constant gets NULLs and a ``reason``. A series
-    has one row per month, so a task holds a few hundred values per key.
+    series whose differences are all equal goes on by that difference, with an
+    interval of width 0. One that has fewer months than the model has unknowns,
+    or a gap, gets NULLs and a ``reason``. A series has one row per month, so a
+    task holds a few hundred values per key.
     """
     by = list(by) or ["_all"]
     rows = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
@@ -87,12 +89,12 @@ def forecast(df: DataFrame, value: str, steps: int = 6, level: float = 0.9, mont
         y = pdf["_y"].to_numpy(dtype=float)
         middle = half = np.full(steps, np.nan)
         reason = None
-        if len(y) < MIN_MONTHS:
-            reason = "too short"
-        elif not np.isfinite(y).all():
+        if not np.isfinite(y).all():
             reason = "missing value"
-        elif np.ptp(np.diff(y)) == 0:
-            reason = "constant"
+        elif len(y) > 2 and np.ptp(np.diff(y)) == 0:
+            middle, half = y[-1] + (y[-1] - y[-2]) * np.arange(1, steps + 1), np.zeros(steps)
+        elif len(y) < MIN_MONTHS:
+            reason = "too short"
         else:
             middle, half = forecast_series(y, steps, level)
         result = pd.DataFrame({"step": np.arange(1, steps + 1), "_last": pdf[month].iloc[-1]})

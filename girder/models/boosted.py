@@ -133,7 +133,13 @@ def probability_histogram(df: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def score(features: DataFrame, reg: PipelineModel, clf: PipelineModel, rmse: float) -> DataFrame:
-    """Predicted rate with its 95 % interval, over-budget probability, risk score and level."""
+    """Predicted rate with its 95 % interval, over-budget probability, risk score and level.
+
+    Rows are encoded once, so both models have to know the same categories.
+    """
+    labels = [[list(x) for x in m.stages[0].labelsArray] for m in (reg, clf)]
+    if labels[0] != labels[1]:
+        raise ValueError(f"the models were fitted on different categories: {labels[0]} and {labels[1]}")
     encoded = clf.transform(features).drop(*[c for s in reg.stages[:-2] for c in s.getOutputCols()])
     predicted = reg.stages[-1].transform(encoded)
     margin = F.lit(1.96 * rmse)

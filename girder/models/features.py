@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.functions.exprs import div_or_one, finite_or_zero, hash_bucket, month_span, safe_div
+from girder.functions.exprs import div_or_one, finite_or_zero, hash_number, month_span, safe_div
 from girder.plans.views import CostTerms, project_costs
 
 NUMERIC = (
@@ -103,17 +103,44 @@ def feature_names(fitted: PipelineModel, numeric: Sequence[str] = NUMERIC) -> li
     return names
 
 
-def split(df: DataFrame, test_pct: int = 20, key: str = "project_id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a seeded hash of the key.
+SPLIT_CELLS = 4096
 
-    Rows keep their side however the data is partitioned or extended, and each
-    class is divided in the same proportion up to chance; ``class_balance`` shows it.
+
+def test_keys(df: DataFrame, label: str, test_pct: int = 20, key: str = "project_id", seed: int = 42) -> DataFrame:
+    """Keys of the test rows: in each class the share ``test_pct`` with the smallest seeded hashes, rounded half up.
+
+    Classes are counted by cells of the hash; only the one cell of a class that
+    holds the cut is put in order, so no task sees a whole class.
+    """
+    draw = hash_number(key, seed)
+    rows = df.select(F.col(key), F.col(label).alias("_class"), draw.alias("_draw"), F.floor(draw / (2**32 // SPLIT_CELLS)).alias("_cell"))
+    cells = rows.groupBy("_class", "_cell").agg(F.count("*").alias("_in"))
+    of_class = Window.partitionBy("_class")
+    upto = F.sum("_in").over(of_class.orderBy("_cell"))
+    wanted = F.floor((F.sum("_in").over(of_class) * test_pct + 50) / 100)
+    room = cells.select(
+        F.col("_class").alias("_of"), F.col("_cell").alias("_at"), "_in", (wanted - upto + F.col("_in")).alias("_room")
+    ).filter(F.col("_room") > 0)
+    placed = rows.join(room, F.col("_class").eqNullSafe(F.col("_of")) & (F.col("_cell") == F.col("_at")))
+    whole = placed.filter(F.col("_room") >= F.col("_in")).select(key)
+    cut = placed.filter(F.col("_room") < F.col("_in"))
+    order = F.row_number().over(Window.partitionBy("_class", "_cell").orderBy("_draw", key))
+    return whole.unionByName(cut.withColumn("_place", order).filter(F.col("_place") <= F.col("_room")).select(key))
+
+
+def split(
+    df: DataFrame, test_pct: int = 20, key: str = "project_id", seed: int = 42, label: str = "is_over_budget"
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows, each class divided in the same proportion by a seeded hash of the key.
+
+    Rows keep their side however the data is partitioned.
     """
-    bucket = hash_bucket(key, 100, seed)
-    return df.filter(bucket >= test_pct), df.filter(bucket < test_pct)
+    tested = test_keys(df, label, test_pct, key, seed)
+    return df.join(tested, key, "left_anti"), df.join(tested, key, "left_semi")
 
 
 def class_balance(df: DataFrame, label: str = "is_over_budget", key: str = "project_id", test_pct: int = 20, seed: int = 42) -> DataFrame:
     """Rows per class and side of the split."""
-    side = F.when(hash_bucket(key, 100, seed) < test_pct, "test").otherwise("train")
-    return df.groupBy(label, side.alias("side")).agg(F.count("*").alias("row_count"))
+    train, test = split(df, test_pct, key, seed, label)
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy(label, "side").agg(F.count("*").alias("row_count"))

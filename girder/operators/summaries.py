@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions.exprs import safe_div
-from girder.operators.joins import join_counted
 
 
 def share_of_total(
@@ -48,7 +47,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFr
     bin_no = F.when(lo == hi, F.lit(1)).otherwise(F.least(F.width_bucket(x, lo, hi, F.lit(bins)), F.lit(bins)))
     width = (hi - lo) / bins
     return (
-        join_counted(known, bounds, list(by), "inner")
+        known.join(bounds, list(by))
         .groupBy(*by, bin_no.cast("int").alias("bin"), lo.alias("_lo"), width.alias("_width"))
         .agg(F.count("*").alias("row_count"))
         .select(

@@ -81,15 +81,17 @@ def activity_changes(projects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     A project runs in month m when start <= first day of m <= end, so one that
     starts after the first of a month counts from the next. Counting arrivals and
     departures keeps the data proportional to the projects, however long they
-    run, where pairing every month with every project would not.
-    Projects are expected once each.
+    run, where pairing every month with every project would not. With a
+    ``project_id`` column, rows of one project count once in a month that several
+    of them cover.
     """
     begin = first_of_month("start_date")
     begin = F.when(F.col("start_date") == begin, begin).otherwise(F.add_months(begin, 1))
     until = first_of_month("end_date")
+    key = ["project_id"] if "project_id" in projects.columns else []
+    terms = projects.select(*by, *key, begin.alias("_from"), until.alias("_to")).filter(F.col("_from") <= F.col("_to"))
     return (
-        projects.select(*by, begin.alias("_from"), until.alias("_to"))
-        .filter(F.col("_from") <= F.col("_to"))
+        (_merged_terms(terms, [*by, *key]) if key else terms)
         .select(
             *by,
             F.explode(
@@ -103,6 +105,19 @@ def activity_changes(projects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _merged_terms(terms: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Terms [_from, _to] of one key that touch or overlap as one."""
+    w = Window.partitionBy(*key).orderBy("_from", "_to")
+    reached = F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(F.col("_from") <= F.add_months(reached, 1), 0).otherwise(1)
+    return (
+        terms.withColumn("_starts", starts)
+        .withColumn("_run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*key, "_run")
+        .agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    )
+
+
 def active_projects(projects: DataFrame, months: DataFrame, month: str = "month", by: Sequence[str] = ()) -> DataFrame:
     """Projects running on the first day of each of the given months."""
     asked = months.select(*by, F.col(month).alias("month")).distinct()
@@ -120,10 +135,11 @@ def active_projects(projects: DataFrame, months: DataFrame, month: str = "month"
 
 
 def same_month_last_year(df: DataFrame, values: Sequence[str], month: str = "month", by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``<value>_last_year`` from the row twelve months earlier, NULL if none."""
-    earlier = df.select(
-        *by,
-        F.add_months(month, 12).alias(month),
-        *[F.col(v).alias(f"{v}_last_year") for v in values],
-    )
-    return df.join(earlier, [*by, month], "left")
+    """Adds ``<value>_last_year`` from the row twelve months earlier, NULL if none.
+
+    A series has one row per month. The frame is the one month a year back, so
+    the source is read once.
+    """
+    number = F.year(month) * 12 + F.month(month)
+    year_ago = Window.partitionBy(*by).orderBy(number).rangeBetween(-12, -12)
+    return df.withColumns({f"{v}_last_year": F.max(v).over(year_ago) for v in values})

@@ -58,8 +58,13 @@ def division_costs(projects: DataFrame, costs: DataFrame, categories: Sequence[s
     return wide.select("division", *[thousand_to_million(c).alias(c) for c in categories])
 
 
-def loss_risk(projects: DataFrame, costs: DataFrame, confirmed: Sequence[str] = ("確定請求",)) -> DataFrame:
-    """Effective cost rate, gap to target, zone and bubble size per project, unrounded."""
+def loss_risk(
+    projects: DataFrame, costs: DataFrame, confirmed: Sequence[str] = ("確定請求",), contracts: DataFrame | None = None
+) -> DataFrame:
+    """Effective cost rate, gap to target, zone and bubble size per project, unrounded.
+
+    ``contracts`` has the contract amounts alone, where they cost less to read than the projects.
+    """
     amount = F.col("amount_kpy")
     per_project = costs.groupBy("project_id").agg(
         F.sum(amount).alias("total_cost"),
@@ -70,7 +75,7 @@ def loss_risk(projects: DataFrame, costs: DataFrame, confirmed: Sequence[str] =
     rated = joined.withColumn(
         "effective_cost_rate", safe_div("total_cost", "contract_amount_kpy") * 100
     ).withColumn("cost_rate_gap", F.col("effective_cost_rate") - F.col("target_cost_rate"))
-    largest = projects.agg(F.max("contract_amount_kpy")).scalar()
+    largest = (projects if contracts is None else contracts).agg(F.max("contract_amount_kpy")).scalar()
     return rated.select(
         "project_id",
         "project_name",
@@ -85,9 +90,9 @@ def loss_risk(projects: DataFrame, costs: DataFrame, confirmed: Sequence[str] =
     )
 
 
-def top_loss_risk(projects: DataFrame, costs: DataFrame, k: int = 10) -> DataFrame:
+def top_loss_risk(projects: DataFrame, costs: DataFrame, k: int = 10, contracts: DataFrame | None = None) -> DataFrame:
     """The k projects furthest over their target rate."""
-    ranked = top_k(loss_risk(projects, costs), "cost_rate_gap", k, ["project_id"])
+    ranked = top_k(loss_risk(projects, costs, contracts=contracts), "cost_rate_gap", k, ["project_id"])
     return ranked.select(
         "project_id", F.substring("project_name", 1, 15).alias("label"), "cost_rate_gap", "zone"
     )

@@ -77,8 +77,14 @@ def cost_alert_tier(rate: ColumnLike, target: ColumnLike, score: ColumnLike) ->
 
 
 def cost_alerts(rated: DataFrame, score: Column | None = None) -> DataFrame:
-    """Projects that raise a cost alert, with tier and recipients."""
-    tier = cost_alert_tier("effective_cost_rate", "target_cost_rate", F.lit(None) if score is None else score)
+    """Projects that raise a cost alert, with tier and recipients.
+
+    The tier follows the exact rate of cost to contract, as in the stream of
+    overrun alerts; the rounded rate is only shown. ``score`` is a risk score of
+    0 to 100.
+    """
+    rate = safe_div("total_cost_kpy", "contract_amount_kpy") * 100
+    tier = cost_alert_tier(rate, "target_cost_rate", F.lit(None) if score is None else score / 100)
     recipients = F
     for name, who in RECIPIENTS.items():
         recipients = recipients.when(F.col("alert_level") == name, who)

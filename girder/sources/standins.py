@@ -86,9 +86,9 @@ def projects(spark: SparkSession, folder: str, columns: Sequence[str] = PROJECT_
     df = source(spark, folder, "orders")
     named = {"project_name", "pm_name", "area_name"} & set(columns)
     if named or "client_type" in columns:
-        df = df.join(source(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        df = df.join(source(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     if named:
-        df = df.join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey"))
+        df = df.join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     key, started = F.col("o_orderkey"), F.to_date("o_orderdate")
     exprs = {
         "project_id": lambda: key,
@@ -129,7 +129,7 @@ def costs_from_lines(lines: DataFrame, part: DataFrame, columns: Sequence[str] =
     """Cost entries of any line-item frame, batch or stream."""
     df = lines
     if "category" in columns:
-        df = df.join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
     day = F.to_date("l_shipdate")
     exprs = {
         "project_id": lambda: F.col("l_orderkey"),
@@ -248,7 +248,7 @@ def areas(spark: SparkSession, folder: str) -> DataFrame:
     """One row per region and order month."""
     df = (
         source(spark, folder, "orders")
-        .join(source(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(source(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(places(spark, folder), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     index = F.round(safe_div(F.sum(cents("o_totalprice")), F.count("*")) / 250000, 1)

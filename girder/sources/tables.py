@@ -12,8 +12,11 @@ from girder import schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header line. Spark drops a UTF-8 byte-order mark by itself."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """CSV with a header line; a line that does not fit the schema fails the read, it is never lost as NULLs.
+
+    Spark drops a UTF-8 byte-order mark by itself.
+    """
+    return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

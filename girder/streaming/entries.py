@@ -88,29 +88,30 @@ def approval_states(requests: DataFrame) -> DataFrame:
     """Each request with the entry's state after it and whether it was allowed.
 
     ``requests`` has record_id, event_id, ts and requested. A request for
-    anything but the next state is reported and leaves the state as it is. The
-    rows of a record are handled in batches of bounded size, each in time order.
+    anything but the next state is reported and leaves the state as it is. All
+    rows of a record in a micro-batch are put in time order together; bound the
+    micro-batch by files or bytes per trigger where one record has very many.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            states, legal = [], []
-            for wanted in pdf["requested"]:
-                allowed = NEXT_STATE.get(current) == wanted
-                current = wanted if allowed else current
-                states.append(current)
-                legal.append(allowed)
-            yield pd.DataFrame(
-                {
-                    "record_id": key[0],
-                    "event_id": pdf["event_id"].to_numpy(),
-                    "requested": pdf["requested"].to_numpy(),
-                    "state": states,
-                    "is_legal": legal,
-                }
-            )
+        # The rows come in Arrow batches of any size, in no order.
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        states, legal = [], []
+        for wanted in rows["requested"]:
+            allowed = NEXT_STATE.get(current) == wanted
+            current = wanted if allowed else current
+            states.append(current)
+            legal.append(allowed)
+        yield pd.DataFrame(
+            {
+                "record_id": key[0],
+                "event_id": rows["event_id"].to_numpy(),
+                "requested": rows["requested"].to_numpy(),
+                "state": states,
+                "is_legal": legal,
+            }
+        )
         if current is not None:
             state.update((current,))
 

@@ -106,6 +106,15 @@ def test_forest_repeats_with_its_seed_and_any_partitioning(spark):
     assert one == pytest.approx(two)
 
 
+@pytest.mark.parametrize("gathered", [3, 50, 10**6])
+def test_quantile_is_exact_at_any_size(spark, gathered):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(0, 1, 2001), np.repeat([1.0, 2.0, 2.0, 3.0], 300), np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for fraction in (0.0, 0.1, 0.5, 1.0):
+            assert forest.exact_quantile(df, "v", fraction, gathered) == pytest.approx(np.quantile(values, fraction))
+
+
 def test_tree_samples_are_whole_on_a_larger_table(spark):
     df = spark.range(20000).select("id", F.rand(3).alias("a"))
     got = forest.tree_samples(df, ["id"], F.array("a"), 20000, trees=8, size=256, seed=1)
@@ -133,14 +142,19 @@ def test_forecast_per_series_with_reasons(spark):
     months = [dt.date(2022 + i // 12, i % 12 + 1, 1) for i in range(24)]
     rng = np.random.default_rng(0)
     data = [("walk", m, float(v)) for m, v in zip(months, np.cumsum(rng.normal(0, 1, 24)))]
-    data += [("flat", m, 5.0) for m in months] + [("short", m, 1.0) for m in months[:4]]
+    data += [("flat", m, 5.0) for m in months] + [("ramp", m, 2.0 * i) for i, m in enumerate(months[:3])]
+    data += [("short", m, float(i * i)) for i, m in enumerate(months[:4])] + [("five", m, float(i * i)) for i, m in enumerate(months[:5])]
     got = arima.forecast(spark.createDataFrame(data, "k string, month date, v double"), "v", by=["k"]).collect()
-    assert len(got) == 18
+    assert len(got) == 30
     for r in got:
         if r.k == "walk":
             assert r.reason is None and r.lower < r.forecast < r.upper
+        elif r.k == "five":
+            assert r.reason is None and r.lower <= r.forecast <= r.upper
+        elif r.k == "short":
+            assert r.forecast is None and r.reason == "too short"
         else:
-            assert r.forecast is None and r.reason == {"flat": "constant", "short": "too short"}[r.k]
+            assert r.reason is None and r.lower == r.forecast == r.upper == (5.0 if r.k == "flat" else 4.0 + 2 * r.step)
     first = next(r for r in got if r.k == "walk" and r.step == 1)
     assert first.month == dt.date(2024, 1, 1)
     widths = [r.upper - r.lower for r in sorted((r for r in got if r.k == "walk"), key=lambda r: r.step)]

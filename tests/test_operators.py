@@ -6,7 +6,7 @@ from helpers import by, cash, project, projects, receipts
 from pyspark.sql import functions as F
 
 from girder import schemas
-from girder.operators import controls, joins, quality, schedule, summaries, timeline
+from girder.operators import controls, quality, schedule, summaries, timeline
 from girder.plans import operations as ops
 from girder.sources import sinks, tables
 
@@ -17,16 +17,6 @@ def test_histogram_is_closed_and_handles_a_single_value(spark):
     assert got == {("a", 1): 2, ("a", 2): 2, ("a", 3): 2, ("a", 4): 2, ("a", 5): 3, ("b", 1): 3}
 
 
-@pytest.mark.parametrize("limit", [1, 100])
-def test_join_counted_gives_the_same_rows_either_way(spark, limit):
-    big = spark.range(100).select((F.col("id") % 5).alias("k"), "id")
-    small = spark.createDataFrame([(0, "x"), (1, "y")], "k long, label string")
-    got = joins.join_counted(big, small, "k", max_rows=limit)
-    assert got.count() == 100 and got.filter("label is not null").count() == 40
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert ("LocalRelation" in plan) == (limit == 100) or "broadcast" in plan
-
-
 def test_concentration(spark):
     rows = [("one", "a", 10), ("two", "a", 5), ("two", "b", 5), ("zero", "a", 0)]
     got = by(summaries.concentration(spark.createDataFrame(rows, "m string, c string, x long"), ["m"], "c", "x"), "m")

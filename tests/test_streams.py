@@ -61,6 +61,19 @@ def test_states_survive_between_batches(spark, tmp_path):
     assert got == {1: ("現場入力", True), 2: ("現場入力", False), 3: (None, False), 4: ("承認", True), 5: ("確定", True)}
 
 
+def test_states_do_not_depend_on_arrow_batches(spark, tmp_path):
+    folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    write(spark, [(3, at(9), 1, "確定", 0), (2, at(5), 1, "承認", 0), (1, at(0), 1, "現場入力", 0)], folder, "a")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        requests = source(spark, folder).select("record_id", "event_id", "ts", "requested")
+        sinks.run_append(entries.approval_states(requests), out, progress)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.event_id: (r.state, r.is_legal) for r in spark.read.parquet(out).collect()}
+    assert got == {1: ("現場入力", True), 2: ("承認", True), 3: ("確定", True)}
+
+
 def test_change_table_holds_the_latest_total(spark, tmp_path):
     folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     projects = spark.createDataFrame([(1, 100, 80.0)], "project_id long, contract_amount_kpy long, target_cost_rate double")
