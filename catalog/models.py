@@ -4,7 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalog.cash import cash_frame
+from catalog.cash import CASH, cash_frame
 from catalog.registry import query
 from girder.models import arima, attribution, boosted, features, forest
 from girder.operators.timeline import active_projects, month_axis, on_axis
@@ -217,18 +217,67 @@ def prediction_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def nightly_active_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Trained on finished projects, scored on running ones, written by day and read back."""
+    return nightly_scores(spark, sf)[0]
+
+
+def nightly_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
+    """The day's partition of the score table, and the error that its intervals are made of."""
     rows = model_rows(spark, sf)
-    done = rows.filter(F.col("project_status") == "完了")
     key = ("nightly", spark.sparkContext.applicationId, sf)
     if key not in _fitted:
-        _fitted[key] = boosted.fit(done, boosted.regressor())
-    active = _fitted[key].transform(rows.filter(F.col("project_status") == "進行中"))
+        train, test = features.split(rows.filter(F.col("project_status") == "完了"))
+        reg, clf = boosted.fit(train, boosted.regressor()), boosted.fit(train, boosted.classifier())
+        _fitted[key] = reg, clf, boosted.regression_metrics(reg.transform(test)).first()["rmse"]
+    reg, clf, rmse = _fitted[key]
+    scored = boosted.score(rows.filter(F.col("project_status") == "進行中"), reg, clf, rmse)
     path = scratch_path(spark, "nightly-scores")
     day = F.lit(src.AS_OF).cast("date")
-    sinks.write_table(
-        active.select("project_id", "target_cost_rate", "predicted_cost_rate").withColumn("as_of", day), path, ["as_of"]
-    )
-    return spark.read.parquet(path).filter(F.col("as_of") == day)
+    result = scored.select(*boosted.RESULT_COLUMNS, "over_budget_prob", day.cast("timestamp_ntz").alias("scored_at"), day.alias("as_of"))
+    sinks.write_table(result, path, ["as_of"])
+    return spark.read.parquet(path).filter(F.col("as_of") == day), rmse
+
+
+def score_violations(scored: DataFrame, rmse: float) -> DataFrame:
+    """Rows, and how many of them break the rules of a score row."""
+    close = lambda a, b: F.abs(a - b) <= 1e-9 * (1 + F.abs(b))
+    low, high, mid = (F.col(c) for c in ("prediction_interval_lower", "prediction_interval_upper", "predicted_cost_rate"))
+    excess = F.greatest(F.lit(0.0), F.least((mid - F.col("target_cost_rate")) / F.col("target_cost_rate"), F.lit(0.2))) * 5
+    score = F.col("risk_score")
+    level = F.when(score >= 75, "🔴 高リスク").when(score >= 40, "🟠 中リスク").otherwise("🟢 低リスク")
+    rules = {
+        "interval": close(high - mid, F.lit(1.96 * rmse)) & close(mid - low, F.lit(1.96 * rmse)),
+        "probability": F.col("over_budget_prob").between(0, 1),
+        "score": close(score, (F.col("over_budget_prob") * 0.7 + excess * 0.3) * 100) & score.between(0, 100),
+        "level": F.col("risk_level") == level,
+    }
+    broken = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"{name}_violations") for name, rule in rules.items()]
+    return scored.agg(F.count("*").alias("row_count"), F.count_distinct("project_id").alias("projects"), *broken)
+
+
+SCORE_RULES = """SELECT count(*) AS row_count, count(DISTINCT project_id) AS projects, 0::BIGINT AS interval_violations, 0::BIGINT AS probability_violations,
+  0::BIGINT AS score_violations, 0::BIGINT AS level_violations FROM model_features"""
+
+
+@query(SCORE_RULES + " WHERE project_status = '進行中'", USES, COST_RATE)
+def nightly_score_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every running project has one score row, and each row keeps the rules."""
+    return score_violations(*nightly_scores(spark, sf))
+
+
+@query(SCORE_RULES, USES, COST_RATE)
+def risk_score_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for all projects with the models fitted on the training rows."""
+    return score_violations(scored_projects(spark, sf), fitted("rmse", spark, sf))
+
+
+@query("SELECT count(*) AS row_count, 0::BIGINT AS sum_violations FROM model_features", USES, COST_RATE)
+def contribution_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The credits of a row and the trees' root values add up to its prediction."""
+    rows, _ = attributed(spark, sf)
+    nodes = attribution.tree_nodes(fitted("reg", spark, sf), spark)
+    root = nodes.filter("id = 0").agg(F.sum(F.col("weight") * F.col("prediction"))).first()[0]
+    gap = F.abs(F.aggregate("contributions", F.lit(root), lambda a, c: a + c) - F.col("predicted_cost_rate"))
+    return rows.agg(F.count("*").alias("row_count"), F.count_if(~(gap <= 1e-9 * (1 + F.abs("predicted_cost_rate")))).alias("sum_violations"))
 
 
 # --- anomalies and forecasts -----------------------------------------------
@@ -243,6 +292,19 @@ def cash_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return company_anomalies(spark, sf)
 
 
+@query("SELECT count(*) AS row_count, 0::BIGINT AS flag_violations, 0::BIGINT AS range_violations FROM cash_frame", "cash_in costs", CASH)
+def anomaly_flag_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagged are exactly the months whose score is below the exact quantile of all scores."""
+    scored = settle(company_anomalies(spark, sf))
+    cut = scored.agg(F.percentile("anomaly_score", F.lit(0.1))).first()[0]
+    score = F.col("anomaly_score")
+    return scored.agg(
+        F.count("*").alias("row_count"),
+        F.count_if(F.col("is_anomaly") != (score < cut)).alias("flag_violations"),
+        F.count_if(~score.between(-1, 0)).alias("range_violations"),
+    )
+
+
 @query()
 def cash_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return cash.cash_alerts(company_anomalies(spark, sf))

@@ -31,6 +31,20 @@ def cost_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return ops.cost_alerts(v.cost_summary(spark, sf))
 
 
+@query(
+    """SELECT *, CASE alert_level WHEN '緊急' THEN '事業部長,経営陣' WHEN '警告' THEN '現場監督,事業部長' ELSE '現場監督' END AS recipients
+FROM (SELECT project_id, effective_cost_rate, target_cost_rate,
+  CASE WHEN rate > target_cost_rate + 5 OR progress_rate >= 90 THEN '緊急' WHEN rate > target_cost_rate OR progress_rate >= 70 THEN '警告'
+    WHEN rate >= target_cost_rate * 0.95::DOUBLE THEN '注意' END AS alert_level
+  FROM (SELECT *, CAST(total_cost_kpy AS DOUBLE) / NULLIF(contract_amount_kpy, 0) * 100 AS rate FROM cost_summary))
+WHERE alert_level IS NOT NULL""",
+    "cost_summary",
+)
+def scored_cost_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert tiers by rate or by a 0-100 score; the progress stands in for the score, so each tier is reached by either."""
+    return ops.cost_alerts(v.cost_summary(spark, sf), score=F.col("progress_rate"))
+
+
 @query(
     """SELECT project_id, target_cost_rate, CASE WHEN division = '土木' AND client_type = '官公庁' THEN 88.0::DOUBLE WHEN division = '土木' THEN 85.0::DOUBLE
   WHEN client_type = '官公庁' THEN 86.0::DOUBLE ELSE 82.0::DOUBLE END AS work_type_target FROM projects""",

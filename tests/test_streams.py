@@ -91,6 +91,20 @@ def test_change_table_holds_the_latest_total(spark, tmp_path):
     assert [(r.total_cost_kpy, r.alert_level) for r in sinks.latest(changes, ["project_id"]).collect()] == [(86, "緊急")]
 
 
+def test_compaction_bounds_the_folders(spark, tmp_path):
+    folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    want = {}
+    for i in range(6):
+        write(spark, [(i, at(i), i % 2, "x", i + 1)], folder, f"f{i}")
+        want[i % 2] = want.get(i % 2, 0) + i + 1
+        totals = entries.total_costs(source(spark, folder).withColumnRenamed("record_id", "project_id"))
+        sinks.run_changes(totals, out, progress, keys=["project_id"], compact_every=2)
+    got = {r.project_id: r.total_cost_kpy for r in sinks.latest(spark.read.parquet(out), ["project_id"]).collect()}
+    assert got == want
+    folders = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]
+    assert len(folders) <= 3 and not list((tmp_path / "out").glob("_merged=*"))
+
+
 def test_running_costs_equal_the_batch_result(spark, tmp_path, sf):
     from catalog import streams
 
