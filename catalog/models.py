@@ -245,7 +245,7 @@ def score_violations(scored: DataFrame, rmse: float) -> DataFrame:
     score = F.col("risk_score")
     level = F.when(score >= 75, "🔴 高リスク").when(score >= 40, "🟠 中リスク").otherwise("🟢 低リスク")
     rules = {
-        "interval": close(high - mid, F.lit(1.96 * rmse)) & close(mid - low, F.lit(1.96 * rmse)),
+        "interval": close(high, mid + 1.96 * rmse) & close(low, mid - 1.96 * rmse),
         "probability": F.col("over_budget_prob").between(0, 1),
         "score": close(score, (F.col("over_budget_prob") * 0.7 + excess * 0.3) * 100) & score.between(0, 100),
         "level": F.col("risk_level") == level,

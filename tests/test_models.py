@@ -74,6 +74,11 @@ def test_scores_and_levels(rows, reg):
     assert scored.select(F.max(width)).first()[0] == pytest.approx(2 * 1.96 * 2.0)
     top = boosted.result_table(scored, rows=5).collect()
     assert [x.risk_score for x in top] == sorted((x.risk_score for x in top), reverse=True)
+    from catalog.models import score_violations
+
+    rules = score_violations(scored, 2.0).first()
+    assert tuple(rules) == (r.n, r.n, 0, 0, 0, 0)
+    assert score_violations(scored, 3.0).first()["interval_violations"] > 0.9 * r.n
     hist = boosted.probability_histogram(scored)
     assert hist.agg(F.sum("row_count")).first()[0] == rows.count()
 
