@@ -8,12 +8,13 @@
    gives the same result; this one keeps shared passages out of prefixes.
 3. Documents that share a prefix shingle are candidates, cut by the lengths of
    the sets, by the position of the shared shingle, and by a suffix filter: the
-   sets' parities in 512 bits differ in no more places than the sets do.
+   parities of two sets, folded to a few hundred bits, differ in no more places
+   than the sets do.
 4. Candidates are verified on the whole sets, each pair once.
 
 The result is the component of every document, so links inside a component
 that is known already need no check. The first round checks every document
-against a few chosen members of each prefix group, which joins a group of
+against a few members of each prefix group, which joins a group of
 near copies without comparing all its pairs. Later rounds see only documents
 of one prefix group that still are in different components; the last of them
 checks all that is left, so no link between components is lost. A prefix
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.llm.components import components
@@ -40,9 +41,11 @@ from girder.llm.kernels import WordHasher, shingles, slices, text_bytes
 from girder.llm.scratch import rows_of_ids, scratch
 from girder.session import settle
 
-WORDS = 8  # of 64 parity bits
+NARROW, BROAD = 512, 4096  # bits of the parities that travel with prefix shingles
+CHAIN = 3  # members after it that each member of a prefix group is compared with in the first round
 FREQUENT = 200_000  # shingles whose order by count is kept (16 bytes each); all others count as rare
-FEW = 16  # members of a prefix group whose pairs are joined directly; larger groups go in blocks
+FEW = 16  # members of a prefix group that is compared as it is; larger groups go in blocks
+CROWD = 2  # pairs left per document above which the nearest are checked before the rest
 BLOCK = 512  # documents of a prefix group compared in one block
 SETS = "doc_id long, n int, set_key binary, token long, seen long"
 
@@ -107,9 +110,20 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _parity(found: np.ndarray) -> np.ndarray:
-    bits = np.bincount((found >> np.uint64(40)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _parity(found: np.ndarray, width: int) -> bytes:
+    """For each of ``width`` places, a power of two, whether an odd number of shingles falls on it."""
+    bits = np.bincount((found >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _short_parity(found: np.ndarray) -> bytes:
+    """Enough places to tell most unrelated sets apart."""
+    return _parity(found, min(BROAD, max(NARROW, 1 << int(0.4 * len(found)).bit_length())))
+
+
+def _wide_parity(found: np.ndarray) -> bytes:
+    """Two places for each shingle at least."""
+    return _parity(found, max(64, 1 << (2 * len(found) - 1).bit_length()))
 
 
 def _prefixes(size: int, percent: int, order):
@@ -135,13 +149,13 @@ def _prefixes(size: int, percent: int, order):
                     first = np.argsort(rank, kind="stable")[:length]
                     ids.append(doc_id)
                     sizes.append(len(found))
-                    bits.append(_parity(found))
+                    bits.append(_short_parity(found))
                     prefixes.append(found[first].astype(np.int64))
                 yield pa.record_batch(
                     {
                         "doc_id": pa.array(ids, pa.int64()),
                         "n": pa.array(sizes, pa.int32()),
-                        "bits": pa.array(bits, pa.list_(pa.int64())),
+                        "bits": pa.array(bits, pa.binary()),
                         "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                     }
                 )
@@ -149,25 +163,48 @@ def _prefixes(size: int, percent: int, order):
     return run
 
 
-def _similar_sizes(percent: int, one: str = "n", two: str = "other_n") -> Column:
-    """Length filter: the smaller set has to hold the share of the larger one."""
-    return F.least(one, two) * 100 >= F.greatest(one, two) * percent
-
-
-def _overlap(percent: int, one: str = "n", two: str = "other_n") -> Column:
-    """The overlap that two sets of these sizes need, rounded up."""
-    return F.ceil((F.col(one) + F.col(two)) * percent / F.lit(100.0 + percent) - 1e-9)
+def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many places parities differ; the wider is folded to the narrower, which keeps parities."""
+    out = np.zeros(len(one), np.int64)
+    by_width: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(one, two, strict=True)):
+        by_width.setdefault((len(a), len(b)), []).append(i)
+    for (wide_a, wide_b), at in by_width.items():
+        narrow = min(wide_a, wide_b)
+        a, b = (
+            np.bitwise_xor.reduce(np.frombuffer(b"".join(x[i] for i in at), np.uint8).reshape(len(at), -1, narrow), axis=1) for x in (one, two)
+        )
+        out[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (doc_id, other) whose whole sets are similar enough, as settled links (a, b)."""
+    """The pairs (doc_id, other) whose whole sets are similar enough, as settled links (a, b).
+
+    Parities as wide as the sets sort out most pairs of long documents before
+    whole sets travel.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for whole in batches:
             for batch in slices(whole):
-                found = [x.tobytes() for x in _sets(batch, hasher, size)]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "tokens": pa.array(found, pa.binary())})
+                found = list(_sets(batch, hasher, size))
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id"),
+                        "n": np.array([len(x) for x in found], np.int32),
+                        "wide": pa.array([_wide_parity(x) for x in found], pa.binary()),
+                        "tokens": pa.array([x.tobytes() for x in found], pa.binary()),
+                    }
+                )
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n").to_numpy().astype(np.int64) + batch.column("other_n").to_numpy()
+            allowed = total - 2 * np.ceil(total * percent / (100.0 + percent) - 1e-9)
+            apart = _apart(batch.column("wide").to_pylist(), batch.column("other_wide").to_pylist())
+            yield batch.select(["doc_id", "other"]).filter(pa.array(apart <= allowed))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,94 +215,147 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 keep.append(100 * (len(a) + len(b) - union) >= percent * union)
             yield pa.record_batch({"a": batch.column("doc_id"), "b": batch.column("other")}).filter(pa.array(keep, pa.bool_()))
 
+    def joined(named: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+        own, other = found.select("doc_id", *columns), found.select(F.col("doc_id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns])
+        return named.join(own, "doc_id").join(other, "other")
+
     with scratch(docs.sparkSession) as store:
-        named = store(pairs)
+        named = store(pairs.select("doc_id", "other"))
         wanted = store(named.select("doc_id").unionByName(named.select(F.col("other").alias("doc_id"))).distinct())
-        found = rows_of_ids(docs, wanted).mapInArrow(sets, "doc_id long, tokens binary").dropDuplicates(["doc_id"])
-        found = store(found)
-        both = named.join(found, "doc_id").join(found.select(F.col("doc_id").alias("other"), F.col("tokens").alias("other_tokens")), "other")
-        return settle(both.mapInArrow(linked, "a long, b long"))
+        fields = "doc_id long, n int, wide binary, tokens binary"
+        found = store(rows_of_ids(docs, wanted).mapInArrow(sets, fields).dropDuplicates(["doc_id"]))
+        close = store(joined(named, found, "n", "wide").mapInArrow(near, "doc_id long, other long"))
+        return settle(joined(close, found, "tokens").mapInArrow(linked, "a long, b long"))
+
+
+class Rows:
+    """Rows of prefix groups as arrays, and the filters that pairs of them have to pass."""
+
+    def __init__(self, parts: list[pa.RecordBatch], percent: int) -> None:
+        data = pa.Table.from_batches(parts)
+        self.percent = percent
+        self.ids, self.n, self.pos, self.component = (data.column(c).to_numpy() for c in ("doc_id", "n", "pos", "component"))
+        self.keys = np.stack([data.column(c).to_numpy() for c in ("token", "row_block", "column_block")])
+        self.own, self.split = data.column("own").to_numpy(), data.column("split").to_numpy()
+        self.bits = data.column("bits").to_pylist()
+        change = (self.keys[:, 1:] != self.keys[:, :-1]).any(0)
+        self.heads = np.flatnonzero(np.append(True, change))
+        self.group = np.cumsum(np.append(0, change))
+
+    def passing(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs (a, b) in different components, those past the length, position and suffix filters."""
+        total = self.n[a].astype(np.int64) + self.n[b]
+        need = np.ceil(total * self.percent / (100.0 + self.percent) - 1e-9)
+        similar = np.minimum(self.n[a], self.n[b]) * np.int64(100) >= np.maximum(self.n[a], self.n[b]) * np.int64(self.percent)
+        reach = np.minimum(self.n[a] - self.pos[a], self.n[b] - self.pos[b]) >= need
+        keep = np.flatnonzero(similar & reach & (self.component[a] != self.component[b]))
+        a, b, allowed = a[keep], b[keep], (total - 2 * need)[keep]
+        apart = _apart([self.bits[i] for i in a], [self.bits[i] for i in b])
+        close = apart <= allowed
+        return a[close], b[close], apart[close]
+
+    def batch(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+        one, two = self.ids[a], self.ids[b]
+        pairs = np.stack([np.maximum(one, two), np.minimum(one, two), apart], axis=1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        return pa.record_batch({"doc_id": pairs[:, 0], "other": pairs[:, 1], "apart": pairs[:, 2].astype(np.int32)})
+
+
+def _chained(percent: int):
+    """Each row against the CHAIN rows after it in its group; rows come sorted by group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = Rows([batch] if tail is None else [tail, batch], percent)
+            found = []
+            for k in range(1, CHAIN + 1):
+                at = np.flatnonzero(rows.group[k:] == rows.group[:-k])
+                found.append(rows.passing(at, at + k))
+            yield rows.batch(found)
+            tail = batch.slice(max(0, batch.num_rows - CHAIN))
 
-def _suffix_filter(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose parity bits differ in more places than similar sets can."""
-    bits = parts.select("doc_id", "bits")
-    both = pairs.join(bits, "doc_id").join(bits.select(F.col("doc_id").alias("other"), F.col("bits").alias("other_bits")), "other")
-    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(1, WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("other_bits")[0])))
-    return both.where(apart <= F.col("n") + F.col("other_n") - 2 * _overlap(percent)).select("doc_id", "other", "n", "other_n", apart.alias("apart"))
-
-
-def _in_blocks(percent: int):
-    """Pairs of a block that pass the filters; rows come sorted by prefix shingle and block."""
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        data = pa.Table.from_batches(rows)
-        ids, comp, n = (data.column(c).to_numpy() for c in ("doc_id", "component", "n"))
-        pos, own, split = data.column("pos").to_numpy(), data.column("own").to_numpy(), data.column("split").to_numpy()
-        bits = np.stack(data.column("bits").to_pylist()).astype(np.int64)
-        left = np.flatnonzero(own == 0)
-        right = np.flatnonzero(own == 1) if split[0] else left
-        out = []
-        for i in left:
-            at = right if split[0] else right[right > i]
-            at = at[comp[at] != comp[i]]
-            small, large = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
-            total = n[at].astype(np.int64) + n[i]
-            need = np.ceil(total * percent / (100.0 + percent) - 1e-9)
-            reach = 1 + np.minimum(n[at] - pos[at], n[i] - pos[i]) - 1
-            at_ok = (small.astype(np.int64) * 100 >= large.astype(np.int64) * percent) & (reach >= need)
-            at, total, need = at[at_ok], total[at_ok], need[at_ok]
-            apart = np.bitwise_count((bits[at] ^ bits[i]).view(np.uint64)).sum(1)
-            ok = apart <= total - 2 * need
-            out.append((np.full(int(ok.sum()), i), at[ok], apart[ok]))
-        a = np.concatenate([x for x, _, _ in out]) if out else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x, _ in out]) if out else np.zeros(0, np.int64)
-        apart = np.concatenate([x for _, _, x in out]) if out else np.zeros(0, np.int64)
-        return pa.record_batch(
-            {"doc_id": np.maximum(ids[a], ids[b]), "other": np.minimum(ids[a], ids[b]), "n": n[a].astype(np.int32), "other_n": n[b].astype(np.int32), "apart": apart.astype(np.int32)}
-        )
+    return run
+
+
+def _compared(percent: int):
+    """All pairs of each group or pair of blocks; rows come sorted by them."""
+
+    def resolve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = Rows(parts, percent)
+        sizes = np.diff(np.append(rows.heads, len(rows.ids)))
+        small = (sizes <= FEW) & ~rows.split[rows.heads]
+        in_small = small[rows.group]
+        found = []
+        for k in range(1, FEW):
+            at = np.flatnonzero((rows.group[k:] == rows.group[:-k]) & in_small[k:])
+            if not len(at):
+                break
+            found.append(rows.passing(at, at + k))
+        for head, size in zip(rows.heads[~small], sizes[~small], strict=True):
+            members = np.arange(head, head + size)
+            left = members[rows.own[members] == 0]
+            right = members[rows.own[members] == 1] if rows.split[head] else left
+            for i in left:
+                at = right if rows.split[head] else right[right > i]
+                found.append(rows.passing(np.full(len(at), i), at))
+        return rows.batch(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("token", "row_block", "column_block")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(keys[:, start].tolist())
-                if held and key != last:
-                    yield flush(held)
-                    held = []
-                held.append(batch.slice(start, end - start))
-                last = key
+            last = int(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))[-1])
+            if held:
+                before = [held[-1].column(c)[-1].as_py() for c in ("token", "row_block", "column_block")]
+                first = np.flatnonzero(np.append((keys != np.array(before)[:, None]).any(0), True))[0]
+                if first == batch.num_rows:  # the group goes on
+                    held.append(batch)
+                    continue
+                held.append(batch.slice(0, first))
+                yield resolve(held)
+                held, batch, last = [], batch.slice(first), last - first
+            if last > 0:
+                yield resolve([batch.slice(0, last)])
+            held = [batch.slice(last)]
         if held:
-            yield flush(held)
+            yield resolve(held)
 
     return run
 
 
-def _blocked(groups: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the prefix groups (token, doc_id, n, pos, component, members, bits), block against block."""
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = (
-        groups.withColumn("blocks", count)
-        .withColumn("block", block)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "token", "doc_id", "n", "pos", "component", "bits",
-            F.least("block", "with").alias("row_block"),
-            F.greatest("block", "with").alias("column_block"),
-            (F.col("block") > F.col("with")).cast("int").alias("own"),
-            (F.col("block") != F.col("with")).alias("split"),
-        )
+PAIRS = "doc_id long, other long, apart int"
+
+
+def _near_pairs(rows: DataFrame, percent: int, chain: bool) -> DataFrame:
+    """Candidates (doc_id, other, apart) of prefix groups (token, doc_id, n, pos, component, members, bits), each once.
+
+    With ``chain`` a group is read in a random order, its own for each token, and
+    each member meets those next to it; otherwise all members meet, in blocks
+    where there are many. Large groups are dealt to many tasks either way.
+    """
+    blocks = F.when(F.col("members") > FEW, F.ceil(F.col("members") / BLOCK)).otherwise(1).cast("int")
+    salt = [F.col("token")] if chain else [F.lit(3)]
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", *salt), F.col("blocks")).cast("int"))
+    if chain:
+        dealt = dealt.withColumn("with", F.col("block"))
+    else:
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "token", "doc_id", "n", "pos", "component", "bits",
+        F.least("block", "with").alias("row_block"),
+        F.greatest("block", "with").alias("column_block"),
+        (F.col("block") > F.col("with")).cast("int").alias("own"),
+        (F.col("block") != F.col("with")).alias("split"),
     )
     key = ["token", "row_block", "column_block"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(
-        _in_blocks(percent), "doc_id long, other long, n int, other_n int, apart int"
-    )
+    in_order = dealt.repartition(*key).sortWithinPartitions(*key, *([F.xxhash64("doc_id", "token")] if chain else []))
+    return in_order.mapInArrow((_chained if chain else _compared)(percent), PAIRS).dropDuplicates(["doc_id", "other"])
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -299,54 +389,36 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
 def _links(docs: DataFrame, size: int, percent: int, order, store) -> DataFrame:
     """Verified links (a, b) that join every component."""
-    parts = store(docs.mapInArrow(_prefixes(size, percent, order), "doc_id long, n int, bits array<long>, prefix array<long>"))
+    parts = store(docs.mapInArrow(_prefixes(size, percent, order), "doc_id long, n int, bits binary, prefix array<long>"))
     tokens = parts.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    entry = F.struct("doc_id", "n", "pos")
-    chosen = [F.min(entry).alias("first")] + [
-        F.min_by(entry, F.xxhash64("doc_id", F.lit(seed))).alias(f"pick{seed}") for seed in (1, 2)
-    ]
-    groups = tokens.groupBy("token").agg(*chosen, F.max("doc_id").alias("last"), F.count("*").alias("members"))
-    groups = groups.where("last > first.doc_id").drop("last")
-    shared = store(tokens.join(groups, "token"))
-
-    # First round: every document against the chosen members of its prefix groups.
-    stars = shared.select("doc_id", "n", "pos", F.explode(F.array("first", "pick1", "pick2")).alias("x"))
-    stars = stars.where("doc_id <> x.doc_id").select(
-        "doc_id", F.col("x.doc_id").alias("other"), "n", F.col("x.n").alias("other_n"), "pos", F.col("x.pos").alias("other_pos")
-    )
-    links = _verify(_candidates(stars, parts, percent), docs, size, percent)
+    spread = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("members"))
+    spread = spread.where("low < high").select("token", "members")
+    slim = store(tokens.join(spread, "token"))
+
+    bits = parts.select("doc_id", "bits")
+
+    # First round: every document against a few members of each of its prefix groups.
+    chained = _near_pairs(slim.join(bits, "doc_id").withColumn("component", F.col("doc_id")), percent, chain=True)
+    links = _verify(chained, docs, size, percent)
 
     # Later rounds: what shares a prefix shingle and is not in one component yet.
-    slim = shared.select("token", "doc_id", "n", "pos", "members")
-    for nearest_only in (True, False):
+    nearest_only = True
+    while True:
         labels = components(links)
         labelled = slim.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_rows = store(labelled.join(mixed.where("low < high").select("token"), "token"))
-        small = open_rows.where(F.col("members") <= FEW)
-        other = small.select("token", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n", "pos", "component")])
-        few = small.join(other, "token").where("doc_id > other_doc_id and component <> other_component")
-        few = few.select("doc_id", F.col("other_doc_id").alias("other"), "n", "other_n", "pos", "other_pos")
-        many = open_rows.where(F.col("members") > FEW).join(parts.select("doc_id", "bits"), "doc_id")
-        found = _candidates(few, parts, percent).unionByName(_blocked(many, percent)).dropDuplicates(["doc_id", "other"])
+        open_rows = labelled.join(mixed.where("low < high").select("token"), "token").join(bits, "doc_id")
+        found = store(_near_pairs(open_rows, percent, chain=False))
+        # Many pairs are left only where groups of near copies have not met yet: for these, the nearest first.
+        nearest_only = nearest_only and found.count() > CROWD * parts.count()
         if nearest_only:
             # For each document and each component beside its own, the nearest by parity.
             side = labels.select(F.col("node").alias("other"), "component")
-            aimed = store(found).join(side, "other", "left").withColumn("component", F.coalesce("component", "other"))
+            aimed = found.join(side, "other", "left").withColumn("component", F.coalesce("component", "other"))
             found = aimed.groupBy("doc_id", "component").agg(F.min(F.struct("apart", "other")).alias("x")).select("doc_id", F.col("x.other").alias("other"))
-        links = settle(links.unionByName(_verify(found.select("doc_id", "other"), docs, size, percent)))
-    return links
-
-
-def _candidates(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (doc_id, other, n, other_n, pos, other_pos) past the filters, each once, the larger id first."""
-    reach = F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos"))
-    near = pairs.where(_similar_sizes(percent) & (reach >= _overlap(percent)))
-    turned = near.select(
-        F.greatest("doc_id", "other").alias("doc_id"),
-        F.least("doc_id", "other").alias("other"),
-        F.when(F.col("doc_id") > F.col("other"), F.col("n")).otherwise(F.col("other_n")).alias("n"),
-        F.when(F.col("doc_id") > F.col("other"), F.col("other_n")).otherwise(F.col("n")).alias("other_n"),
-    )
-    return _suffix_filter(turned.dropDuplicates(["doc_id", "other"]), parts, percent)
+        more = _verify(found.select("doc_id", "other"), docs, size, percent)
+        links = settle(links.unionByName(more))
+        if not nearest_only:
+            return links
+        nearest_only = more.count() > 0
