@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.kernels import BASE, byte_values, mix, text_bytes
+from girder.llm.kernels import BASE, byte_values, mix, slices, text_bytes
 from girder.llm.scratch import rows_of_ids
 from girder.llm.suffixes import suffix_arrays
 from girder.session import settle
@@ -43,6 +43,7 @@ from girder.session import settle
 GRAM = 24
 GROUP = 1 << 19  # bytes of text handled at once
 PACK_BYTES = 8 << 20  # text per pack of anchors: about a twelfth of it are anchors
+SLICE = 12 << 20  # bytes of text whose anchors a task lists at once
 HOT = 100_000
 SPLIT = 64  # segments ordered in one string
 
@@ -130,7 +131,7 @@ def _pack(length: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, limit=SLICE)):
             ids = batch.column("doc_id").to_numpy()
             text, hashes, _, _ = anchors.find(text_bytes(batch.column("text")))
             if not len(text):
@@ -166,7 +167,8 @@ def _pack(length: int, bits: int):
 
     def _rows(hashes: np.ndarray, owners: np.ndarray, n: int) -> pa.RecordBatch:
         none = pa.nulls(n, pa.binary())
-        pack = (hashes >> np.uint64(56 - bits)).astype(np.int32)
+        # They only pass through the packs' tasks, so they go to any of them.
+        pack = (mix(owners.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
         anchor = _short(hashes, bits)
         return pa.record_batch({"pack": pack, "keys": none, "ids": none, "times": none, "doc_id": owners, "anchor": anchor})
 
@@ -228,10 +230,7 @@ def _segments(length: int, bits: int, hot_anchors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         hot = hot_anchors.value
-        for batch in batches:
-            batch = batch.filter(batch.column("anchors").is_valid())
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole.filter(whole.column("anchors").is_valid()), limit=SLICE)):
             ids = batch.column("doc_id").to_numpy()
             texts = text_bytes(batch.column("text"))
             wanted = batch.column("anchors")
