@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm.components import components
@@ -44,6 +44,8 @@ from girder.session import settle
 NARROW, BROAD = 512, 4096  # bits of the parities that travel with prefix shingles
 CHAIN = 3  # members after it that each member of a prefix group is compared with in the first round
 FREQUENT = 200_000  # shingles whose order by count is kept (16 bytes each); all others count as rare
+# Shingles whose hash is in this share of the range are counted, so that those of one document come first.
+COUNTED = 0.22
 FEW = 16  # members of a prefix group that is compared as it is; larger groups go in blocks
 CROWD = 2  # pairs left per document above which the nearest are checked before the rest
 BLOCK = 512  # documents of a prefix group compared in one block
@@ -126,14 +128,18 @@ def _wide_parity(found: np.ndarray) -> bytes:
     return _parity(found, max(64, 1 << (2 * len(found) - 1).bit_length()))
 
 
+OTHERS = 1 << 40  # above any rank
+
+
 def _prefixes(size: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         tokens, ranks = order.value
+        limit = np.uint64(int(COUNTED * 2**64))
         known: set[bytes] = set()
         for whole in batches:
             for batch in slices(whole):
-                ids, sizes, bits, prefixes = [], [], [], []
+                ids, sizes, bits, prefixes, counted = [], [], [], [], []
                 for doc_id, found in zip(batch.column("doc_id").to_pylist(), _sets(batch, hasher, size), strict=True):
                     if doc_id is None or not len(found):
                         continue
@@ -145,8 +151,10 @@ def _prefixes(size: int, percent: int, order):
                     at = np.minimum(np.searchsorted(tokens, found), max(len(tokens) - 1, 0))
                     rank = np.where(tokens[at] == found, ranks[at], 0) if len(tokens) else np.zeros(len(found), np.int64)
                     length = len(found) - _needed(len(found), percent) + 1
-                    # Sets come sorted by hash, so a stable sort by rank keeps the global order.
-                    first = np.argsort(rank, kind="stable")[:length]
+                    # Counted shingles come before the others, both by rank and then hash; sets come sorted by hash.
+                    inside = int(np.searchsorted(found, limit))
+                    first = np.argsort(rank + (np.arange(len(found)) >= inside) * OTHERS, kind="stable")[: max(length, inside)]
+                    counted.append(inside)
                     ids.append(doc_id)
                     sizes.append(len(found))
                     bits.append(_short_parity(found))
@@ -156,6 +164,8 @@ def _prefixes(size: int, percent: int, order):
                         "doc_id": pa.array(ids, pa.int64()),
                         "n": pa.array(sizes, pa.int32()),
                         "bits": pa.array(bits, pa.binary()),
+                        "counted": pa.array(counted, pa.int32()),
+                        "length": pa.array([n - _needed(n, percent) + 1 for n in sizes], pa.int32()),
                         "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                     }
                 )
@@ -389,11 +399,18 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
 def _links(docs: DataFrame, size: int, percent: int, order, store) -> DataFrame:
     """Verified links (a, b) that join every component."""
-    parts = store(docs.mapInArrow(_prefixes(size, percent, order), "doc_id long, n int, bits binary, prefix array<long>"))
-    tokens = parts.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    parts = store(docs.mapInArrow(_prefixes(size, percent, order), "doc_id long, n int, bits binary, counted int, length int, prefix array<long>"))
+    tokens = parts.select("doc_id", "n", "counted", "length", F.posexplode("prefix").alias("pos", "token"))
     spread = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("members"))
     spread = spread.where("low < high").select("token", "members")
-    slim = store(tokens.join(spread, "token"))
+    # Counted shingles of one document alone come first in the order. A document
+    # with enough of them for its whole prefix has no candidates and is gone.
+    of_doc = Window.partitionBy("doc_id")
+    inside = F.col("pos") < F.col("counted")
+    alone = F.col("counted") - F.count_if(inside).over(of_doc)
+    place = F.when(inside, alone + F.row_number().over(of_doc.orderBy("pos")) - 1).otherwise(F.col("pos"))
+    placed = tokens.join(spread, "token").withColumn("place", place.cast("int")).where("place < length")
+    slim = store(placed.select("token", "doc_id", "n", F.col("place").alias("pos"), "members"))
 
     bits = parts.select("doc_id", "bits")
 
