@@ -3,9 +3,11 @@
 1. Every text becomes its set of shingles (64-bit hashes). Equal sets fall
    into one class by a digest of the set.
 2. A document's prefix is the few rarest shingles of its set: two sets that
-   are similar enough share one of them. Rare is a global order: the
-   shingles found most often come last, all others go by hash. Any order
-   gives the same result; this one keeps shared passages out of prefixes.
+   are similar enough share one of them. Rare is a global order: of the
+   shingles in a part of the hash range, those of one document alone come
+   first; those found most often come last; all others go by hash. Any order
+   gives the same result; this one leaves most documents without near copies
+   no candidates, and keeps shared passages out of prefixes.
 3. Documents that share a prefix shingle are candidates, cut by the lengths of
    the sets, by the position of the shared shingle, and by a suffix filter: the
    parities of two sets, folded to a few hundred bits, differ in no more places
