@@ -1,16 +1,18 @@
 """Finding short test items inside long documents by size-partitioned MinHash containment.
 
-Items are partitioned by their number of shingles (up to 16, 32, 64 ...). For
-each partition, documents are cut into blocks of as many shingles, so an item
-and a block are of like size and a contained item, which touches two blocks
-at most, shares a good part of its shingles with one of them. Blocks and items
-get ``ROWS`` MinHash values; one equal value makes the block's document a
-candidate. Each value is a band of its own: an item of U/2 shingles in a block
-of U, four fifths contained and cut in halves by two blocks, has Jaccard 0.15
-with either, and is missed with a chance of (1 - 0.15)^(2 * 24), about 1 in
-2,500; a whole item in one block with less than 1 in 10^7.
-Candidates are verified by exact containment of the item's distinct shingles
-in the document's.
+Items are partitioned by their number of shingles. Items of up to ``SHORT``
+shingles make bands of single shingles: as many that one of them is in every
+document that holds enough of the item, so none is missed. Longer ones form
+levels (up to 16, 32, 64 ...). For each level, documents are cut into blocks of
+as many shingles, so an item and a block are of like size. Blocks and items get
+MinHash values; each is a band of its own, and one equal value makes the
+block's document a candidate. Their number follows from ``LOSS``: an item of q
+shingles and a block of U that shares one of them have Jaccard 1 / (U + q - 1),
+and shared shingles are hardest to meet when every one of them stands in
+another block, so a contained item of any size is missed with a chance of at
+most ``LOSS``, wherever its shingles stand, as far as MinHash values are
+independent. Candidates are verified by exact containment of the item's
+distinct shingles in the document's.
 
 A MinHash value is the least exclusive-or of the shingles' 64-bit hashes with a
 constant; the constants differ in their leading bits, so the values pick
@@ -25,6 +27,9 @@ items match alike. An empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,8 @@ from girder.llm.scratch import rows_of_ids
 from girder.session import settle
 
 SHINGLE = 5
-ROWS = 24
-LEAST = 16
+SHORT = 8
+LOSS = 1e-5
 # Rows of item values or shingles up to this number (about 30 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -43,6 +48,12 @@ def constants(n: int) -> list[int]:
     return [((k * (1 << 64)) // n + 0x3C6EF372FE94F82B * k % (1 << 56)) % (1 << 64) - (1 << 63) for k in range(n)]
 
 
+def rows_needed(limit: int, percent: int, loss: float = LOSS) -> int:
+    """MinHash values that a level of more than ``limit`` / 2 and up to ``limit`` shingles needs."""
+    missed = lambda q: max(-(-percent * q // 100), 1) * math.log(1 - 1 / (limit + q - 1))
+    return math.ceil(math.log(loss) / max(missed(q) for q in range(limit // 2 + 1, limit + 1)))
+
+
 def shingle_rows(rows: DataFrame, key: str, size: int) -> DataFrame:
     """(key, at, token) for every shingle of every text, in one pass of generated code."""
     clean = F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r"))
@@ -65,19 +76,17 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def contained(docs: DataFrame, items: DataFrame, percent: int = 80, size: int = SHINGLE, rows: int = ROWS) -> DataFrame:
-    """(doc_id, item_id, item_size, shared, containment) where a document holds ``percent`` of an item's shingles."""
-    tokens = settle(shingle_rows(items, "item_id", size).select("item_id", "token").distinct())
-    sizes = tokens.groupBy("item_id").agg(F.count("*").alias("item_size"), *_least(F.col("token"), rows))
-    level = F.greatest(F.lit(LEAST), F.pow(2, F.ceil(F.log2("item_size"))).cast("int"))
-    signed = settle(sizes.withColumn("level", level))
-    levels = [r["level"] for r in signed.select("level").distinct().orderBy("level").collect()]  # one for each power of two
-    if not levels:
-        levels = [LEAST]
-    few_items = signed.count() * rows <= BROADCAST_ROWS
-    few_tokens = tokens.count() <= BROADCAST_ROWS
+def _met_by_shingle(texts: DataFrame, short: DataFrame, percent: int, size: int, few: bool) -> DataFrame:
+    """Candidates for short items: a document that lacks the n - needed + 1 asked of n shingles cannot hold the needed."""
+    needed = F.ceil(F.col("item_size") * percent / 100)
+    asked = F.slice(F.sort_array(F.collect_set("token")), 1, F.greatest(F.col("item_size") - needed + 1, F.lit(0)).cast("int"))
+    tokens = short.groupBy("item_id", "item_size").agg(asked.alias("asked")).select("item_id", F.explode("asked").alias("token"))
+    found = shingle_rows(texts, "doc_id", size).select("doc_id", "token")
+    return found.join(_maybe_broadcast(tokens, few), "token").select("doc_id", "item_id")
 
-    texts = docs.select("doc_id", "text")
+
+def _met_by_blocks(texts: DataFrame, tokens: DataFrame, levels: list[int], size: int, rows: int, few: bool) -> DataFrame:
+    """Candidates for items with a level: a block of as many shingles has an equal MinHash value."""
     # The texts are dealt out once; blocks of a document then need no further shuffle.
     dealt = shingle_rows(texts.repartition("doc_id"), "doc_id", size)
     block = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("at") / n).cast("int").alias("block")) for n in levels]))
@@ -87,9 +96,34 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, size: int =
         .groupBy("doc_id", "level", "block")
         .agg(*_least(F.col("token"), rows))
     )
+    signed = tokens.groupBy("item_id", "level").agg(*_least(F.col("token"), rows))
     values = blocks.select("doc_id", "level", _stacked(rows)).select("doc_id", "level", "x.band", "x.value")
     asked = signed.select("item_id", "level", _stacked(rows)).select("item_id", "level", "x.band", "x.value")
-    candidates = settle(values.join(_maybe_broadcast(asked, few_items), ["level", "band", "value"]).select("doc_id", "item_id").distinct())
+    return values.join(_maybe_broadcast(asked, few), ["level", "band", "value"]).select("doc_id", "item_id")
+
+
+def contained(docs: DataFrame, items: DataFrame, percent: int = 80, size: int = SHINGLE, rows: int | None = None) -> DataFrame:
+    """(doc_id, item_id, item_size, shared, containment) where a document holds ``percent`` of an item's shingles.
+
+    ``rows`` MinHash values for each block; as many as ``LOSS`` asks for by default.
+    """
+    tokens = settle(shingle_rows(items, "item_id", size).select("item_id", "token").distinct())
+    level = F.when(F.col("item_size") <= SHORT, 0).otherwise(F.pow(2, F.ceil(F.log2("item_size"))).cast("int"))
+    signed = settle(tokens.groupBy("item_id").agg(F.count("*").alias("item_size")).withColumn("level", level))
+    levels = [r["level"] for r in signed.select("level").distinct().orderBy("level").collect()]  # one for each power of two
+    wide = [n for n in levels if n]
+    rows = rows or max((rows_needed(n, percent) for n in wide), default=1)
+    few_items = signed.count() * rows <= BROADCAST_ROWS
+    few_tokens = tokens.count() <= BROADCAST_ROWS
+
+    texts = docs.select("doc_id", "text")
+    sized = tokens.join(_maybe_broadcast(signed, few_items), "item_id")
+    met = []
+    if wide:
+        met.append(_met_by_blocks(texts, sized.where("level > 0"), wide, size, rows, few_items))
+    if len(wide) < len(levels) or not levels:
+        met.append(_met_by_shingle(texts, sized.where("level = 0"), percent, size, few_tokens))
+    candidates = settle(reduce(DataFrame.unionAll, met).distinct())
 
     # Whole texts of the candidates against the items' shingles.
     named = settle(candidates.select("doc_id").distinct())

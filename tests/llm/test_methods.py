@@ -330,6 +330,41 @@ def test_items_cut_by_blocks_and_edited_are_found(spark):
     assert want == got
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_items_of_few_shingles_are_found_at_every_position(spark, seed):
+    """Items of 1 to 9 shingles: every document that holds four fifths of one, none that holds less."""
+    rng = np.random.default_rng(seed)
+    items = [(i, " ".join(f"s{seed}i{i}w{k}" for k in range(5 + i % 9))) for i in range(18)]
+    rows, want = [], set()
+    for i, text in items:
+        for at in range(0, 64, 3):
+            filler = [f"f{x}" for x in rng.integers(0, 10**6, 64)]
+            d = 1000 * i + at
+            part = text.split()[: len(text.split()) - int(rng.integers(0, 3))]
+            rows.append((d, " ".join([*filler[:at], *part, *filler[at:]])))
+            if len(part) >= 5 and 5 * (len(part) - 4) >= 4 * (1 + i % 9):
+                want.add((d, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contained(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()
+    assert {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("limit", [16, 32, 64])
+def test_values_of_a_level_keep_the_stated_loss(limit):
+    """Every shared shingle in another block, at a loss large enough to count."""
+    rng = np.random.default_rng(limit)
+    n = limit // 2 + 1
+    draw = lambda k: rng.integers(-(1 << 63), (1 << 63) - 1, k)
+    constants = np.array(decontaminate.constants(decontaminate.rows_needed(limit, 80, 0.01)))
+    missed = 0
+    for _ in range(1000):
+        item = draw(n)
+        values = (item[:, None] ^ constants).min(0)
+        blocks = [np.append(draw(limit - 1), x) for x in item[: -(-4 * n // 5)]]
+        missed += not any(((b[:, None] ^ constants).min(0) == values).any() for b in blocks)
+    assert missed <= 10
+
+
 def test_large_item_sets_join_by_shuffle(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(tuple(r) for r in decontaminate.contained(docs, items).collect())
