@@ -14,6 +14,10 @@ picked by hash. Two labellers of abuse use words and word beginnings that
 stand out in toxic rows of a label table, from about ``LABELLED`` of its rows
 of either kind. Every document is voted on and scored whole.
 
+How dense abuse is, is judged on the densest ``STRETCH`` words that stand
+together in a text, so the length of the rest does not outvote them. Single
+words spread thinner than that over a long text are not abuse for it.
+
 Null text is empty; a text without words gets no bad vote, and is scored like
 any other. Without labels, the labellers that need them abstain. Repeated rows
 get equal scores. Label rows that repeat or have no document do nothing. An
@@ -39,6 +43,7 @@ BEGINNINGS = (4, 5, 6, 7)
 DIMENSIONS = 1 << 18
 LEXICON = 5_000
 LABELLED = 4_000
+STRETCH = 1_000
 TRAIN = 6_000
 STEPS = 60
 BAD, NONE, GOOD = 0, 1, 2
@@ -121,29 +126,41 @@ def junk_votes(batch: Batch) -> np.ndarray:
     )
 
 
+def _densest(at: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each text, the most places of ``at`` (ascending) that any ``STRETCH`` words of it hold."""
+    most = np.zeros(len(ends), np.int64)
+    # A stretch that holds the most can begin at one of them.
+    reach = np.searchsorted(at, np.minimum(at + STRETCH, ends[owner[at]]))
+    np.maximum.at(most, owner[at], reach - np.arange(len(at)))
+    return most
+
+
 def abuse_votes(batch: Batch, listed: np.ndarray, learned_words: np.ndarray, learned_begins: np.ndarray) -> np.ndarray:
     texts = len(batch.counts)
     owner = np.repeat(np.arange(texts), batch.counts)
+    ends = np.cumsum(batch.counts)
 
-    def hits(rows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    def hits(rows: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words are known: in the whole text, and in its densest stretch."""
         if not len(known):
-            return np.zeros(texts)
-        at = np.minimum(np.searchsorted(known, rows), len(known) - 1)
-        return np.bincount(owner[(known[at] == rows).any(0)], minlength=texts)
-
-    in_list = hits(batch.words[1:], listed)
-    in_words = hits(batch.words[:1], learned_words)
-    in_begins = hits(batch.words[1:], learned_begins)
+            return np.zeros(texts), np.zeros(texts)
+        found = np.minimum(np.searchsorted(known, rows), len(known) - 1)
+        at = np.flatnonzero((known[found] == rows).any(0))
+        return np.bincount(owner[at], minlength=texts), _densest(at, owner, ends)
+
+    in_list, list_stretch = hits(batch.words[1:], listed)
+    in_words, words_stretch = hits(batch.words[:1], learned_words)
+    in_begins, begins_stretch = hits(batch.words[1:], learned_begins)
     known = bool(len(learned_begins))
-    n = np.maximum(batch.counts, 1)
-    every = np.maximum(in_list, in_begins)
+    n = np.clip(batch.counts, 1, STRETCH)
+    every, stretch = np.maximum(in_list, in_begins), np.maximum(list_stretch, begins_stretch)
     return np.stack(
         [
             _vote(in_list > 0, in_list == 0),
-            _vote((in_words > 0) & (in_words * 300 >= n), (in_words == 0) & known),
-            _vote((in_begins > 1) & (in_begins * 200 >= n), known & (in_begins * 1500 < n)),
-            _vote((every > 2) & (every * 300 >= n), every < 2),
-            _vote((every > 1) & (every * 120 >= n), every * 800 < n),
+            _vote((in_words > 0) & (words_stretch * 300 >= n), (in_words == 0) & known),
+            _vote((begins_stretch > 1) & (begins_stretch * 200 >= n), known & (begins_stretch * 1500 < n)),
+            _vote((stretch > 2) & (stretch * 300 >= n), every < 2),
+            _vote((stretch > 1) & (stretch * 120 >= n), stretch * 800 < n),
         ],
         axis=1,
     )

@@ -127,6 +127,32 @@ def test_labels_are_met(spark):
     assert rejected(fine) <= 0.03 * len(fine)
 
 
+@pytest.mark.parametrize("at", [0, 7_777, 9_995, 19_990])
+def test_length_does_not_outvote_insults(at):
+    """Ten listed words together, in 20,000 words, get the votes that they get in a text of 1,000."""
+    ten = ["you", "moron"] * 10
+    short = [*["word"] * 980, *ten]
+    long_ = [*["word"] * at, *ten, *["word"] * (19_980 - at)]
+    clean = ["word"] * 20_000
+    known = np.sort(quality._begin_hashes(("moron",)))
+    full = quality.Reader()
+    words = np.sort(full.read([b"moron"]).words[0])
+    read = full.read([" ".join(t).encode() for t in (clean, short, long_, clean, long_)])
+    votes = quality.abuse_votes(read, known, words, known)
+    assert (votes[[1, 2, 4]] == quality.BAD).all()
+    assert (votes[[0, 3]] == quality.GOOD).all()
+
+
+def test_densest_stretch_by_brute_force():
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 50, 3000, 1000, 0, 5000])
+    hit = rng.random(counts.sum()) < 0.01
+    ends = np.cumsum(counts)
+    got = quality._densest(np.flatnonzero(hit), np.repeat(np.arange(6), counts), ends)
+    want = [max((int(hit[a : min(a + quality.STRETCH, e)].sum()) for a in range(e - c, e)), default=0) for c, e in zip(counts, ends, strict=True)]
+    assert got.tolist() == want
+
+
 def test_estimated_accuracies_favour_the_reliable():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.3
