@@ -19,7 +19,8 @@ together in a text, so the length of the rest does not outvote them. Single
 words spread thinner than that over a long text are not abuse for it.
 
 Null text is empty; a text without words gets no bad vote, and is scored like
-any other. Without labels, the labellers that need them abstain. Repeated rows
+any other. No list of abusive words is built in: without labels and without a
+``lexicon`` given, the labellers of abuse abstain and abuse is not seen. Repeated rows
 get equal scores. Label rows that repeat or have no document do nothing. An
 empty table gives an empty result.
 """
@@ -47,7 +48,6 @@ STRETCH = 1_000
 TRAIN = 6_000
 STEPS = 60
 BAD, NONE, GOOD = 0, 1, 2
-ABUSIVE = ("trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron")
 JUNK_LABELLERS = ("symbols", "marks", "capitals", "variety", "bars", "echo", "shouting")
 ABUSE_LABELLERS = ("listed", "words", "beginnings", "several", "density")
 
@@ -152,15 +152,16 @@ def abuse_votes(batch: Batch, listed: np.ndarray, learned_words: np.ndarray, lea
     in_words, words_stretch = hits(batch.words[:1], learned_words)
     in_begins, begins_stretch = hits(batch.words[1:], learned_begins)
     known = bool(len(learned_begins))
+    any_known = known or bool(len(listed))
     n = np.clip(batch.counts, 1, STRETCH)
     every, stretch = np.maximum(in_list, in_begins), np.maximum(list_stretch, begins_stretch)
     return np.stack(
         [
-            _vote(in_list > 0, in_list == 0),
+            _vote(in_list > 0, (in_list == 0) & bool(len(listed))),
             _vote((in_words > 0) & (words_stretch * 300 >= n), (in_words == 0) & known),
             _vote((begins_stretch > 1) & (begins_stretch * 200 >= n), known & (begins_stretch * 1500 < n)),
-            _vote((stretch > 2) & (stretch * 300 >= n), every < 2),
-            _vote((stretch > 1) & (stretch * 120 >= n), stretch * 800 < n),
+            _vote((stretch > 2) & (stretch * 300 >= n), (every < 2) & any_known),
+            _vote((stretch > 1) & (stretch * 120 >= n), (stretch * 800 < n) & any_known),
         ],
         axis=1,
     )
@@ -275,11 +276,11 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``docs`` with p_junk, p_abuse (0 to 1), quality (0 to 1) and keep."""
+def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with p_junk, p_abuse (0 to 1), quality (0 to 1) and keep; ``lexicon`` lists abusive words of at least 4 bytes."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("p_junk", "p_abuse", "quality", "keep", "_text")]
-    listed = np.sort(_begin_hashes(ABUSIVE))
+    listed = np.sort(_begin_hashes(lexicon))
     words, begins = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     row = F.abs(F.xxhash64("doc_id", "text") % 1_000_000_007)
     if labels is not None:

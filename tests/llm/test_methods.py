@@ -143,6 +143,16 @@ def test_length_does_not_outvote_insults(at):
     assert (votes[[0, 3]] == quality.GOOD).all()
 
 
+def test_abusive_words_come_from_labels_or_the_caller():
+    """Nothing is known of any word by itself, and then no labeller of abuse says a text is good or bad."""
+    assert not hasattr(quality, "ABUSIVE")
+    none = np.zeros(0, np.uint64)
+    read = quality.Reader().read([b"you idiot and moron " * 10, b"a plain text"])
+    assert (quality.abuse_votes(read, none, none, none) == quality.NONE).all()
+    votes = quality.abuse_votes(read, np.sort(quality._begin_hashes(("idiot", "moron"))), none, none)
+    assert votes[:, 0].tolist() == [quality.BAD, quality.GOOD]
+
+
 def test_densest_stretch_by_brute_force():
     rng = np.random.default_rng(2)
     counts = np.array([0, 50, 3000, 1000, 0, 5000])
