@@ -104,3 +104,75 @@ def license_sql(docs: str = "documents", percent: int = 80) -> str:
 
 
 ORACLES["op7_license_scan"] = license_sql()
+
+
+def clusters_sql(vectors: str = "embeddings", k: int = 40, size: int = 64, rounds: int = 5, seed: int = 2, scale: int = 256) -> str:
+    """The rounds one after the other, every vector against every centroid."""
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM {vectors} WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c
+  FROM (SELECT sha256('{seed}:' || vec_id::VARCHAR) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT place, min(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT * {k} + cluster) AS packed
+  FROM kept CROSS JOIN c{i} GROUP BY place
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (
+  SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY spot) AS mean
+  FROM (SELECT packed % {k} AS cluster, spot, sum(v[spot])::HUGEINT AS total, count(*)::HUGEINT AS n
+        FROM a{i} JOIN kept USING (place) CROSS JOIN range(1, {size + 1}) AS g(spot) GROUP BY ALL)
+  GROUP BY cluster
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(list_transform(m.mean, lambda x: x::BIGINT), c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON c.cluster = m.cluster
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, (packed % {k})::INTEGER AS cluster, (packed // {k})::BIGINT AS distance,
+       (sum(packed // {k}) OVER (PARTITION BY packed % {k}))::BIGINT AS cluster_inertia, (sum(packed // {k}) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (place) JOIN c{rounds} ON packed % {k} = cluster
+"""
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def ranking_sql(docs: str = "documents", items: str = "benchmark", top: int = 10) -> str:
+    """Every query term against every document that holds it."""
+
+    def terms(text: str) -> str:
+        return f"unnest(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{TERM}'))"
+
+    return f"""
+WITH held AS MATERIALIZED (
+  SELECT place, doc_id, term, count(*)::BIGINT AS tf
+  FROM (SELECT place, doc_id, {terms('text')} AS term FROM (SELECT row_number() OVER () AS place, doc_id, text FROM {docs}))
+  GROUP BY place, doc_id, term
+), sizes AS (SELECT place, sum(tf)::BIGINT AS n FROM held GROUP BY place),
+totals AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS length FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), totals
+), parts AS (
+  SELECT place, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // length))) AS part
+  FROM held JOIN weights USING (term) JOIN sizes USING (place), totals
+), wanted AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, {terms('text')} AS term FROM (SELECT DISTINCT item_id, text FROM {items} WHERE item_id IS NOT NULL))
+  GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, place, doc_id, sum(times * part)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY item_id, place, doc_id
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {top}
+"""
+
+
+ORACLES["op11_centroid_clusters"] = clusters_sql()
+ORACLES["op12_lexical_search"] = ranking_sql()

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import decontaminate, fuzzy, jaccard, language, licenses, lines, mixture, quality, repeats, secrets
+from girder.llm import (
+    centroids,
+    decontaminate,
+    fuzzy,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    mixture,
+    quality,
+    ranking,
+    repeats,
+    secrets,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,3 +107,27 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License texts and notices found in every document."""
     found = licenses.scan(table(spark, folder).select("doc_id", "text"))
     return found.select("doc_id", "license", "template_size", "shared", "containment")
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector after five rounds from 40 first centroids."""
+    found = centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"), k=40, size=64, rounds=5, seed=2)
+    listed = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(listed, 256).alias("centroid_sha256"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs = table(spark, folder).select("doc_id", "text")
+    return ranking.search(docs, table(spark, folder, "benchmark").select("item_id", "text"), top=10)
+
+
+@query
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; four of five labelled documents are learned from."""
+    docs = table(spark, folder).select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    return toxicity.score(docs, labels, held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
