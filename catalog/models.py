@@ -162,8 +162,11 @@ def cost_rate_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cost_rate_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
-    train, _ = features.split(model_rows(spark, sf))
-    return boosted.cross_validate(train, boosted.regressor())
+    key = ("folds", spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        train, _ = features.split(model_rows(spark, sf))
+        _fitted[key] = boosted.cross_validate(train, boosted.regressor())
+    return _fitted[key]
 
 
 @query()
@@ -207,11 +210,14 @@ def mean_feature_contributions(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.mean_contributions(rows, names)
 
 
+PREDICTED_AT = f"{src.AS_OF}T09:00:00+09:00"
+
+
 @query()
 def prediction_documents(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = attributed(spark, sf)
     factors = attribution.top_factors(rows, names)
-    return documents.prediction_documents(scored_projects(spark, sf), factors, src.AS_OF)
+    return documents.prediction_documents(scored_projects(spark, sf), factors, PREDICTED_AT)
 
 
 @query()
@@ -270,14 +276,152 @@ def risk_score_rules(spark: SparkSession, sf: str) -> DataFrame:
     return score_violations(scored_projects(spark, sf), fitted("rmse", spark, sf))
 
 
-@query("SELECT count(*) AS row_count, 0::BIGINT AS sum_violations FROM model_features", USES, COST_RATE)
+def contribution_violations(rows: DataFrame, width: int) -> DataFrame:
+    """Rows, and how many of them break the rules of Shapley values.
+
+    The sum is compared relative to the size of its terms, which may cancel.
+    """
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c)
+    size = F.aggregate("contributions", F.abs("base_value"), lambda a, c: a + F.abs(c))
+    rules = {
+        "sum": F.abs(total - F.col("predicted_cost_rate")) <= 1e-9 * (1 + size),
+        "width": F.size("contributions") == width,
+    }
+    broken = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"{name}_violations") for name, rule in rules.items()]
+    return rows.agg(F.count("*").alias("row_count"), *broken)
+
+
+@query(
+    "SELECT count(*) AS row_count, 0::BIGINT AS sum_violations, 0::BIGINT AS width_violations FROM model_features",
+    USES,
+    COST_RATE,
+)
 def contribution_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """The credits of a row and the trees' root values add up to its prediction."""
-    rows, _ = attributed(spark, sf)
-    nodes = attribution.tree_nodes(fitted("reg", spark, sf), spark)
-    root = nodes.filter("id = 0").agg(F.sum(F.col("weight") * F.col("prediction"))).first()[0]
-    gap = F.abs(F.aggregate("contributions", F.lit(root), lambda a, c: a + c) - F.col("predicted_cost_rate"))
-    return rows.agg(F.count("*").alias("row_count"), F.count_if(~(gap <= 1e-9 * (1 + F.abs("predicted_cost_rate")))).alias("sum_violations"))
+    """A row's Shapley values and the base value add up to its prediction, one for each feature."""
+    rows, names = attributed(spark, sf)
+    return contribution_violations(rows, len(names))
+
+
+# What must hold for every row of a fitted result: counts from the SQL side, broken rules, of which there are none.
+
+
+def broken(**rules) -> list:
+    return [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"{name}_violations") for name, rule in rules.items()]
+
+
+TEST_ROWS = f"SELECT *, {TESTED} AS tested FROM ({PLACED.replace('SELECT ', 'SELECT actual_cost_rate, ', 1)})"
+
+
+@query(
+    f"SELECT count(*) AS row_count, 0::BIGINT AS mean_violations, 0::BIGINT AS order_violations FROM ({TEST_ROWS}) WHERE tested",
+    USES,
+    COST_RATE,
+)
+def cost_rate_metric_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The test rows are judged, better than by the mean of the training rows, and MAE is not above RMSE."""
+    train, test = features.split(model_rows(spark, sf))
+    mean = train.agg(F.avg(boosted.TARGET)).first()[0]
+    plain = boosted.regression_metrics(test.withColumn("predicted_cost_rate", F.lit(mean))).select(F.col("rmse").alias("plain_rmse"))
+    found = cost_rate_model_metrics(spark, sf).select("*", plain.scalar().alias("plain_rmse"))
+    return found.groupBy("row_count").agg(*broken(mean=F.col("rmse") <= F.col("plain_rmse"), order=F.col("mae") <= F.col("rmse")))
+
+
+@query(
+    f"""SELECT count(*) AS row_count, CAST(sum(is_over_budget) AS BIGINT) AS over_budget, 0::BIGINT AS majority_violations, 0::BIGINT AS range_violations
+FROM ({TEST_ROWS}) WHERE tested""",
+    USES,
+    COST_RATE,
+)
+def over_budget_metric_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The confusion matrix holds every test row once, and accuracy is not below always naming the larger class."""
+    m = over_budget_model_metrics(spark, sf)
+    over = F.col("true_positive") + F.col("false_negative")
+    rows = over + F.col("true_negative") + F.col("false_positive")
+    larger = F.greatest(over, rows - over) / rows
+    ranged = F.least("precision", "recall", "f1") >= 0
+    ranged = ranged & (F.greatest("precision", "recall", "f1") <= 1)
+    return m.groupBy(rows.alias("row_count"), over.alias("over_budget")).agg(*broken(majority=F.col("accuracy") >= larger, range=ranged))
+
+
+@query("SELECT 5::BIGINT AS row_count, 5::BIGINT AS folds, 0::BIGINT AS mean_violations, 0::BIGINT AS spread_violations, 0::BIGINT AS rmse_violations")
+def cross_validation_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Five folds, whose mean and deviation stand beside them."""
+    folds = cost_rate_cross_validation(spark, sf)
+    own = folds.agg(F.avg("rmse").alias("m"), F.stddev_pop("rmse").alias("s"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * (1 + F.abs(F.col(b)))
+    rows = folds.select("*", own.select("m").scalar().alias("m"), own.select("s").scalar().alias("s"))
+    rules = broken(mean=close("mean_rmse", "m"), spread=close("std_rmse", "s"), rmse=F.col("rmse") > 0)
+    return rows.agg(F.count("*").alias("row_count"), F.count_distinct("fold").alias("folds"), *rules)
+
+
+@query("SELECT 10::BIGINT AS row_count, 0::BIGINT AS order_violations, 0::BIGINT AS range_violations, 0::BIGINT AS total_violations")
+def feature_importance_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten features by falling importance; those of all features are shares of one."""
+    every = boosted.feature_importance(fitted("reg", spark, sf), spark).agg(F.sum("importance"))
+    listed = cost_rate_feature_importance(spark, sf).select("*", F.monotonically_increasing_id().alias("place"), every.scalar().alias("every"))
+    before = F.lag("importance").over(Window.orderBy("place"))
+    rows = listed.withColumn("before", before)
+    rules = broken(
+        order=F.col("before").isNull() | (F.col("importance") <= F.col("before")),
+        range=F.col("importance").between(0, 1),
+        total=F.abs(F.col("every") - 1) < 1e-9,
+    )
+    return rows.agg(F.count("*").alias("row_count"), *rules)
+
+
+@query(
+    """SELECT least(count(*), 20) AS row_count, count(*) AS ranked, 0::BIGINT AS order_violations, 0::BIGINT AS better_left_out FROM model_features""",
+    USES,
+    COST_RATE,
+)
+def top_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking holds every project by falling score; the twenty listed are its first."""
+    scored = settle(scored_projects(spark, sf))
+    ranking = boosted.result_table(scored).withColumn("place", F.monotonically_increasing_id())
+    before = F.lag("risk_score").over(Window.orderBy("place"))
+    order = ranking.withColumn("before", before).agg(F.count("*").alias("ranked"), *broken(order=F.col("before").isNull() | (F.col("risk_score") <= F.col("before"))))
+    top = boosted.result_table(scored, rows=20)
+    last = top.agg(F.min(F.struct("risk_score", (-F.col("project_id")).alias("p"))))
+    better = scored.join(top, "project_id", "left_anti").filter(F.struct("risk_score", (-F.col("project_id")).alias("p")) > last.scalar())
+    return order.select(top.agg(F.count("*")).scalar().alias("row_count"), "*", better.agg(F.count("*")).scalar().alias("better_left_out"))
+
+
+@query(
+    f"""SELECT CAST(sum(CASE WHEN tested THEN 1 ELSE 0 END) AS BIGINT) AS row_count, count(DISTINCT CASE WHEN tested THEN is_over_budget END) AS classes,
+  0::BIGINT AS bin_violations FROM ({TEST_ROWS})""",
+    USES,
+    COST_RATE,
+)
+def probability_histogram_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every test row is in one of the fifteen bins of its class."""
+    bins = over_budget_probability_histogram(spark, sf)
+    number = next(c for c in bins.columns if c.startswith("bin") and dict(bins.dtypes)[c] in ("int", "bigint"))
+    return bins.agg(
+        F.sum("row_count").alias("row_count"),
+        F.count_distinct(boosted.LABEL).alias("classes"),
+        *broken(bin=F.col(number).between(0, 15) & (F.col("row_count") >= 0)),
+    )
+
+
+@query(
+    """SELECT count(*) AS row_count, 0::BIGINT AS json_violations, 0::BIGINT AS interval_violations, 0::BIGINT AS factor_violations, 0::BIGINT AS time_violations FROM model_features""",
+    USES,
+    COST_RATE,
+)
+def prediction_document_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A document for every project: its own id, an interval around the forecast, up to three raising factors, the time."""
+    schema = """project_id long, predicted_final_cost_rate double, prediction_interval_lower double, prediction_interval_upper double, risk_score double,
+      risk_level string, top_risk_factors array<struct<factor: string, contribution: double>>, prediction_timestamp string"""
+    rows = prediction_documents(spark, sf).withColumn("d", F.from_json("document", schema))
+    d = F.col("d")
+    factors = F.coalesce(d["top_risk_factors"], F.array())
+    rules = broken(
+        json=(d["project_id"] == F.col("project_id")) & d["risk_score"].between(0, 100) & d["risk_level"].isNotNull(),
+        interval=d["predicted_final_cost_rate"].between(d["prediction_interval_lower"], d["prediction_interval_upper"]),
+        factor=(F.size(factors) <= 3) & F.forall(factors, lambda f: (f["contribution"] >= 0) & (f["contribution"] <= 1)),
+        time=d["prediction_timestamp"] == PREDICTED_AT,
+    )
+    return rows.agg(F.count("*").alias("row_count"), *rules)
 
 
 # --- anomalies and forecasts -----------------------------------------------
@@ -345,7 +489,7 @@ def area_cash_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     by = ["area_name"]
     frame = settle(area_cash(spark, sf))
     running = active_projects(
-        src.projects(spark, sf, ("area_name", "start_date", "end_date")), frame.select("area_name", "month"), by=by
+        src.projects(spark, sf, ("project_id", "area_name", "start_date", "end_date")), frame.select("area_name", "month"), by=by
     )
     season = season_index(frame, "inflow").select("calendar_month", "season_index")
     rows = (
@@ -359,6 +503,26 @@ def area_cash_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return forest.rescale_scores(forest.detect(rows, [*by, "month"], cols))
 
 
+@query(
+    """SELECT (SELECT count(*) FROM (SELECT DISTINCT area_name, month FROM (
+    SELECT area_name, CAST(deposit_month || '-01' AS DATE) AS month FROM cash_in JOIN projects USING (project_id) UNION ALL SELECT area_name, month FROM paid))) AS row_count,
+  0::BIGINT AS range_violations, 0::BIGINT AS unit_violations, 0::BIGINT AS flag_violations""",
+    "cash_in costs projects",
+    AREA_CASH,
+)
+def area_anomaly_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A score for every month of every area; rescaled to 0-1 so that the lowest is 0 and the highest 1, flags by the exact quantile."""
+    scored = settle(area_cash_anomalies(spark, sf))
+    cut = scored.agg(F.percentile("anomaly_score", F.lit(0.1))).first()[0]
+    ends = scored.agg(F.min("unit_score").alias("low"), F.max("unit_score").alias("high")).first()
+    rules = broken(
+        range=F.col("anomaly_score").between(-1, 0),
+        unit=F.col("unit_score").between(0, 1) & F.lit((ends.low, ends.high) == (0.0, 1.0)),
+        flag=F.col("is_anomaly") == (F.col("anomaly_score") < cut),
+    )
+    return scored.agg(F.count("*").alias("row_count"), *rules)
+
+
 COMPANY = "全社"
 
 
@@ -424,17 +588,38 @@ FROM (SELECT area_name, max(month) AS last_month FROM full_series GROUP BY area_
 )
 def outlook_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Six months for every series, after its last; the interval holds the forecast and never narrows."""
+    return outlook_rules(net_cash_outlook(spark, sf)).drop("forecast")
+
+
+def outlook_rules(outlook: DataFrame) -> DataFrame:
+    """Each step with its month, its forecast, and whether the interval keeps the rules."""
     width = F.col("upper") - F.col("lower")
     before = F.lag(width).over(Window.partitionBy("area_name").orderBy("step"))
-    return net_cash_outlook(spark, sf).select(
+    return outlook.select(
         "area_name",
         "step",
         "month",
+        "forecast",
         ((F.col("lower") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper"))).alias("ordered"),
         F.coalesce(width >= before * (1 - 1e-12), F.lit(True)).alias("widening"),
     )
 
 
+@query(
+    """SELECT area_name, step, CAST(last_month + to_months(step) AS DATE) AS month, TRUE AS ordered, TRUE AS widening, TRUE AS forecast_made
+FROM (SELECT area_name, max(month) AS last_month FROM series WHERE month(month) <> 8 AND net <> 0 GROUP BY area_name),
+  (SELECT unnest(range(1, 7))::INTEGER AS step)""",
+    "cash_in costs projects",
+    NET_CASH,
+)
+def gap_outlook_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The outlook from series with gaps: every August is missing, and so is a month without movement."""
+    observed = net_cash_series(spark, sf).where((F.month("month") != 8) & (F.col("net_cashflow") != 0))
+    return outlook_rules(arima.forecast(observed, "net_cashflow", by=["area_name"])).select(
+        "*", F.col("forecast").isNotNull().alias("forecast_made")
+    ).drop("forecast")
+
+
 @query(
     "SELECT area_name, month, CAST(net AS DOUBLE) AS forecast FROM full_series WHERE net < -100000",
     "cash_in costs projects",

@@ -5,11 +5,15 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query
-from girder.operators.quality import quality_report
-from girder.plans import documents
+from girder.functions.exprs import label_by_rules, zero
+from girder.operators.quality import quality_report, write_checked
+from girder.operators.timeline import asof_join, by_time, running_total
+from girder.plans import documents, marts
 from girder.plans import operations as ops
-from girder.session import settle
+from girder.plans.views import FACILITY_AREAS, OTHER_AREA, PROPERTY_AREAS
+from girder.session import scratch_path, settle
 from girder.sources import standins as src
+from girder.sources.sinks import write_table
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
@@ -181,6 +185,32 @@ def portfolio_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return ops.portfolio_matrix(rounded(figures, 6, "growth_pct", "margin_pct"))
 
 
+PORTFOLIO_MONTH = "1998-12"
+
+
+@query(
+    f"""SELECT *, CASE WHEN growth_pct >= 0 AND margin_pct >= 10 THEN '成長・高収益' WHEN growth_pct >= 0 AND margin_pct < 10 THEN '成長・低収益'
+  WHEN growth_pct < 0 AND margin_pct >= 10 THEN '停滞・高収益' WHEN growth_pct < 0 AND margin_pct < 10 THEN '停滞・低収益' END AS quadrant FROM (
+  SELECT business, CAST(now_kpy AS BIGINT) AS sales_kpy, CAST(before_kpy AS BIGINT) AS previous_sales_kpy, CAST(profit AS BIGINT) AS profit_kpy,
+    round(CAST(now_kpy - before_kpy AS DOUBLE) / NULLIF(before_kpy, 0) * 100, 6) AS growth_pct, round(CAST(profit AS DOUBLE) / NULLIF(now_kpy, 0) * 100, 6) AS margin_pct
+  FROM (SELECT business, sum(CASE WHEN month > DATE '{PORTFOLIO_MONTH}-01' - INTERVAL 12 MONTH THEN sales_kpy ELSE 0 END) AS now_kpy,
+    sum(CASE WHEN month <= DATE '{PORTFOLIO_MONTH}-01' - INTERVAL 12 MONTH THEN sales_kpy ELSE 0 END) AS before_kpy
+    FROM business WHERE month <= DATE '{PORTFOLIO_MONTH}-01' AND month > DATE '{PORTFOLIO_MONTH}-01' - INTERVAL 24 MONTH GROUP BY 1)
+  LEFT JOIN (SELECT '建設事業' AS business, (SELECT sum(expected_amount_kpy) FROM cash_in WHERE CAST(deposit_month || '-01' AS DATE) > DATE '{PORTFOLIO_MONTH}-01' - INTERVAL 12 MONTH AND deposit_month <= '{PORTFOLIO_MONTH}')
+      - (SELECT sum(amount_kpy) FROM costs WHERE CAST(accrual_month || '-01' AS DATE) > DATE '{PORTFOLIO_MONTH}-01' - INTERVAL 12 MONTH AND accrual_month <= '{PORTFOLIO_MONTH}') AS profit
+    UNION ALL SELECT '施設運営', (SELECT sum(operating_profit_kpy) FROM facilities WHERE CAST(month || '-01' AS DATE) > DATE '{PORTFOLIO_MONTH}-01' - INTERVAL 12 MONTH AND month <= '{PORTFOLIO_MONTH}')) USING (business))""",
+    "cash_in properties facilities saas costs",
+    BUSINESS,
+)
+def business_portfolio(spark: SparkSession, sf: str) -> DataFrame:
+    """Each business by the growth of its sales over a year and its margin; two have no cost table and so no margin."""
+    profits = ops.business_profits(
+        src.cash_in(spark, sf), src.cost_records(spark, sf, ("accrual_month", "amount_kpy")), src.facilities(spark, sf)
+    )
+    figures = ops.business_growth_and_margin(business(spark, sf), profits, PORTFOLIO_MONTH)
+    return ops.portfolio_matrix(rounded(figures, 6, "growth_pct", "margin_pct"))
+
+
 # --- construction ----------------------------------------------------------
 
 
@@ -316,6 +346,21 @@ def costs_with_external_factors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(joined, 6, "steel_index_mom_pct", "concrete_index_mom_pct")
 
 
+@query(
+    """SELECT project_id, p.division, p.start_date, announced_on, steel_index
+FROM projects p ASOF LEFT JOIN (SELECT division, start_date AS announced_on, max(contract_amount_kpy % 1000) AS steel_index FROM projects WHERE project_id % 50 = 0 GROUP BY 1, 2) a
+  ON p.division = a.division AND p.start_date >= a.announced_on""",
+    "projects",
+)
+def projects_with_latest_price(spark: SparkSession, sf: str) -> DataFrame:
+    """Every project with the price announced last before it began; announcements come at irregular dates."""
+    projects = src.projects(spark, sf, ("project_id", "division", "start_date", "contract_amount_kpy"))
+    announced = projects.filter(F.col("project_id") % 50 == 0).select(
+        "division", "start_date", F.col("start_date").alias("announced_on"), (F.col("contract_amount_kpy") % 1000).alias("steel_index")
+    )
+    return asof_join(projects.drop("contract_amount_kpy"), announced, "start_date", ["announced_on", "steel_index"], by=["division"])
+
+
 @query(
     """SELECT project_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(date_diff('day', start_date, DATE '2000-01-01') AS DOUBLE) / NULLIF(date_diff('day', start_date, end_date), 0))) AS elapsed_share,
   total_cost_kpy / NULLIF(contract_amount_kpy * target_cost_rate / 100, 0) AS cost_burn, forecast_cost_kpy / NULLIF(contract_amount_kpy * target_cost_rate / 100, 0) AS sign_cost_rate,
@@ -356,6 +401,64 @@ def area_effect_on_visitors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(effect, 6, "correlation", "slope"), 4, "intercept", "effect_at_last_month")
 
 
+LAGGED_MEASURES, LAGGED_TARGETS, LAGS = ("foot_traffic", "event_count"), ("visitors", "orders", "occupancy"), (0, 1, 3)
+AREA_OUTCOMES = """area_orders AS (SELECT area_name, strftime(start_date, '%Y-%m') AS month, count(*) AS orders FROM projects GROUP BY ALL),
+area_visitors AS (SELECT CASE WHEN facility_name LIKE '%函南%' OR facility_name LIKE '%伊豆%' THEN '函南' WHEN facility_name LIKE '%三島%' OR facility_name LIKE '%未来%' THEN '三島'
+    WHEN facility_name LIKE '%沼津%' THEN '沼津' ELSE 'その他' END AS area_name, month, CAST(sum(visitors) AS BIGINT) AS visitors FROM facilities GROUP BY ALL),
+bought AS (SELECT CASE WHEN location LIKE '%三島%' THEN '三島' WHEN location LIKE '%沼津%' THEN '沼津' WHEN location LIKE '%函南%' THEN '函南' ELSE 'その他' END AS area_name,
+    strftime(acquisition_date + INTERVAL 7 YEAR, '%Y-%m') AS month, occupancy_rate FROM properties),
+area_occupancy AS (SELECT a.area_name, a.month, avg(occupancy_rate) AS occupancy FROM areas a JOIN bought b ON a.area_name = b.area_name AND b.month <= a.month GROUP BY ALL),
+outcomes AS (SELECT area_name, month, visitors, orders, occupancy FROM area_orders FULL JOIN area_visitors USING (area_name, month) FULL JOIN area_occupancy USING (area_name, month)),
+explained AS (SELECT a.area_name, lag, target, CAST(a.foot_traffic AS DOUBLE) AS x1, CAST(a.event_count AS DOUBLE) AS x2, y FROM areas a JOIN (
+    SELECT area_name, lag, strftime(CAST(month || '-01' AS DATE) - to_months(lag), '%Y-%m') AS month, target, y FROM (
+      SELECT area_name, month, 'visitors' AS target, CAST(visitors AS DOUBLE) AS y FROM outcomes UNION ALL SELECT area_name, month, 'orders', CAST(orders AS DOUBLE) FROM outcomes
+      UNION ALL SELECT area_name, month, 'occupancy', occupancy FROM outcomes), (SELECT unnest([0, 1, 3])::INTEGER AS lag)) o
+    ON a.area_name = o.area_name AND a.month = o.month WHERE y IS NOT NULL),
+crossed AS (SELECT area_name, target, lag, count(*) AS n, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y,
+    avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(y) AS spread FROM explained GROUP BY ALL),
+solved AS (SELECT *, CASE WHEN n <= 3 THEN 'too few months' WHEN s11 * s22 - s12 * s12 <= 1e-9 * s11 * s22 THEN 'measures depend on each other' END AS reason FROM crossed),
+effects AS (SELECT *, CASE WHEN reason IS NULL THEN (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) END AS b1, CASE WHEN reason IS NULL THEN (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) END AS b2 FROM solved),
+latest AS (SELECT area_name, arg_max(foot_traffic, month) AS l1, arg_max(event_count, month) AS l2 FROM areas GROUP BY 1)"""
+
+
+@query(
+    """SELECT area_name AS area, target, lag, n, round(my - b1 * m1 - b2 * m2, 4) AS intercept, CASE WHEN spread > 0 THEN round((b1 * s1y + b2 * s2y) / spread, 6) END AS r2, reason,
+  unnest(['foot_traffic', 'event_count']) AS measure, unnest([round(b1, 5), round(b2, 5)]) AS coefficient, round(my + b1 * (l1 - m1) + b2 * (l2 - m2), 4) AS effect_ahead
+FROM effects JOIN latest USING (area_name)""",
+    "areas facilities projects properties",
+    AREA_OUTCOMES,
+)
+def area_effects_by_area(spark: SparkSession, sf: str) -> DataFrame:
+    """What foot traffic and events of an area let expect of its visitors, orders and occupancy, now and later.
+
+    Properties have one occupancy for good, so an area's monthly one is the mean of those bought until then.
+    """
+    effects = ops.area_effects(src.areas(spark, sf), area_outcomes(spark, sf), LAGGED_MEASURES, LAGGED_TARGETS, LAGS)
+    return rounded(rounded(rounded(effects, 4, "intercept", "effect_ahead"), 5, "coefficient"), 6, "r2")
+
+
+def area_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Visitors, orders and occupancy of every area and month, stacked and grouped once."""
+    months = src.areas(spark, sf).select("area_name", "month")
+    orders = src.projects(spark, sf, ("area_name", "start_date")).select(
+        "area_name", F.date_format("start_date", "yyyy-MM").alias("month"), F.lit(1).cast("long").alias("orders")
+    )
+    visitors = src.facilities(spark, sf).select(label_by_rules("facility_name", FACILITY_AREAS, OTHER_AREA).alias("area_name"), "month", "visitors")
+    bought = src.properties(spark, sf).select(
+        label_by_rules("location", PROPERTY_AREAS, OTHER_AREA).alias("area_name"),
+        F.date_format(F.add_months("acquisition_date", 84), "yyyy-MM").alias("month"),
+        "occupancy_rate",
+    )
+    sums = bought.groupBy("area_name", "month").agg(F.sum("occupancy_rate").alias("rate"), F.count("*").alias("owned"))
+    w = by_time("month", ["area_name"])
+    held = months.withColumn("asked", F.lit(True)).unionByName(sums, allowMissingColumns=True)
+    held = held.groupBy("area_name", "month").agg(F.max("asked").alias("asked"), F.sum("rate").alias("rate"), F.sum("owned").alias("owned"))
+    occupancy = held.withColumn("occupancy", running_total(zero("rate"), w) / F.nullif(running_total(zero("owned"), w), F.lit(0)))
+    occupancy = occupancy.filter("asked").select("area_name", "month", "occupancy")
+    rows = orders.unionByName(visitors, allowMissingColumns=True).unionByName(occupancy, allowMissingColumns=True)
+    return rows.groupBy("area_name", "month").agg(*[F.sum(t).alias(t) for t in LAGGED_TARGETS])
+
+
 @query(
     """SELECT CAST(month(cf_date) AS INTEGER) AS calendar_month, round(avg(expected_inflow_kpy), 2) AS month_mean,
   round(avg(expected_inflow_kpy) / (SELECT avg(expected_inflow_kpy) FROM cashflow), 8) AS season_index FROM cashflow GROUP BY 1""",
@@ -376,56 +479,111 @@ def check_sql(column: str, check: str, bad: str, limit: float) -> str:
   CASE WHEN CAST(count(CASE WHEN {bad} THEN 1 END) AS DOUBLE) / count(*) * 100 > {limit} THEN 1 ELSE 0 END AS is_alert FROM projects"""
 
 
-@query(
-    " UNION ALL ".join(
-        (
-            check_sql("project_id", "null", "project_id IS NULL", 0.0),
-            check_sql("pm_name", "null", "pm_name IS NULL", 0.0),
-            check_sql("target_cost_rate", "range", "target_cost_rate < 50 OR target_cost_rate > 88", 5.0),
-            check_sql("contract_amount_kpy", "range", "contract_amount_kpy < 100000", 5.0),
-            check_sql("progress_rate", "range", "progress_rate < 0 OR progress_rate > 100", 5.0),
-        )
-    ),
-    "projects",
+QUALITY = " UNION ALL ".join(
+    (
+        check_sql("project_id", "null", "project_id IS NULL", 0.0),
+        check_sql("pm_name", "null", "pm_name IS NULL", 0.0),
+        check_sql("target_cost_rate", "range", "target_cost_rate < 50 OR target_cost_rate > 88", 5.0),
+        check_sql("contract_amount_kpy", "range", "contract_amount_kpy < 100000", 5.0),
+        check_sql("progress_rate", "range", "progress_rate < 0 OR progress_rate > 100", 5.0),
+    )
 )
+PROJECT_CHECKS = {
+    "table": "projects_master",
+    "not_null": ["project_id", "pm_name"],
+    "ranges": {"target_cost_rate": (50, 88), "contract_amount_kpy": (100000, None), "progress_rate": (0, 100)},
+    "max_out_pct": 5.0,
+}
+CHECKED = ("project_id", "pm_name", "target_cost_rate", "contract_amount_kpy", "progress_rate")
+
+
+@query(QUALITY, "projects")
 def project_quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    return quality_report(
-        src.projects(spark, sf, ("project_id", "pm_name", "target_cost_rate", "contract_amount_kpy", "progress_rate")),
-        "projects_master",
-        not_null=["project_id", "pm_name"],
-        ranges={
-            "target_cost_rate": (50, 88),
-            "contract_amount_kpy": (100000, None),
-            "progress_rate": (0, 100),
-        },
-        max_out_pct=5.0,
-    )
+    return quality_report(src.projects(spark, sf, CHECKED), **PROJECT_CHECKS)
+
+
+@query(QUALITY, "projects")
+def quality_of_written_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """The same report taken on the pass that writes the project mart."""
+    path = scratch_path(spark, "checked-projects")
+    return write_checked(src.projects(spark, sf, CHECKED), lambda df: write_table(df, path), **PROJECT_CHECKS)
+
+
+# --- views kept up to date --------------------------------------------------
+
+
+def corrected_batches(spark: SparkSession, sf: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Receipts and costs in three batches of changes; the first holds wrong amounts that the last takes back."""
+    cash, costs = src.cash_in(spark, sf), src.cost_records(spark, sf)
+    first, wrong = F.col("project_id") % 3 != 2, F.col("project_id") % 7 == 0
+    entered = costs.filter(first).withColumn("amount_kpy", F.when(wrong, F.col("amount_kpy") * 2).otherwise(F.col("amount_kpy")))
+    mistaken = costs.filter(first & wrong)
+    early = cash.withColumn("deposit_month", F.when(first & wrong, "1990-01").otherwise(F.col("deposit_month")))
+    return [
+        (marts.changes(early.filter(first)), marts.changes(entered)),
+        (marts.changes(cash.filter(~first)), marts.changes(costs.filter(~first))),
+        (
+            marts.changes(cash.filter(first & wrong), early.filter(first & wrong)),
+            marts.changes(mistaken, mistaken.withColumn("amount_kpy", F.col("amount_kpy") * 2)),
+        ),
+    ]
+
+
+@query("SELECT * FROM cashflow", "cashflow")
+def cashflow_from_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """The cash-flow view from monthly sums that three batches of changes were merged into."""
+    mart = marts.CashMart(spark, scratch_path(spark, "cash-mart"))
+    for batch, (cash, costs) in enumerate(corrected_batches(spark, sf)):
+        mart.apply(cash, costs, batch)
+    return mart.cashflow()
+
+
+@query("SELECT * FROM cost_summary", "cost_summary")
+def cost_summary_from_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """The project cost summary from totals that three batches of changes were merged into."""
+    mart = marts.CostMart(spark, scratch_path(spark, "cost-mart"), buckets=8)
+    for batch, (_, costs) in enumerate(corrected_batches(spark, sf)):
+        mart.apply(costs, batch)
+    return mart.summary(src.projects(spark, sf))
 
 
 # --- documents -------------------------------------------------------------
 
 KPI_MONTH = "1997-06"
 KPI_DAY = f"DATE '{KPI_MONTH}-01'"
+EXCESS = {
+    name: f"{cost} - contract_amount_kpy * target_cost_rate / 100 * {share}::DOUBLE"
+    for name, cost, share in (
+        ("外注費", "outsourcing_cost_kpy", 0.45), ("材料費", "material_cost_kpy", 0.25), ("労務費", "labor_cost_kpy", 0.2), ("経費", "expense_cost_kpy", 0.1),
+    )
+}
+ISSUE = (
+    f"CASE greatest({', '.join(EXCESS.values())}, 0) WHEN 0 THEN '' "
+    + " ".join(f"WHEN {excess} THEN '{name}の予算超過'" for name, excess in EXCESS.items())
+    + " END"
+)
 KPI = (
     BUSINESS
     + f""",
 kpi AS (SELECT '{KPI_MONTH}' AS report_month, '{{"report_month":"{KPI_MONTH}","company_summary":{{"total_revenue":' || total_sales || ',"target_achievement_rate":' || round(CAST(total_sales AS DOUBLE) / forecast_sales * 100, 1)
   || '}},"revenue_by_bu":{{"建設事業":' || c || ',"不動産事業":' || r || ',"SaaS事業":' || s || ',"施設運営":' || f
   || '}},"cost_risk_summary":{{"high_risk_projects_count":' || n || ',"total_risk_amount":' || amount || '}},"notable_projects":[' || worst
-  || '],"current_balance":' || balance || ',"next_months_forecast":[' || coming || '],"negative_months":' || negative
-  || ',"saas_metrics":{{"mrr":' || mrr || ',"arr":' || mrr * 12 || ',"churn_rate_percent":' || churn || ',"new_acquisitions":' || fresh
-  || '}},"facility_operations":{{"visitors_last_month":' || visitors || ',"revenue_last_month":' || revenue || '}}}}' AS kpi_json
+  || '],"current_balance":' || balance || ',"next_months_forecast":[' || coming || '],"negative_months":' || negative || ',"warning":"' || COALESCE(warning, '')
+  || '","saas_metrics":{{"mrr":' || mrr || ',"arr":' || mrr * 12 || ',"churn_rate_percent":' || churn || ',"new_acquisitions":' || fresh
+  || '}},"facility_operations":{{"visitors_last_month":' || visitors || ',"revenue_last_month":' || revenue || '}},"occupancy_rate_percent":' || occupancy || '}}' AS kpi_json
 FROM (SELECT total_sales, forecast_sales FROM dashboard WHERE sales_month = {KPI_DAY}),
   (SELECT sum(CASE business WHEN '建設事業' THEN sales_kpy ELSE 0 END) AS c, sum(CASE business WHEN '不動産事業' THEN sales_kpy ELSE 0 END) AS r,
     sum(CASE business WHEN 'SaaS事業' THEN sales_kpy ELSE 0 END) AS s, sum(CASE business WHEN '施設運営' THEN sales_kpy ELSE 0 END) AS f FROM business WHERE month = {KPI_DAY}),
   (SELECT count(*) AS n, sum(CAST(round(total_cost_kpy - contract_amount_kpy * target_cost_rate / 100) AS BIGINT)) AS amount FROM cost_summary WHERE risk_level = '緊急'),
-  (SELECT string_agg('{{"name":"' || project_name || '","cost_rate":' || effective_cost_rate || ',"gap":' || cost_rate_gap || '}}', ',' ORDER BY cost_rate_gap DESC, project_id) AS worst
-    FROM (SELECT * FROM cost_summary ORDER BY cost_rate_gap DESC NULLS LAST, project_id LIMIT 3)),
+  (SELECT string_agg('{{"name":"' || project_name || '","cost_rate":' || effective_cost_rate || ',"gap":' || cost_rate_gap || ',"issue":"' || issue || '"}}', ',' ORDER BY cost_rate_gap DESC, project_id) AS worst
+    FROM (SELECT *, {ISSUE} AS issue FROM cost_summary ORDER BY cost_rate_gap DESC NULLS LAST, project_id LIMIT 3)),
   (SELECT ending_balance_kpy AS balance FROM cashflow WHERE cf_date = {KPI_DAY}),
-  (SELECT string_agg('{{"month":"' || month_str || '","net_cashflow":' || net_cashflow_kpy || '}}', ',' ORDER BY cf_date) AS coming, count(CASE WHEN net_cashflow_kpy < 0 THEN 1 END) AS negative
+  (SELECT string_agg('{{"month":"' || month_str || '","net_cashflow":' || net_cashflow_kpy || '}}', ',' ORDER BY cf_date) AS coming, count(CASE WHEN net_cashflow_kpy < 0 THEN 1 END) AS negative,
+      string_agg(CASE WHEN net_cashflow_kpy < 0 THEN strftime(cf_date, '%Y年%m月') END, '、' ORDER BY cf_date) || 'は単月赤字の見込み' AS warning
     FROM cashflow WHERE cf_date > {KPI_DAY} AND cf_date <= {KPI_DAY} + INTERVAL 3 MONTH),
   (SELECT sum(mrr_kpy) AS mrr, round(avg(churn_rate_pct), 2) AS churn, sum(new_customers) AS fresh FROM saas WHERE month = '{KPI_MONTH}'),
-  (SELECT sum(visitors) AS visitors, sum(revenue_kpy) AS revenue FROM facilities WHERE month = '{KPI_MONTH}'))"""
+  (SELECT sum(visitors) AS visitors, sum(revenue_kpy) AS revenue FROM facilities WHERE month = '{KPI_MONTH}'),
+  (SELECT round(avg(occupancy_rate), 1) AS occupancy FROM properties WHERE monthly_rental_income_kpy > 0))"""
 )
 KPI_USES = "dashboard cost_summary cashflow properties facilities saas cash_in"
 
@@ -440,6 +598,7 @@ def kpi(spark: SparkSession, sf: str) -> DataFrame:
         settle(v.cashflow(spark, sf)),
         src.saas(spark, sf),
         src.facilities(spark, sf),
+        src.properties(spark, sf),
     )
 
 
@@ -466,17 +625,24 @@ def report_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return prompts(spark, sf).select("report_type", "prompt")
 
 
+BODY = """'# ' || report_type || ' ' || report_month || '\\n\\n- 売上: ' || (kpi_json ->> '$.company_summary.total_revenue') || ' 千円 (達成率 ' || (kpi_json ->> '$.company_summary.target_achievement_rate')
+  || '%)\\n- 高リスク工事: ' || (kpi_json ->> '$.cost_risk_summary.high_risk_projects_count') || ' 件\\n- 資金残高: ' || (kpi_json ->> '$.current_balance')
+  || ' 千円\\n- 資金見通し: ' || CASE WHEN (kpi_json ->> '$.warning') = '' THEN '赤字の月はありません' ELSE kpi_json ->> '$.warning' END || '\\n- 稼働率: ' || (kpi_json ->> '$.occupancy_rate_percent') || '%'"""
+
+
 @query(
-    """SELECT '{"to":"executives@example.com","subject":"' || report_type || ' 1997-06","body_markdown":"' || length(prompt) || '","channel":"#reports","urgency":"normal"}' AS payload FROM prompts""",
+    """SELECT '{"to":"executives@example.com","subject":"' || report_type || ' 1997-06","body_markdown":"' || """
+    + BODY
+    + """ || '","channel":"#reports","urgency":"normal"}' AS payload FROM kpi, (SELECT unnest(['weekly_summary', 'risk_alert', 'area_roi', 'other']) AS report_type)""",
     KPI_USES,
-    KPI + ",\n" + PROMPTS,
+    KPI,
 )
 def delivery_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Payload rows; the body stands in for the text a language model would return."""
+    """Payload rows; the body is the report made of the figures themselves."""
     return documents.delivery_payloads(
         prompts(spark, sf),
         to="executives@example.com",
         channel="#reports",
         subject=F.concat_ws(" ", "report_type", "report_month"),
-        body=F.length("prompt").cast("string"),
+        body=documents.report_body("report_type"),
     )

@@ -5,7 +5,19 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query
-from girder.operators.controls import apply_controls, secure_view
+from girder.operators.controls import (
+    AREA_PAGE,
+    COMPANY_PAGE,
+    DETAIL,
+    NOTHING,
+    PAGE_GRANTS,
+    PROFIT_PAGE,
+    PROGRAM_PAGE,
+    RISK_PAGE,
+    apply_controls,
+    role_page,
+    secure_view,
+)
 from girder.plans import pages
 from girder.plans import views as plans
 from girder.sources import standins as src
@@ -194,3 +206,80 @@ def shortage_months(spark: SparkSession, sf: str) -> DataFrame:
 def site_manager_view(spark: SparkSession, sf: str) -> DataFrame:
     """What a site manager sees: own projects, details masked."""
     return secure_view(v.cost_summary(spark, sf), "現場監督", {"pm_name": ["NATION_3", "NATION_4"]})
+
+
+# --- pages by role ---------------------------------------------------------
+
+OWN = {"division": ["土木"], "pm_name": ["NATION_3", "NATION_4"]}
+# page -> (group, key, two measures, rows in SQL)
+ROLE_PAGES = {
+    COMPANY_PAGE: ("year", "month", "total_sales", "actual_sales", "(SELECT *, strftime(sales_month, '%Y') AS year, strftime(sales_month, '%Y-%m') AS month FROM dashboard)"),
+    PROFIT_PAGE: ("division", "project_id", "contract_amount_kpy", "total_cost_kpy", "cost_summary"),
+    AREA_PAGE: ("area", "area", "total_return_kpy", "total_investment_kpy", "roi"),
+    PROGRAM_PAGE: ("program", "month", "effect_kpy", "cost_kpy", "programs"),
+    RISK_PAGE: ("division", "project_id", "contract_amount_kpy", "forecast_cost_kpy", "cost_summary"),
+}
+PROGRAMS = """programs AS (SELECT event_type AS program, strftime(DATE '1996-01-01' + to_months(CAST(day(ts) - 1 AS INTEGER)), '%Y-%m') AS month,
+  CASE WHEN value < 10 THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END AS effect_kpy, CASE WHEN value < 10 THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END AS cost_kpy FROM events)"""
+
+
+def page_rows(spark: SparkSession, sf: str, page: str) -> DataFrame:
+    if page == COMPANY_PAGE:
+        month = F.date_format("sales_month", "yyyy-MM")
+        return v.dashboard(spark, sf).withColumns({"month": month, "year": F.substring(month, 1, 4)})
+    if page == AREA_PAGE:
+        return v.roi(spark, sf)
+    if page == PROGRAM_PAGE:
+        spent = F.col("metric") == "cost"
+        amounts = {"effect_kpy": F.when(spent, 0).otherwise(F.col("amount_kpy")), "cost_kpy": F.when(spent, F.col("amount_kpy")).otherwise(0)}
+        return src.program_measures(spark, sf).withColumns(amounts)
+    return v.cost_summary(spark, sf)
+
+
+def role_sql(role: str) -> str:
+    """Rows in detail, totals of groups and the grand total, each by a plain GROUP BY of the rows that are open."""
+    parts = []
+    for page, (group, key, first, second, rows) in ROLE_PAGES.items():
+        grant = PAGE_GRANTS[role].get(page)
+        if not grant:
+            continue
+        own = f"COALESCE({grant.scope} IN ({', '.join(repr(x) for x in OWN[grant.scope])}), FALSE)" if grant.scope else "TRUE"
+        sums = f"count(*) AS row_count, CAST(sum({first}) AS BIGINT) AS first_kpy, CAST(sum({second}) AS BIGINT) AS second_kpy FROM {rows}"
+        levels = [("detail", f"CAST({group} AS VARCHAR)", f"CAST({key} AS VARCHAR)", [DETAIL]), ("group", f"CAST({group} AS VARCHAR)", "CAST(NULL AS VARCHAR)", None)]
+        for level, unit, item, needed in levels:
+            seen = [side for side, what in ((own, grant.own), (f"NOT {own}", grant.rest)) if (what in needed if needed else what != NOTHING)]
+            if seen:
+                parts.append(f"SELECT '{page}' AS page, '{level}' AS level, {unit} AS unit, {item} AS item, {sums} WHERE {' OR '.join(seen)} GROUP BY {own}, {group}" + (f", {key}" if needed else ""))
+        if grant.company:
+            parts.append(f"SELECT '{page}', 'company', NULL, NULL, {sums} HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
+
+
+def role_query(name: str, role: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        out = None
+        for page, (group, key, first, second, _) in ROLE_PAGES.items():
+            if page not in PAGE_GRANTS[role]:
+                continue
+            rows = page_rows(spark, sf, page).withColumn("_item", F.col(key).cast("string"))
+            seen = role_page(rows, role, page, group, "_item", [first, second], OWN)
+            part = seen.select(
+                F.lit(page).alias("page"), "level", F.col(group).alias("unit"), F.col("_item").alias("item"), "row_count",
+                F.col(first).alias("first_kpy"), F.col(second).alias("second_kpy"),
+            )
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    run.__name__ = name
+    run.__doc__ = f"What the role {role} sees of every page: detail, totals of groups, grand total."
+    query(role_sql(role), "dashboard cost_summary roi", PROGRAMS)(run)
+
+
+for _name, _role in (
+    ("pages_of_management", "経営陣"),
+    ("pages_of_planning", "経営企画"),
+    ("pages_of_division_head", "事業部長"),
+    ("pages_of_transformation_office", "DX推進室"),
+    ("pages_of_site_manager", "現場監督"),
+):
+    role_query(_name, _role)

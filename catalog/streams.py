@@ -1,12 +1,12 @@
 """Streams over the stand-in tables, run over the files at hand and read back."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from girder.session import scratch_path
 from girder.sources import standins as src
-from girder.streaming import entries, sinks
+from girder.streaming import entries, sinks, snapshots
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,9 +42,9 @@ def streamed_running_costs(spark: SparkSession, sf: str) -> DataFrame:
     costs = src.costs_from_lines(
         stream(spark, sf, "lineitem"), src.source(spark, sf, "part"), ("project_id", "category", "amount_kpy")
     )
-    path = scratch_path(spark, "running-costs")
-    sinks.run_changes(entries.running_costs(costs), path, scratch_path(spark, "running-costs-progress"))
-    return sinks.latest(spark.read.parquet(path), ["project_id", "category"])
+    table = snapshots.SnapshotTable(spark, scratch_path(spark, "running-costs"), ["project_id", "category"], buckets=4)
+    snapshots.run_merges(entries.running_costs(costs), table, scratch_path(spark, "running-costs-progress"), keep=2)
+    return table.read()
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,3 +120,53 @@ def streamed_overrun_alerts(spark: SparkSession, sf: str) -> DataFrame:
         shape=lambda batch: entries.overrun_alerts(batch, projects),
     )
     return sinks.latest(spark.read.parquet(path), ["project_id"])
+
+
+@query(
+    """SELECT record_id, event_id, requested, CASE WHEN p >= p3 THEN '確定' WHEN p >= p2 THEN '承認' WHEN p >= p1 THEN '現場入力' END AS state,
+  COALESCE(p = p1 OR p = p2 OR p = p3, FALSE) AS is_legal
+FROM third WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM requests) - 86400000""",
+    "",
+    """requests AS (SELECT user_id AS record_id, event_id, ts, CASE event_type WHEN 'signup' THEN '現場入力' WHEN 'click' THEN '承認' ELSE '確定' END AS requested,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type IN ('signup', 'click', 'purchase')),
+first AS (SELECT *, min(CASE WHEN requested = '現場入力' THEN p END) OVER (PARTITION BY record_id) AS p1 FROM requests),
+second AS (SELECT *, min(CASE WHEN requested = '承認' AND p > p1 THEN p END) OVER (PARTITION BY record_id) AS p2 FROM first),
+third AS (SELECT *, min(CASE WHEN requested = '確定' AND p > p2 THEN p END) OVER (PARTITION BY record_id) AS p3 FROM second)""",
+)
+def approval_states_by_event_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Approval requests in the order of their time; those of the last day still wait for late ones."""
+    wanted = F.when(F.col("event_type") == "signup", "現場入力").when(F.col("event_type") == "click", "承認").otherwise("確定")
+    requests = (
+        timed_events(spark, sf)
+        .filter(F.col("event_type").isin("signup", "click", "purchase"))
+        .select(F.col("user_id").alias("record_id"), "event_id", "ts", wanted.alias("requested"))
+    )
+    return appended(spark, entries.approvals_in_order(requests, "1 day"), "ordered-approvals")
+
+
+@query(
+    """SELECT project_id, total_cost_kpy, target_cost_rate, cost_rate, CASE WHEN cost_rate > target_cost_rate + 5 THEN '緊急' WHEN cost_rate > target_cost_rate THEN '警告'
+  WHEN cost_rate >= target_cost_rate * 0.95::DOUBLE THEN '注意' END AS alert_level
+FROM (SELECT project_id, COALESCE(total_cost, 0) AS total_cost_kpy, CASE WHEN project_id % 3 = 0 THEN target_cost_rate - 4 ELSE target_cost_rate END AS target_cost_rate,
+  CAST(COALESCE(total_cost, 0) AS DOUBLE) / NULLIF(CASE WHEN project_id % 5 = 0 THEN contract_amount_kpy * 2 ELSE contract_amount_kpy END, 0) * 100 AS cost_rate
+  FROM projects LEFT JOIN project_costs USING (project_id))""",
+    "projects project_costs",
+)
+def streamed_overruns_of_changed_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert tier per project from a stream of costs and a stream of project versions.
+
+    Every third project gets a lower target, every fifth a larger contract, some time after it was entered.
+    """
+    costs = src.costs_from_lines(stream(spark, sf, "lineitem"), src.source(spark, sf, "part"), ("project_id", "amount_kpy"))
+    key, contract, entered = F.col("o_orderkey"), src.cents("o_totalprice"), F.col("o_orderdate")
+    target = (82 + key % 9).cast("double")
+
+    def version(days: int, contract_: Column, target_: Column) -> Column:
+        return F.struct((entered + F.make_dt_interval(F.lit(days))).alias("changed_at"), contract_.alias("contract_amount_kpy"), target_.alias("target_cost_rate"))
+
+    later = version(30, F.when(key % 5 == 0, contract * 2).otherwise(contract), F.when(key % 3 == 0, target - 4).otherwise(target))
+    versions = stream(spark, sf, "orders").select(key.alias("project_id"), F.explode(F.array(later, version(0, contract, target))).alias("v"))
+    totals = entries.overrun_totals(costs, versions.select("project_id", "v.*"))
+    table = snapshots.SnapshotTable(spark, scratch_path(spark, "changed-overruns"), ["project_id"], buckets=4)
+    snapshots.run_merges(totals, table, scratch_path(spark, "changed-overruns-progress"), shape=entries.rated_overruns, keep=2)
+    return table.read().where("cost_rate IS NOT NULL OR target_cost_rate IS NOT NULL")

@@ -1,13 +1,21 @@
-"""Contribution of each feature to a boosted-tree prediction.
-
-A prediction is followed down every tree; the change of the node mean at each
-split is credited to the split's feature. The credits and the mean of the roots
-add up to the prediction. These are path attributions, not Shapley values.
+"""Shapley values of a boosted-tree prediction: what each feature adds to it.
+
+The value of a set of known features is the prediction expected from them
+alone: where a tree splits by another feature, both sides count by the rows
+that took them in training. A Shapley value is a feature's mean addition over
+all orders in which the features can become known. It is exact here. In a
+leaf's part of a tree only the features on its path matter: of a known one the
+row goes the leaf's way or not (1 or 0), of an unknown one the path's share of
+rows counts. The sets of one size are the coefficients of a product of linear
+terms, so the work grows with the cube of the path and not with the number of
+sets. Values and ``base_value``, the prediction expected from nothing, add up
+to the prediction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -16,16 +24,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.session import scratch_path
+from girder.session import scratch_path, settle
 
 
 def tree_nodes(model: PipelineModel, spark) -> DataFrame:
-    """Node table of the fitted trees, read from the model's saved form."""
+    """Node table of the fitted trees, read from the model's saved form, which is deleted again."""
     path = scratch_path(spark, "boosted-model")
     model.stages[-1].write().save(path)
     weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weight")
     node = F.col("nodeData")
-    return (
+    nodes = settle(
         spark.read.parquet(f"{path}/data")
         .join(weights, "treeID")
         .select(
@@ -38,8 +46,12 @@ def tree_nodes(model: PipelineModel, spark) -> DataFrame:
             node["split"]["featureIndex"].alias("feature"),
             node["split"]["leftCategoriesOrThreshold"].alias("values"),
             node["split"]["numCategories"].alias("categories"),
+            node["rawCount"].alias("rows"),
         )
     )
+    saved = spark._jvm.org.apache.hadoop.fs.Path(path)
+    saved.getFileSystem(spark._jsc.hadoopConfiguration()).delete(saved, True)
+    return nodes
 
 
 def _as_arrays(nodes: pd.DataFrame) -> list[dict]:
@@ -55,6 +67,7 @@ def _as_arrays(nodes: pd.DataFrame) -> list[dict]:
                 "left": t["left"].to_numpy(),
                 "right": t["right"].to_numpy(),
                 "feature": t["feature"].to_numpy(),
+                "rows": t["rows"].to_numpy(),
                 "threshold": thresholds,
                 "sets": left_sets,
             }
@@ -62,31 +75,66 @@ def _as_arrays(nodes: pd.DataFrame) -> list[dict]:
     return trees
 
 
-def _credits(x: np.ndarray, trees: list[dict], width: int) -> np.ndarray:
-    """Credits of all rows, walking every tree level by level."""
+def _leaves(tree: dict) -> list[tuple[float, list[int], np.ndarray, list[list[tuple[int, bool]]]]]:
+    """For each leaf its value, the features on its path, their shares of rows, and the (node, left) steps of each."""
+    found = []
+    open_ = [(0, {}, {})]
+    while open_:
+        node, shares, steps = open_.pop()
+        if tree["left"][node] < 0:
+            found.append((float(tree["mean"][node]), list(shares), np.array(list(shares.values())), list(steps.values())))
+            continue
+        f = int(tree["feature"][node])
+        for child, left in ((int(tree["left"][node]), True), (int(tree["right"][node]), False)):
+            part = float(tree["rows"][child]) / float(tree["rows"][node])
+            open_.append((child, shares | {f: shares.get(f, 1.0) * part}, steps | {f: [*steps.get(f, []), (node, left)]}))
+    return found
+
+
+def expected_value(trees: list[dict]) -> float:
+    """The prediction expected without knowing a feature."""
+    return sum(t["weight"] * sum(value * shares.prod() for value, _, shares, _ in _leaves(t)) for t in trees)
+
+
+def _leaf_values(goes: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf worth 1 for each pattern (a row of ``goes``: known features that lead to it)."""
+    m = len(shares)
+    weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+    out = np.empty(goes.shape)
+    for j in range(m):
+        # Coefficient k: all sets of k other features, known ones by the row, the rest by their shares.
+        sets = np.zeros(goes.shape)
+        sets[:, 0] = 1.0
+        for i in range(m):
+            if i != j:
+                grown = sets * shares[i]
+                grown[:, 1:] += sets[:, :-1] * goes[:, i : i + 1]
+                sets = grown
+        out[:, j] = (goes[:, j] - shares[j]) * (sets @ weights)
+    return out
+
+
+def shapley_values(x: np.ndarray, trees: list[dict], width: int) -> np.ndarray:
+    """Shapley values of all rows; rows that fall alike on a leaf's path are worked out once."""
     out = np.zeros((len(x), width))
-    rows = np.arange(len(x))
+    if not len(x):
+        return out
     for t in trees:
-        at = np.zeros(len(x), dtype=np.int64)
-        while True:
-            open_ = t["left"][at] >= 0
-            if not open_.any():
-                break
-            r, n = rows[open_], at[open_]
-            f = t["feature"][n]
-            value = x[r, f]
-            goes_left = value <= t["threshold"][n]
-            for i, members in t["sets"].items():
-                here = n == i
-                goes_left[here] = np.isin(value[here], members)
-            child = np.where(goes_left, t["left"][n], t["right"][n])
-            out[r, f] += t["weight"] * (t["mean"][child] - t["mean"][n])
-            at[r] = child
+        left = np.zeros((len(t["left"]), len(x)), bool)
+        for n in np.flatnonzero(t["left"] >= 0):
+            value = x[:, t["feature"][n]]
+            left[n] = np.isin(value, t["sets"][n]) if n in t["sets"] else value <= t["threshold"][n]
+        for value, features, shares, steps in _leaves(t):
+            if not features:
+                continue
+            goes = np.stack([np.logical_and.reduce([left[n] == side for n, side in way]) for way in steps])
+            patterns, first, back = np.unique((goes.T << np.arange(len(features))).sum(axis=1), return_index=True, return_inverse=True)
+            out[:, features] += t["weight"] * value * _leaf_values(goes.T[first].astype(float), shares)[back]
     return out
 
 
 def contributions(encoded: DataFrame, model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """Adds ``contributions``, an array of credits in feature order.
+    """Adds ``contributions``, the Shapley values in feature order, and ``base_value``.
 
     ``encoded`` has the model's features vector. The node table holds at most
     iterations x 2^(depth+1) rows, whatever the data, and travels with the task.
@@ -99,9 +147,10 @@ def contributions(encoded: DataFrame, model: PipelineModel, names: Sequence[str]
     def credit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for features in batches:
             x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, width))
-            yield pd.Series(list(_credits(x, trees, width)))
+            yield pd.Series(list(shapley_values(x, trees, width)))
 
-    return encoded.withColumn("contributions", credit(vector_to_array("features")))
+    base = F.lit(expected_value(trees))
+    return encoded.withColumns({"contributions": credit(vector_to_array("features")), "base_value": base})
 
 
 def mean_contributions(df: DataFrame, names: Sequence[str]) -> DataFrame:

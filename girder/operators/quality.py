@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,15 @@ def quality_report(
 
     One pass over the table, whatever the number of checks.
     """
-    ranges = ranges or {}
-    checks: list[tuple[str, str, Column, float]] = []
-    for c in not_null:
-        checks.append((c, "null", F.col(c).isNull(), max_null_pct))
+    checks = _checks(not_null, ranges or {}, max_null_pct, max_out_pct)
+    return _report(df.agg(*_counts(checks)), table, checks)
+
+
+Checks = list[tuple[str, str, Column, float]]
+
+
+def _checks(not_null: Sequence[str], ranges: Mapping[str, tuple[float | None, float | None]], max_null_pct: float, max_out_pct: float) -> Checks:
+    checks: Checks = [(c, "null", F.col(c).isNull(), max_null_pct) for c in not_null]
     for c, (low, high) in ranges.items():
         bad = F.lit(False)
         if low is not None:
@@ -31,11 +36,14 @@ def quality_report(
         if high is not None:
             bad = bad | (F.col(c) > high)
         checks.append((c, "range", bad, max_out_pct))
+    return checks
 
-    one = df.agg(
-        F.count("*").alias("_rows"),
-        *[F.count(F.when(bad, F.lit(1))).alias(f"_bad{i}") for i, (_, _, bad, _) in enumerate(checks)],
-    )
+
+def _counts(checks: Checks) -> list[Column]:
+    return [F.count(F.lit(1)).alias("_rows"), *[F.count(F.when(bad, F.lit(1))).alias(f"_bad{i}") for i, (_, _, bad, _) in enumerate(checks)]]
+
+
+def _report(one: DataFrame, table: str, checks: Checks) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
@@ -56,3 +64,27 @@ def quality_report(
         .withColumn("bad_pct", rate)
         .withColumn("is_alert", F.when(F.col("bad_pct") > F.col("limit_pct"), 1).otherwise(0))
     )
+
+
+def write_checked(
+    df: DataFrame,
+    write: Callable[[DataFrame], None],
+    table: str,
+    not_null: Sequence[str] = (),
+    ranges: Mapping[str, tuple[float | None, float | None]] | None = None,
+    max_null_pct: float = 0.0,
+    max_out_pct: float = 0.0,
+) -> DataFrame:
+    """Writes ``df`` by ``write`` and returns the quality report of what went through.
+
+    The counts are taken on the pass that writes, so the rows are not computed
+    or read again. ``write`` runs one job over all rows of the frame it is
+    given. In a stream this is called with each micro-batch.
+    """
+    checks = _checks(not_null, ranges or {}, max_null_pct, max_out_pct)
+    seen = Observation()
+    write(df.observe(seen, *_counts(checks)))
+    names = [f"_bad{i}" for i in range(len(checks))]
+    counted = seen.get
+    one = df.sparkSession.createDataFrame([tuple(counted[n] for n in ("_rows", *names))], ", ".join(f"{n} long" for n in ("_rows", *names)))
+    return _report(one, table, checks)

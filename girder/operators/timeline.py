@@ -143,3 +143,41 @@ def same_month_last_year(df: DataFrame, values: Sequence[str], month: str = "mon
     number = F.year(month) * 12 + F.month(month)
     year_ago = Window.partitionBy(*by).orderBy(number).rangeBetween(-12, -12)
     return df.withColumns({f"{v}_last_year": F.max(v).over(year_ago) for v in values})
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, time: str, values: Sequence[str], by: Sequence[str] = (), span: str = "year"
+) -> DataFrame:
+    """Rows of ``left`` with the ``values`` of the latest row of ``right`` of their key that is not later.
+
+    Both sides are stacked and the last values are carried forward, so a row is
+    sorted once and never paired. A key is cut into ranges of time of one
+    ``span``: within a range the values are carried by a window, and what was
+    known before a range comes from one row per key and range, so a key that
+    holds most rows does not end in one task. Rows of ``right`` at one time go
+    by the largest values. A NULL key matches nothing, a row without time
+    neither; where nothing is known the values are NULL.
+    """
+    by = list(by)
+    value = F.struct(*[F.col(c) for c in values])
+    known = right.dropna(subset=[time, *by]).select(
+        *by, F.col(time).alias("_time"), F.lit(0).alias("_side"), value.alias("_value"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row")
+    )
+    asked = left.select(
+        *by, F.col(time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(known.schema["_value"].dataType).alias("_value"), F.struct("*").alias("_row")
+    )
+    stacked = known.unionByName(asked).withColumn("_range", F.date_trunc(span, "_time"))
+    # NULL keys stand together in a group and a window, but have no known value there.
+    within = Window.partitionBy(*by, "_range").orderBy("_time", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    carried = stacked.withColumn("_here", F.last("_value", ignorenulls=True).over(within)).filter("_side = 1 and _row is not null")
+    latest = F.max_by("_value", F.when(F.col("_side") == 0, F.struct("_time", "_value"))).alias("_last")
+    ranges = stacked.groupBy(*by, "_range").agg(latest)
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_of"), before.alias("_before"))
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    found = F.coalesce(F.col("_here"), F.col("_before"))
+    joined = carried.join(ranges, same, "left").withColumn("_found", F.when(F.col("_time").isNotNull(), found))
+    kept = [c for c in left.columns if c not in values or c in by]
+    return joined.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.col("_found")[c].alias(c) for c in values if c not in by])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.functions.exprs import ColumnLike, as_col, month_key, month_start, pct, sum_where, zero
+from girder.functions.exprs import ColumnLike, as_col, category_budget, month_key, month_start, pct, sum_where, zero
 from girder.operators.summaries import top_k
 from girder.sources.sinks import json_of
 
@@ -27,13 +28,17 @@ def kpi_document(
     cashflow: DataFrame,
     saas: DataFrame,
     facilities: DataFrame,
+    properties: DataFrame | None = None,
     notable: int = 3,
     ahead: int = 3,
 ) -> DataFrame:
     """One JSON document with the figures of a ``YYYY-MM`` month.
 
     Every block is a one-row aggregate read as a scalar subquery. Only the
-    ``notable`` projects and the ``ahead`` months are gathered into arrays.
+    ``notable`` projects and the ``ahead`` months are gathered into arrays. A
+    notable project's issue is the cost category furthest beyond its budget, the
+    warning names the months with a deficit, and the occupancy is that of the
+    ``properties`` that are let.
     """
     day = F.to_date(F.lit(month + "-01"))
     company = dashboard.filter(F.col("sales_month") == day).agg(
@@ -58,6 +63,7 @@ def kpi_document(
                     F.col("project_name").alias("name"),
                     F.col("effective_cost_rate").alias("cost_rate"),
                     F.col("cost_rate_gap").alias("gap"),
+                    main_issue().alias("issue"),
                 )
             )
         ).alias("rows")
@@ -68,7 +74,10 @@ def kpi_document(
             F.collect_list(F.struct(month_key("cf_date").alias("month"), F.col("net_cashflow_kpy").alias("net_cashflow")))
         ).alias("rows"),
         F.count(F.when(F.col("net_cashflow_kpy") < 0, 1)).alias("negative"),
+        F.array_sort(F.collect_list(F.when(F.col("net_cashflow_kpy") < 0, F.col("cf_date")))).alias("short"),
     )
+    short = F.transform("short", lambda d: F.date_format(d, "yyyy年MM月"))
+    warning = F.when(F.size("short") > 0, F.concat(F.array_join(short, "、"), F.lit("は単月赤字の見込み"))).otherwise("")
     balance = cashflow.filter(F.col("cf_date") == day).agg(F.sum("ending_balance_kpy").alias("balance"))
     subscribed = saas.filter(month_start("month") == day).agg(
         zero(F.sum("mrr_kpy")).alias("mrr"),
@@ -89,11 +98,12 @@ def kpi_document(
             risk, F.col("projects").alias("high_risk_projects_count"), F.col("amount").alias("total_risk_amount")
         ),
         "notable_projects": listed.select(
-            F.transform("rows", lambda r: F.struct(r["name"].alias("name"), r["cost_rate"].alias("cost_rate"), r["gap"].alias("gap")))
+            F.transform("rows", lambda r: F.struct(r["name"].alias("name"), r["cost_rate"].alias("cost_rate"), r["gap"].alias("gap"), r["issue"].alias("issue")))
         ).scalar(),
         "current_balance": balance.scalar(),
         "next_months_forecast": outlook.select("rows").scalar(),
         "negative_months": outlook.select("negative").scalar(),
+        "warning": outlook.select(warning).scalar(),
         "saas_metrics": _one(
             subscribed,
             F.col("mrr"),
@@ -105,6 +115,9 @@ def kpi_document(
             visited, F.col("visitors").alias("visitors_last_month"), F.col("revenue").alias("revenue_last_month")
         ),
     }
+    if properties is not None:
+        let = properties.filter(F.col("monthly_rental_income_kpy") > 0)
+        blocks["occupancy_rate_percent"] = let.agg(F.round(F.avg("occupancy_rate"), 1)).scalar()
     spark = dashboard.sparkSession
     return spark.range(1).select(
         F.lit(month).alias("report_month"),
@@ -112,6 +125,34 @@ def kpi_document(
     )
 
 
+def main_issue() -> Column:
+    """The cost category of a project summary that is furthest beyond its budget; empty if none is."""
+    costs = {"外注費": "outsourcing_cost_kpy", "材料費": "material_cost_kpy", "労務費": "labor_cost_kpy", "経費": "expense_cost_kpy"}
+    excess = {
+        name: F.col(cost) - category_budget("contract_amount_kpy", "target_cost_rate", F.lit(name)) for name, cost in costs.items()
+    }
+    most = F.greatest(*excess.values(), F.lit(0.0))
+    issue = F.when(most == 0, "")
+    for name, amount in excess.items():
+        issue = issue.when(most == amount, f"{name}の予算超過")
+    return issue
+
+
+def report_body(report_type: ColumnLike, document: str = "kpi_json", month: str = "report_month") -> Column:
+    """A short Markdown report made of the KPI document itself, for use where no language model writes one."""
+    field = lambda path: F.coalesce(F.get_json_object(document, "$." + path), F.lit(""))
+    warning = field("warning")
+    lines = [
+        F.concat(F.lit("# "), as_col(report_type), F.lit(" "), F.col(month), F.lit("\n")),
+        F.concat(F.lit("- 売上: "), field("company_summary.total_revenue"), F.lit(" 千円 (達成率 "), field("company_summary.target_achievement_rate"), F.lit("%)")),
+        F.concat(F.lit("- 高リスク工事: "), field("cost_risk_summary.high_risk_projects_count"), F.lit(" 件")),
+        F.concat(F.lit("- 資金残高: "), field("current_balance"), F.lit(" 千円")),
+        F.concat(F.lit("- 資金見通し: "), F.when(warning == "", "赤字の月はありません").otherwise(warning)),
+        F.concat(F.lit("- 稼働率: "), field("occupancy_rate_percent"), F.lit("%")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 # Instruction per report type; an unknown type gets the data without one.
 SYSTEM_INSTRUCTION = "あなたは総合建設企業の経営企画を補佐するアシスタントです。次のKPIデータだけを根拠に、経営陣向けの簡潔な報告をMarkdownで作成してください。"
 INSTRUCTIONS: Mapping[str, str] = {
@@ -156,12 +197,15 @@ def delivery_payloads(
     )
 
 
-def prediction_documents(scored: DataFrame, factors: DataFrame, as_of: str) -> DataFrame:
-    """One JSON document per project: forecast, interval, risk and top factors.
+def prediction_documents(scored: DataFrame, factors: DataFrame, at: str) -> DataFrame:
+    """One JSON document per project: forecast, interval, risk, top factors and when it was made.
 
     ``factors`` has project_id and ``top_risk_factors``, an array of
-    (factor, contribution).
+    (factor, contribution). ``at`` is a time with its zone offset, as
+    2000-01-01T09:00:00+09:00.
     """
+    if datetime.fromisoformat(at).tzinfo is None:
+        raise ValueError(f"{at} has no zone offset")
     return scored.join(factors, "project_id", "left").select(
         "project_id",
         json_of(
@@ -172,6 +216,6 @@ def prediction_documents(scored: DataFrame, factors: DataFrame, as_of: str) -> D
             F.col("risk_score"),
             F.col("risk_level"),
             F.col("top_risk_factors"),
-            F.lit(as_of).alias("prediction_date"),
+            F.lit(at).alias("prediction_timestamp"),
         ).alias("document"),
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,6 +244,37 @@ def portfolio_matrix(growth_and_margin: DataFrame, growth_cut: float = 0.0, marg
     )
 
 
+def business_profits(cash_in: DataFrame, costs: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Profit by month of the businesses whose costs are recorded: construction and facilities."""
+    rows = (
+        cash_in.select(F.lit("建設事業").alias("business"), month_start("deposit_month").alias("month"), F.col("expected_amount_kpy").alias("profit_kpy"))
+        .unionByName(costs.select(F.lit("建設事業").alias("business"), month_start("accrual_month").alias("month"), (-F.col("amount_kpy")).alias("profit_kpy")))
+        .unionByName(facilities.select(F.lit("施設運営").alias("business"), month_start("month").alias("month"), F.col("operating_profit_kpy").alias("profit_kpy")))
+    )
+    return rows.groupBy("business", "month").agg(F.sum("profit_kpy").alias("profit_kpy"))
+
+
+def business_growth_and_margin(sales: DataFrame, profits: DataFrame, month: str) -> DataFrame:
+    """Each business's sales of the twelve months up to ``month`` against the twelve before, and its margin.
+
+    A business without profit rows has no margin, one without earlier sales no growth.
+    """
+    day = F.to_date(F.lit(month + "-01"))
+    current = F.col("month") > F.add_months(day, -12)
+    rows = sales.unionByName(profits, allowMissingColumns=True).filter((F.col("month") <= day) & (F.col("month") > F.add_months(day, -24)))
+    sums = rows.groupBy("business").agg(
+        sum_where(current, "sales_kpy").alias("sales_kpy"),
+        sum_where(~current, "sales_kpy").alias("previous_sales_kpy"),
+        F.sum(F.when(current, F.col("profit_kpy"))).alias("profit_kpy"),
+    )
+    return sums.withColumns(
+        {
+            "growth_pct": safe_div(F.col("sales_kpy") - F.col("previous_sales_kpy"), "previous_sales_kpy") * 100,
+            "margin_pct": safe_div("profit_kpy", "sales_kpy") * 100,
+        }
+    )
+
+
 def facility_growth_and_margin(facilities: DataFrame) -> DataFrame:
     """Sales growth of the later half of each facility's months over the earlier, and its margin."""
     dated = facilities.withColumn("_day", month_start("month"))
@@ -499,6 +532,73 @@ def area_effect(areas: DataFrame, outcome: DataFrame, measures: Sequence[str], t
     return joined.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
 
 
+EFFECTS = "area string, target string, lag int, n long, intercept double, r2 double, reason string, measure string, coefficient double, effect_ahead double"
+
+
+def area_effects(
+    areas: DataFrame,
+    outcomes: DataFrame,
+    measures: Sequence[str],
+    targets: Sequence[str],
+    lags: Sequence[int] = (0, 1, 3),
+    area: str = "area_name",
+    month: str = "month",
+) -> DataFrame:
+    """Least squares of every target on all measures together, for each area and lag.
+
+    ``areas`` has area, month (YYYY-MM) and the measures, ``outcomes`` area,
+    month and the targets. With a lag of L months the outcome of a month is
+    explained by the measures L months before; ``effect_ahead`` is what the last
+    known measures of the area let expect L months after them. Spark sums the
+    cross-products of each area and lag (pairwise covariances, which partial
+    sums combine without loss of digits); one small system per area, lag and
+    target is solved from them. NULL values leave out their row, for the target
+    it is in. Where the measures do not vary independently, or there are not
+    more rows than unknowns, coefficients are NULL and a ``reason`` says so.
+    """
+    shifted = outcomes.select(area, F.explode(F.array(*[F.lit(n) for n in lags])).alias("lag"), month, *targets).withColumn(
+        month, F.date_format(F.add_months(month_start(month), -F.col("lag")), "yyyy-MM")
+    )
+    known = areas.select(area, month, *[F.col(m).cast("double").alias(m) for m in measures]).dropna(subset=list(measures))
+    last = known.groupBy(area).agg(F.max_by(F.array(*measures), month).alias("last"))
+    stacked = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("o")
+    rows = known.join(shifted, [area, month]).select(area, "lag", *measures, stacked).select(area, "lag", *measures, "o.*")
+    pairs = [(a, b) for i, a in enumerate(measures) for b in measures[i:]]
+    sums = rows.filter(F.col("y").isNotNull()).groupBy(area, "lag", "target").agg(
+        F.count("*").alias("n"),
+        F.array(*[F.covar_pop(F.col(a), F.col(b)) for a, b in pairs]).alias("among"),
+        F.array(*[F.covar_pop(F.col(m), F.col("y")) for m in measures]).alias("across"),
+        F.array(*[F.avg(m) for m in measures], F.avg("y")).alias("means"),
+        F.var_pop("y").alias("spread"),
+    )
+    p = len(measures)
+    places = [(measures.index(a), measures.index(b)) for a, b in pairs]
+
+    def solve(batches):
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                matrix = np.zeros((p, p))
+                for (i, j), value in zip(places, r.among, strict=True):
+                    matrix[i, j] = matrix[j, i] = value
+                scale = np.sqrt(np.diag(matrix))
+                reason = "too few months" if r.n <= p + 1 else None
+                if reason is None and (not scale.all() or np.linalg.matrix_rank(matrix / np.outer(scale, scale), tol=1e-9) < p):
+                    reason = "measures depend on each other"
+                if reason is None:
+                    beta = np.linalg.solve(matrix / np.outer(scale, scale), np.asarray(r.across) / scale) / scale
+                    base = r.means[-1] - beta @ np.asarray(r.means[:-1])
+                    r2 = float(beta @ np.asarray(r.across) / r.spread) if r.spread > 0 else None
+                    ahead = float(base + beta @ np.asarray(r.last))
+                else:
+                    beta, base, r2, ahead = [None] * p, None, None, None
+                for m, b in zip(measures, beta, strict=True):
+                    out.append((r.area, r.target, r.lag, r.n, base, r2, reason, m, b, ahead))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EFFECTS.split(", ")])
+
+    return sums.join(last, area).withColumnRenamed(area, "area").mapInPandas(solve, EFFECTS)
+
+
 def season_index(monthly: DataFrame, value: str, month: str = "month") -> DataFrame:
     """Mean of each calendar month over the overall mean."""
     overall = monthly.agg(F.avg(value)).scalar()

@@ -44,9 +44,13 @@ class CostTerms:
 TERMS = CostTerms()
 
 
-def project_costs(costs: DataFrame, terms: CostTerms = TERMS) -> DataFrame:
-    """Cost totals per project, split by status and by category, in one aggregate."""
-    amount = F.col("amount_kpy")
+def project_costs(costs: DataFrame, terms: CostTerms = TERMS, sign: Column | None = None) -> DataFrame:
+    """Cost totals per project, split by status and by category, in one aggregate.
+
+    With a ``sign`` of 1 or -1 rows are added or taken back, and the totals are changes.
+    """
+    amount = F.col("amount_kpy") if sign is None else F.col("amount_kpy") * sign
+    count = count_where if sign is None else lambda cond: sum_where(cond, sign)
     confirmed = F.col("status").isin(list(terms.confirmed))
     forecast = F.col("status").isin(list(terms.forecast))
     category = F.col("category")
@@ -58,9 +62,9 @@ def project_costs(costs: DataFrame, terms: CostTerms = TERMS) -> DataFrame:
         sum_where(category == terms.material, amount).alias("material_cost"),
         sum_where(category == terms.labor, amount).alias("labor_cost"),
         sum_where(category == terms.expense, amount).alias("expense_cost"),
-        F.count("*").alias("record_count"),
-        count_where(confirmed).alias("confirmed_count"),
-        count_where(forecast).alias("forecast_count"),
+        count(F.lit(True)).alias("record_count"),
+        count(confirmed).alias("confirmed_count"),
+        count(forecast).alias("forecast_count"),
     )
 
 
@@ -249,7 +253,12 @@ def project_cost_summary(projects: DataFrame, costs: DataFrame, terms: CostTerms
     Costs are grouped before the join, so the fact table is shuffled once as
     partial sums and the join finds it already partitioned by project.
     """
-    joined = projects.join(project_costs(costs, terms), "project_id", "left")
+    return cost_summary_of(projects, project_costs(costs, terms))
+
+
+def cost_summary_of(projects: DataFrame, sums: DataFrame) -> DataFrame:
+    """The summary from cost totals that are already one row per project."""
+    joined = projects.join(sums, "project_id", "left")
     total = zero("total_cost")
     rate = safe_div(total, "contract_amount_kpy") * 100
     parts = ("outsourcing", "material", "labor", "expense")
@@ -300,41 +309,54 @@ def cashflow_forecast(cash_in: DataFrame, costs: DataFrame, terms: CostTerms = T
     Receipts and payments are stacked and grouped once in place of a full outer
     join of two aggregates.
     """
-    expected = F.col("expected_amount_kpy")
-    received = F.when(F.col("status") == "入金済", F.coalesce("actual_amount_kpy", expected)).otherwise(F.lit(0))
-    amount = F.col("amount_kpy")
+    return cashflow_of(monthly_cash_sums(cash_in, costs, terms))
+
+
+CASH_SUMS = {
+    "expected": "expected_inflow_kpy",
+    "received": "actual_inflow_kpy",
+    "paid": "total_outflow_kpy",
+    "confirmed": "confirmed_outflow_kpy",
+    "forecast": "forecast_outflow_kpy",
+}
+
+
+def monthly_cash_sums(cash_in: DataFrame, costs: DataFrame, terms: CostTerms = TERMS, sign: Column | None = None) -> DataFrame:
+    """Receipts and payments per month; with a ``sign`` of 1 or -1, their changes and the rows they come from."""
+    one = F.lit(1) if sign is None else sign
+    expected = F.col("expected_amount_kpy") * one
+    received = F.when(F.col("status") == "入金済", F.coalesce(F.col("actual_amount_kpy") * one, expected)).otherwise(F.lit(0))
+    amount = F.col("amount_kpy") * one
     confirmed = F.col("status").isin(list(terms.confirmed))
     forecast = F.col("status").isin(list(terms.forecast))
     rows = cash_in.select(
-        F.col("deposit_month").alias("month_str"), expected.alias("expected"), received.alias("received")
+        F.col("deposit_month").alias("month_str"), expected.alias("expected"), received.alias("received"), one.alias("entries")
     ).unionByName(
         costs.select(
             F.col("payment_due_month").alias("month_str"),
             amount.alias("paid"),
             F.when(confirmed, amount).alias("confirmed"),
             F.when(forecast, amount).alias("forecast"),
+            one.alias("entries"),
         ),
         allowMissingColumns=True,
     )
-    measures = {
-        "expected": "expected_inflow_kpy",
-        "received": "actual_inflow_kpy",
-        "paid": "total_outflow_kpy",
-        "confirmed": "confirmed_outflow_kpy",
-        "forecast": "forecast_outflow_kpy",
-    }
+    counted = [] if sign is None else [F.sum("entries").alias("entries")]
+    return rows.groupBy("month_str").agg(*[zero(F.sum(c)).alias(name) for c, name in CASH_SUMS.items()], *counted)
+
+
+def cashflow_of(sums: DataFrame) -> DataFrame:
+    """The view from sums that are already one row per month."""
     net = F.col("net_cashflow_kpy")
     w = by_time("month_str")
     return (
-        rows.groupBy("month_str")
-        .agg(*[zero(F.sum(c)).alias(name) for c, name in measures.items()])
-        .withColumn("net_cashflow_kpy", F.col("expected_inflow_kpy") - F.col("total_outflow_kpy"))
+        sums.withColumn("net_cashflow_kpy", F.col("expected_inflow_kpy") - F.col("total_outflow_kpy"))
         .withColumn("beginning_balance_kpy", opening_balance(net, w))
         .withColumn("ending_balance_kpy", F.col("beginning_balance_kpy") + net)
         .select(
             month_start("month_str").alias("cf_date"),
             "month_str",
-            *measures.values(),
+            *CASH_SUMS.values(),
             "net_cashflow_kpy",
             "beginning_balance_kpy",
             "ending_balance_kpy",

@@ -2,15 +2,15 @@
 
 A micro-batch may run again after a failure. The append sink leaves no trace of
 a repeated batch, and the change table writes each batch to a folder of its own
-number, so a repeat replaces itself. ``compact`` folds the folders of finished
-batches into one, so a stream can run for years.
+number, so a repeat replaces itself. A stream that runs for long merges into a
+table of current rows instead, see :mod:`girder.streaming.snapshots`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,18 +31,11 @@ def run_changes(
     path: str,
     checkpoint: str,
     shape: Callable[[DataFrame], DataFrame] = lambda batch: batch,
-    keys: Sequence[str] = (),
-    compact_every: int = 0,
 ) -> None:
-    """The rows changed by each batch, shaped by ``shape``, into a change table.
-
-    With ``keys`` the table is compacted after every ``compact_every`` batches.
-    """
+    """The rows changed by each batch, shaped by ``shape``, into a change table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         shape(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if keys and compact_every and batch_id % compact_every == 0:
-            compact(batch.sparkSession, path, keys)
 
     (
         stream.writeStream.outputMode("update")
@@ -59,36 +52,3 @@ def latest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     values = [c for c in changes.columns if c not in keys and c != "batch"]
     newest = F.max_by(F.struct(*values), "batch").alias("v")
     return changes.groupBy(*keys).agg(newest).select(*keys, "v.*")
-
-
-def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
-    """Leaves two batch folders: the last one, and one with the current rows of all before it.
-
-    The last batch may run again and is not touched. The merged rows are written
-    beside the table and renamed into it; until the older folders are deleted
-    they only repeat what is merged. A run that stopped in between is completed
-    by the next one.
-    """
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
-    names = [s.getPath().getName() for s in files.listStatus(root)]
-    for name in names:
-        if name.startswith("_merged="):
-            number = name.split("=")[1]
-            whole = files.exists(place(f"{name}/_SUCCESS"))
-            if whole and f"batch={number}" not in names:
-                files.rename(place(name), place(f"batch={number}"))
-            else:
-                files.delete(place(name), True)
-    batches = sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root) if s.getPath().getName().startswith("batch="))
-    done = batches[:-1]
-    if len(done) < 2:
-        return
-    upto = done[-1]
-    changes = spark.read.parquet(path).where(F.col("batch") <= upto)
-    latest(changes, keys).write.mode("overwrite").parquet(f"{path}/_merged={upto}")
-    files.delete(place(f"batch={upto}"), True)
-    files.rename(place(f"_merged={upto}"), place(f"batch={upto}"))
-    for number in done[:-1]:
-        files.delete(place(f"batch={number}"), True)

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -52,13 +53,82 @@ def test_metrics_against_hand_values(spark):
     assert (c.accuracy, c.precision, c.recall, c.f1) == (1.0, 0.0, 0.0, 0.0)
 
 
-def test_contributions_add_up_to_the_prediction(spark, rows, reg):
+def expected(tree, x, known, node=0):
+    """What one tree is expected to give when only the features in ``known`` are seen."""
+    if tree["left"][node] < 0:
+        return float(tree["mean"][node])
+    f, sides = int(tree["feature"][node]), (int(tree["left"][node]), int(tree["right"][node]))
+    if f in known:
+        goes = x[f] in tree["sets"][node] if node in tree["sets"] else x[f] <= tree["threshold"][node]
+        return expected(tree, x, known, sides[0] if goes else sides[1])
+    return sum(tree["rows"][s] / tree["rows"][node] * expected(tree, x, known, s) for s in sides)
+
+
+def brute_shapley(tree, x, width):
+    """Every set of the features that the tree uses, by the definition."""
+    used = sorted({int(f) for f, left in zip(tree["feature"], tree["left"], strict=True) if left >= 0})
+    n = len(used)
+    out = np.zeros(width)
+    for j in used:
+        others = [f for f in used if f != j]
+        for k in range(n):
+            weight = math.factorial(k) * math.factorial(n - 1 - k) / math.factorial(n)
+            for known in itertools.combinations(others, k):
+                out[j] += weight * (expected(tree, x, {*known, j}) - expected(tree, x, set(known)))
+    return out * tree["weight"]
+
+
+def grown_tree(rng, features, depth):
+    """A random tree; features repeat on a path, and one is split by a set."""
+    tree = {"mean": [], "left": [], "right": [], "feature": [], "threshold": [], "rows": [], "sets": {}, "weight": 0.7}
+
+    def grow(rows, level):
+        at = len(tree["left"])
+        for key, value in (("mean", rng.normal()), ("left", -1), ("right", -1), ("feature", -1), ("threshold", np.nan), ("rows", rows)):
+            tree[key].append(value)
+        if level and rows > 1 and (level == depth or rng.random() < 0.8):
+            tree["feature"][at] = int(rng.integers(0, features))
+            if tree["feature"][at] == 0:
+                tree["sets"][at] = np.array([0.0, 2.0])
+            else:
+                tree["threshold"][at] = rng.normal()
+            cut = int(rng.integers(1, rows))
+            tree["left"][at] = grow(cut, level - 1)
+            tree["right"][at] = grow(rows - cut, level - 1)
+        return at
+
+    grow(50, depth)
+    return {k: np.array(v) if isinstance(v, list) else v for k, v in tree.items()}
+
+
+def test_shapley_values_equal_all_orders():
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        tree = grown_tree(rng, 5, 6)
+        x = rng.normal(size=(7, 6))
+        x[:, 0] = rng.integers(0, 4, 7)
+        got = attribution.shapley_values(x, [tree], 6)
+        assert got == pytest.approx(np.array([brute_shapley(tree, row, 6) for row in x]), abs=1e-12)
+        base = attribution.expected_value([tree])
+        assert base == pytest.approx(tree["weight"] * expected(tree, x[0], set()))
+        assert got.sum(axis=1) + base == pytest.approx([tree["weight"] * expected(tree, row, set(range(6))) for row in x])
+        assert not got[:, 5].any()
+    assert attribution.shapley_values(np.zeros((0, 6)), [tree], 6).shape == (0, 6)
+
+
+def test_contributions_of_a_fitted_model(spark, rows, reg):
+    """Shapley values of the fitted trees by the definition, their sum, and what is read off them."""
     names = features.feature_names(reg)
     scored = attribution.contributions(reg.transform(rows), reg, names)
-    roots = attribution.tree_nodes(reg, spark).filter("id = 0").agg(F.sum(F.col("weight") * F.col("prediction"))).first()[0]
-    gap = F.abs(F.aggregate("contributions", F.lit(roots), lambda a, c: a + c) - F.col("predicted_cost_rate"))
-    worst = scored.agg(F.max(gap / (1 + F.abs("predicted_cost_rate")))).first()[0]
-    assert worst < 1e-9
+    from catalog.models import contribution_violations
+
+    assert tuple(contribution_violations(scored, len(names)).first()) == (rows.count(), 0, 0)
+    off = scored.withColumn("base_value", F.col("base_value") * 1.001 + 0.001)
+    assert contribution_violations(off, len(names)).first()["sum_violations"] == rows.count()
+    trees = attribution._as_arrays(attribution.tree_nodes(reg, spark).toPandas())
+    for r in scored.orderBy("project_id").limit(5).collect():
+        x = r["features"].toArray()
+        assert r["contributions"] == pytest.approx(sum(brute_shapley(t, x, len(names)) for t in trees), rel=1e-9, abs=1e-9)
     factors = attribution.top_factors(scored, names, k=3).first()["top_risk_factors"]
     assert len(factors) <= 3 and all(f.contribution > 0 for f in factors)
     assert attribution.mean_contributions(scored, names).count() == len(names)
@@ -132,15 +202,66 @@ def test_rescaled_scores(spark):
     assert got[0] == (0.0, False) and got[-1] == (1.0, True)
 
 
+def arma_series(n, phi=0.6, theta=0.3, seed=7):
+    rng = np.random.default_rng(seed)
+    e = rng.normal(0, 1, n)
+    w = np.zeros(n)
+    for t in range(1, n):
+        w[t] = phi * w[t - 1] + e[t] + theta * e[t - 1]
+    return np.cumsum(w)
+
+
 def test_series_fit_recovers_its_parameters():
-    rng = np.random.default_rng(7)
-    e = rng.normal(0, 1, 3000)
-    w = np.zeros(3000)
-    for t in range(1, 3000):
-        w[t] = 0.6 * w[t - 1] + e[t] + 0.3 * e[t - 1]
-    phi, theta, variance, *_ = arima.fit_series(np.cumsum(w))
-    assert phi == pytest.approx(0.6, abs=0.06) and theta == pytest.approx(0.3, abs=0.06)
-    assert variance == pytest.approx(1.0, abs=0.08)
+    phi, theta, variance, _ = arima.fit_series(arma_series(1500))
+    assert phi == pytest.approx(0.6, abs=0.08) and theta == pytest.approx(0.3, abs=0.08)
+    assert variance == pytest.approx(1.0, abs=0.1)
+
+
+def dense_likelihood(y, phi, theta, steps):
+    """The known months after the first as one Gaussian vector: best variance, log likelihood, and means and spreads ahead."""
+    n = len(y) - 1 + steps
+    lags = np.empty(n)
+    lags[0] = (1 + 2 * phi * theta + theta**2) / (1 - phi**2)
+    if n > 1:
+        lags[1] = phi * lags[0] + theta
+    for k in range(2, n):
+        lags[k] = phi * lags[k - 1]
+    changes = lags[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    total = np.tril(np.ones((n, n)))
+    levels = total @ changes @ total.T
+    known = np.flatnonzero(~np.isnan(y[1:]))
+    ahead = np.arange(len(y) - 1, n)
+    cov, miss = levels[np.ix_(known, known)], y[1:][known] - y[0]
+    variance = miss @ np.linalg.solve(cov, miss) / len(known)
+    logs = np.linalg.slogdet(cov)[1]
+    cross = levels[np.ix_(ahead, known)]
+    means = y[0] + cross @ np.linalg.solve(cov, miss)
+    spread = np.diag(levels[np.ix_(ahead, ahead)] - cross @ np.linalg.solve(cov, cross.T))
+    return variance, -0.5 * (len(known) * (math.log(2 * math.pi) + 1 + math.log(variance)) + logs), means, spread
+
+
+@pytest.mark.parametrize("missing", [(), (3,), (5, 6, 7, 15), (1, 2, 22)])
+def test_filter_equals_the_dense_gaussian(missing):
+    y = arma_series(24, seed=3) * 50 + 1000
+    y[list(missing)] = np.nan
+    for phi, theta in ((0.0, 0.0), (0.5, 0.3), (-0.7, 0.9), (0.95, -0.95)):
+        found = arima.kalman(y, np.array([phi]), np.array([theta]))
+        variance, likelihood, means, spread = dense_likelihood(y, phi, theta, 4)
+        assert found.variance[0] == pytest.approx(variance)
+        assert found.log_likelihood[0] == pytest.approx(likelihood)
+        state, p = found.means, found.spread
+        for h in range(4):
+            state, p = arima._step(state, p, np.array([phi]), np.array([theta]))
+            assert (state[0][0], p[0][0]) == (pytest.approx(means[h]), pytest.approx(spread[h]))
+
+
+def test_fit_is_the_best_of_a_fine_grid():
+    y = arma_series(40, 0.4, -0.5, seed=11)
+    y[[7, 20, 21]] = np.nan
+    phi, theta, _, found = arima.fit_series(y)
+    axis = np.linspace(-0.98, 0.98, 99)
+    many = arima.kalman(y, *(g.ravel() for g in np.meshgrid(axis, axis)))
+    assert found.log_likelihood[0] >= many.log_likelihood.max() - 1e-9
 
 
 def test_forecast_per_series_with_reasons(spark):
@@ -149,10 +270,17 @@ def test_forecast_per_series_with_reasons(spark):
     data = [("walk", m, float(v)) for m, v in zip(months, np.cumsum(rng.normal(0, 1, 24)))]
     data += [("flat", m, 5.0) for m in months] + [("ramp", m, 2.0 * i) for i, m in enumerate(months[:3])]
     data += [("short", m, float(i * i)) for i, m in enumerate(months[:4])] + [("five", m, float(i * i)) for i, m in enumerate(months[:5])]
+    data += [("ramp with gaps", m, 2.0 * i) for i, m in enumerate(months[:9]) if i not in (2, 3, 6)]
+    data += [("walk with gaps", m, None if i == 9 else v) for i, (_, m, v) in enumerate(data[:24]) if i not in (4, 5, 23)]
+    data += [("nothing known", m, None) for m in months[:6]]
     got = arima.forecast(spark.createDataFrame(data, "k string, month date, v double"), "v", by=["k"]).collect()
-    assert len(got) == 30
+    assert len(got) == 48
     for r in got:
-        if r.k == "walk":
+        if r.k == "nothing known":
+            assert r.forecast is None and r.reason == "too short"
+        elif r.k == "ramp with gaps":
+            assert r.lower == r.forecast == r.upper == 16.0 + 2 * r.step
+        elif r.k.startswith("walk"):
             assert r.reason is None and r.lower < r.forecast < r.upper
         elif r.k == "five":
             assert r.reason is None and r.lower <= r.forecast <= r.upper
@@ -162,5 +290,6 @@ def test_forecast_per_series_with_reasons(spark):
             assert r.reason is None and r.lower == r.forecast == r.upper == (5.0 if r.k == "flat" else 4.0 + 2 * r.step)
     first = next(r for r in got if r.k == "walk" and r.step == 1)
     assert first.month == dt.date(2024, 1, 1)
+    assert min(r.month for r in got if r.k == "walk with gaps") == dt.date(2023, 12, 1)
     widths = [r.upper - r.lower for r in sorted((r for r in got if r.k == "walk"), key=lambda r: r.step)]
     assert widths == sorted(widths)

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import duckdb
+import numpy as np
 import pytest
 from helpers import by, cash, project, projects, receipts
 from pyspark.sql import functions as F
@@ -162,3 +164,129 @@ def test_certainty_weights(spark):
 def test_alert_tiers(spark, rate, score, want):
     df = spark.createDataFrame([(rate, 80.0, score)], "r double, t double, s double")
     assert df.select(ops.cost_alert_tier("r", "t", "s").alias("v")).first()["v"] == want
+
+
+GRANTS = {
+    "all": {"p": controls.Grant()},
+    "head": {"p": controls.Grant(controls.DETAIL, controls.SUMMARY, scope="g")},
+    "site": {"p": controls.Grant(controls.SUMMARY, controls.NOTHING, company=False, scope="who")},
+    "own": {"p": controls.Grant(controls.DETAIL, controls.NOTHING, company=False, scope="who")},
+}
+
+
+def seen(spark, role, page="p", scope=None, rows=None):
+    data = [("a", 1, "x", 10), ("a", 2, "y", 20), ("b", 3, "x", 5), ("b", 3, "x", 1), (None, 4, None, 7)] if rows is None else rows
+    df = spark.createDataFrame(data, "g string, k int, who string, v long")
+    got = controls.role_page(df, role, page, "g", "k", ["v"], scope, grants=GRANTS)
+    return sorted(((r.level, r.g, r.k, r.row_count, r.v) for r in got.collect()), key=repr)
+
+
+def test_role_pages(spark):
+    detail = [("detail", "a", 1, 1, 10), ("detail", "a", 2, 1, 20), ("detail", "b", 3, 2, 6), ("detail", None, 4, 1, 7)]
+    groups = [("group", "a", None, 2, 30), ("group", "b", None, 2, 6), ("group", None, None, 1, 7)]
+    company = [("company", None, None, 5, 43)]
+    assert seen(spark, "all") == sorted(company + detail + groups, key=repr)
+    assert seen(spark, "head", scope={"g": ["b"]}) == sorted([*company, detail[2], *groups], key=repr)
+    assert seen(spark, "head") == sorted(company + groups, key=repr)  # nothing is own, the rest in totals
+    assert seen(spark, "site", scope={"who": ["x"]}) == [("group", "a", None, 1, 10), ("group", "b", None, 2, 6)]
+    assert seen(spark, "own", scope={"who": ["y", "z"]}) == [("detail", "a", 2, 1, 20), ("group", "a", None, 1, 20)]
+    assert seen(spark, "site") == seen(spark, "nobody") == seen(spark, "all", "closed") == seen(spark, "all", rows=[]) == []
+
+
+def test_role_matrix():
+    pages = {role: set(grants) for role, grants in controls.PAGE_GRANTS.items()}
+    assert controls.ENTRY_PAGE in pages["現場監督"] and all(controls.ENTRY_PAGE not in p for r, p in pages.items() if r != "現場監督")
+    assert controls.COMPANY_PAGE not in pages["現場監督"] and controls.AREA_PAGE not in pages["現場監督"]
+    assert controls.grant_of("事業部長", controls.RISK_PAGE).rest == controls.NOTHING
+    assert controls.grant_of("DX推進室", controls.PROFIT_PAGE).own == controls.SUMMARY
+
+
+def area_months(n, area, rng):
+    return [(area, f"{2020 + i // 12}-{i % 12 + 1:02d}", float(rng.normal()), float(rng.normal()), float(rng.normal())) for i in range(n)]
+
+
+def test_area_effects_equal_least_squares(spark):
+    rng = np.random.default_rng(1)
+    rows = area_months(30, "a", rng) + area_months(24, "b", rng) + area_months(4, "short", rng)
+    rows += [("flat", m, 1.0, x, y) for _, m, x, y, _ in area_months(20, "", rng)] + [("same", m, x, 2 * x, y) for _, m, x, y, _ in area_months(20, "", rng)]
+    rows += [("a", "2019-12", None, 1.0, 1.0)]
+    measures = ["m1", "m2", "m3"]
+    areas = spark.createDataFrame(rows, "area_name string, month string, m1 double, m2 double, m3 double")
+    results = [(a, m, 3 + 2 * x - y + 0.1 * z + 0.01 * rng.normal(), None if m.endswith("-05") else rng.normal()) for a, m, x, y, z in rows if x is not None]
+    outcomes = spark.createDataFrame(results, "area_name string, month string, t1 double, t2 double")
+    got = {}
+    for r in ops.area_effects(areas, outcomes, measures, ["t1", "t2"], lags=(0, 2)).collect():
+        got.setdefault((r.area, r.target, r.lag), {})[r.measure] = r
+    assert {k for k in got if k[0] == "a"} == {("a", t, lag) for t in ("t1", "t2") for lag in (0, 2)}
+    x = {(a, m): v for a, m, *v in rows}
+    for area in ("a", "b"):
+        months = sorted(m for a, m in x if a == area and m >= "2020")
+        for i, target in enumerate(("t1", "t2")):
+            y = {m: v[i] for a, m, *v in results if a == area}
+            for lag in (0, 2):
+                pairs = [(x[area, months[k]], y[months[k + lag]]) for k in range(len(months) - lag) if y[months[k + lag]] is not None]
+                design = np.column_stack([np.ones(len(pairs)), np.array([p[0] for p in pairs])])
+                want, rest, *_ = np.linalg.lstsq(design, np.array([p[1] for p in pairs]), rcond=None)
+                cell = got[area, target, lag]
+                assert [cell["m1"].intercept, *(cell[m].coefficient for m in measures)] == pytest.approx(want)
+                assert cell["m1"].n == len(pairs)
+                total = np.var([p[1] for p in pairs]) * len(pairs)
+                assert cell["m1"].r2 == pytest.approx(1 - rest[0] / total)
+                assert cell["m2"].effect_ahead == pytest.approx(want @ [1, *x[area, months[-1]]])
+    reasons = {a: got[a, "t1", 0]["m1"].reason for a in ("a", "short", "flat", "same")}
+    assert reasons == {"a": None, "short": "too few months", "flat": "measures depend on each other", "same": "measures depend on each other"}
+    assert got["flat", "t1", 0]["m1"].coefficient is None
+
+
+@pytest.mark.parametrize("span", ["month", "year", "day"])
+def test_asof_join_equals_duckdb(spark, span):
+    rng = np.random.default_rng(2)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=int(n))
+    left = [(i, str(rng.choice(["a", "b", "c"])), day(rng.integers(0, 900)), 1) for i in range(200)]
+    left += [(900, None, day(5), 1), (901, "a", None, 1), (902, "d", day(5), 1)]
+    right = [(str(rng.choice(["a", "b"])), day(n), int(n), None if n % 3 else "x") for n in rng.choice(900, 40, replace=False) + 20]
+    right += [("a", day(300), 5, "low"), ("a", day(300), 7, "high"), (None, day(1), 1, "no key"), ("a", None, 1, "no time")]
+    ldf = spark.createDataFrame(left, "id long, k string, day date, v long")
+    rdf = spark.createDataFrame(right, "k string, day date, v long, w string")
+    got = sorted(tuple(r) for r in timeline.asof_join(ldf, rdf, "day", ["v", "w"], by=["k"], span=span).select("id", "v", "w").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l (id BIGINT, k VARCHAR, day DATE, v BIGINT)")
+    con.execute("CREATE TABLE r (k VARCHAR, day DATE, v BIGINT, w VARCHAR)")
+    con.executemany("INSERT INTO l VALUES (?, ?, ?, ?)", left)
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?)", right)
+    want = con.sql("SELECT id, x.v, x.w FROM l ASOF LEFT JOIN (SELECT k, day, arg_max(w, v) AS w, max(v) AS v FROM r GROUP BY 1, 2) x ON l.k = x.k AND l.day >= x.day").fetchall()
+    # Where the value itself is NULL, the latest row still counts.
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert {g[0]: g[2] for g in got if g[1] == 7} == {g[0]: "high" for g in got if g[1] == 7}
+    alone = timeline.asof_join(ldf, rdf, "day", ["w"]).filter("id = 902").first()
+    assert set(alone.asDict()) == {"id", "k", "day", "v", "w"}
+
+
+def test_quality_is_counted_on_the_pass_that_writes(spark, tmp_path):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, 50.0), (None, 101.0), (3, None)], "id int, v double").mapInArrow(count, "id int, v double")
+    checks = {"not_null": ["id"], "ranges": {"v": (0, 100)}, "max_null_pct": 50.0}
+    path = str(tmp_path / "t")
+    report = quality.write_checked(df, lambda d: sinks.write_table(d, path), "t", **checks)
+    rows = sorted(tuple(r) for r in report.collect())
+    assert passed.value == 3
+    written = spark.read.parquet(path)
+    assert written.count() == 3 and rows == sorted(tuple(r) for r in quality.quality_report(written, "t", **checks).collect())
+    assert [r.is_alert for r in report.orderBy("column_name").collect()] == [0, 1]
+    empty = quality.write_checked(written.filter("false"), lambda d: sinks.write_table(d, path + "0"), "t", **checks)
+    assert {(r.row_count, r.bad_pct, r.is_alert) for r in empty.collect()} == {(0, 0.0, 0)}
+
+
+def test_business_growth_and_margin(spark):
+    sales = [("x", f"{y}-06-01", v) for y, v in ((2022, 100), (2023, 150), (2024, 7))] + [("new", "2023-01-01", 10)]
+    profits = [("x", "2022-06-01", 90), ("x", "2023-06-01", 30)]
+    frame = lambda rows, c: spark.createDataFrame(rows, f"business string, month string, {c} long").withColumn("month", F.to_date("month"))
+    got = by(ops.business_growth_and_margin(frame(sales, "sales_kpy"), frame(profits, "profit_kpy"), "2023-12"), "business")
+    assert (got["x"].growth_pct, got["x"].margin_pct) == (50.0, 20.0)
+    assert (got["new"].growth_pct, got["new"].margin_pct) == (None, None)

@@ -1,8 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from girder.streaming import entries, sinks
+from girder.streaming import entries, sinks, snapshots
 
 SCHEMA = "event_id long, ts timestamp, record_id long, requested string, amount_kpy long"
 
@@ -91,18 +92,121 @@ def test_change_table_holds_the_latest_total(spark, tmp_path):
     assert [(r.total_cost_kpy, r.alert_level) for r in sinks.latest(changes, ["project_id"]).collect()] == [(86, "緊急")]
 
 
-def test_compaction_bounds_the_folders(spark, tmp_path):
+REQUESTS = [
+    (1, at(0), 1, "現場入力"), (2, at(9), 1, "確定"), (3, at(5), 1, "承認"), (4, at(5), 2, "承認"), (5, at(5), 2, "現場入力"),
+    (6, at(12), 1, "確定"), (7, at(14), 2, "承認"), (8, at(12), 2, "承認"), (9, at(30), 3, "現場入力"), (10, at(100), 9, "承認"),
+]
+
+
+def judged(rows):
+    """Every record's requests in time order, but those that the watermark has not passed."""
+    passed = max(r[1] for r in rows) - dt.timedelta(minutes=60)
+    current, out = {}, {}
+    for event, ts, record, requested in sorted(rows, key=lambda r: (r[1], r[0])):
+        legal = entries.NEXT_STATE.get(current.get(record)) == requested
+        if legal:
+            current[record] = requested
+        if ts < passed:
+            out[event] = (current.get(record), legal)
+    return out
+
+
+@pytest.mark.parametrize("batches", [[range(10)], [[i] for i in range(10)], [[5, 1], [8, 2, 0], [3, 4, 7, 6], [9]], [[7, 6, 5, 4, 3, 2, 1, 0, 8], [9]]])
+def test_approvals_do_not_depend_on_batches(spark, tmp_path, batches):
+    """Requests that come late, or all at once, are judged in the order of their time."""
     folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for i, batch in enumerate(batches):
+        write(spark, [(*REQUESTS[k], 0) for k in batch], folder, f"f{i}")
+        requests = source(spark, folder).select("record_id", "event_id", "ts", "requested")
+        sinks.run_append(entries.approvals_in_order(requests, "60 minutes"), out, progress)
+    got = {r.event_id: (r.state, r.is_legal) for r in spark.read.parquet(out).collect()}
+    assert got == judged(REQUESTS)
+    assert got[2] == ("確定", True) and got[6] == ("確定", False) and 10 not in got
+
+
+VERSIONS = "project_id long, contract_amount_kpy long, target_cost_rate double, changed_at timestamp"
+
+
+def test_alerts_follow_changed_projects(spark, tmp_path):
+    """A new target or contract changes the tier without a cost entry, and the order of arrival does not matter."""
+    costs, projects, out, progress = (str(tmp_path / n) for n in ("costs", "projects", "out", "progress"))
+    table = snapshots.SnapshotTable(spark, out, ["project_id"], buckets=2)
+
+    def run(entered=(), changed=()):
+        for rows, schema, folder in ((entered, SCHEMA, costs), (changed, VERSIONS, projects)):
+            spark.createDataFrame(list(rows), schema).write.mode("append").parquet(f"{folder}/a")
+        versions = entries.read_files(spark, f"{projects}/*", spark.createDataFrame([], VERSIONS).schema)
+        totals = entries.overrun_totals(source(spark, costs).withColumnRenamed("record_id", "project_id"), versions)
+        snapshots.run_merges(totals, table, progress, shape=entries.rated_overruns)
+        return {r.project_id: (r.total_cost_kpy, r.alert_level) for r in table.read().collect()}
+
+    assert run([(1, at(0), 1, "x", 78)], [(1, 100, 80.0, at(0))]) == {1: (78, "注意")}
+    assert run(changed=[(1, 100, 75.0, at(1))]) == {1: (78, "警告")}
+    assert run(changed=[(1, 200, 75.0, at(2))]) == {1: (78, None)}
+    assert run(changed=[(1, 50, 10.0, at(1, day=1))])[1] == (78, None)  # an older version that comes late
+    assert run([(2, at(9), 1, "x", 90), (3, at(9), 2, "x", 5)]) == {1: (168, "緊急"), 2: (5, None)}
+    assert run(changed=[(2, 0, 80.0, at(0)), (3, 10, 80.0, at(0))]) == {1: (168, "緊急"), 2: (5, None), 3: (0, None)}
+
+
+def numbered(spark, rows):
+    return spark.createDataFrame(rows, "k long, v string, at long")
+
+
+def test_snapshot_merges_by_key(spark, tmp_path):
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    assert table.read().collect() == [] and table.version() is None
     want = {}
-    for i in range(6):
-        write(spark, [(i, at(i), i % 2, "x", i + 1)], folder, f"f{i}")
-        want[i % 2] = want.get(i % 2, 0) + i + 1
-        totals = entries.total_costs(source(spark, folder).withColumnRenamed("record_id", "project_id"))
-        sinks.run_changes(totals, out, progress, keys=["project_id"], compact_every=2)
-    got = {r.project_id: r.total_cost_kpy for r in sinks.latest(spark.read.parquet(out), ["project_id"]).collect()}
-    assert got == want
-    folders = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]
-    assert len(folders) <= 3 and not list((tmp_path / "out").glob("_merged=*"))
+    for batch in range(5):
+        rows = [(k, f"{batch}", batch) for k in range(batch, 20, batch + 1)] + ([(None, "none", batch)] if batch == 2 else [])
+        want |= {k: v for k, v, _ in rows}
+        assert table.merge(numbered(spark, rows), batch).number == batch + 1
+        assert {r.k: r.v for r in table.read().collect()} == want
+    # A batch that runs again changes nothing, whatever it brings.
+    assert table.merge(numbered(spark, [(1, "again", 9)]), 4).number == 5
+    assert {r.k: r.v for r in table.read().collect()} == want
+    assert {r.k for r in table.read(1).collect()} == set(range(20))
+
+
+def test_snapshot_takes_the_newest_of_a_key(spark, tmp_path):
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"), ["k"], buckets=2)
+    table.merge(numbered(spark, [(1, "b", 5), (1, "a", 2), (2, None, 1)]), 0, newest=F.col("at"))
+    table.merge(numbered(spark, [(1, "late", 4), (2, "c", 1)]), 1, newest=F.col("at"))
+    assert {r.k: r.v for r in table.read().collect()} == {1: "b", 2: "c"}
+    table.merge(numbered(spark, []), 2)
+    assert table.version().number == 3 and table.read().count() == 2
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    """A frame read before merges and expiry sees the version it was made from, or is told; never a mixture."""
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"), ["k"], buckets=3)
+    table.merge(numbered(spark, [(k, "old", 0) for k in range(50)]), 0)
+    before = table.read()
+    table.merge(numbered(spark, [(k, "new", 1) for k in range(0, 50, 2)]), 1)
+    table.expire(keep=2)
+    assert {r.v for r in before.collect()} == {"old"} and before.count() == 50
+    assert table.read().groupBy("v").count().orderBy("v").collect() == [("new", 25), ("old", 25)]
+    table.merge(numbered(spark, [(99, "more", 2)]), 2)
+    table.expire(keep=1)
+    assert table.versions() == [3] and table.read().count() == 51
+    named = {f.split("/")[1] for f in table.version().folders.values()}
+    assert {p.name for p in (tmp_path / "t" / "data").iterdir()} == named
+
+
+def test_a_failed_merge_leaves_no_trace(spark, tmp_path):
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"), ["k"], buckets=2)
+    table.merge(numbered(spark, [(1, "a", 0)]), 0)
+    publish = table._publish
+    table._publish = lambda version: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError, match="lost"):
+        table.merge(numbered(spark, [(1, "b", 1)]), 1)
+    table._publish = publish
+    assert [r.v for r in table.read().collect()] == ["a"]
+    table.merge(numbered(spark, [(1, "b", 1)]), 1)
+    assert [r.v for r in table.read().collect()] == ["b"]
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._publish(table.version())
+    table.expire(keep=1)
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 1
 
 
 def test_running_costs_equal_the_batch_result(spark, tmp_path, sf):
