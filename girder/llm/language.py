@@ -141,11 +141,12 @@ def identify(docs: DataFrame, profiles: DataFrame, depth: int = DEPTH) -> DataFr
     The profiles are gathered: at most ``depth`` rows for each language.
     """
     rows = [(r["lang"], r["gram"], r["place"]) for r in profiles.collect()]
-    table = docs.sparkSession.sparkContext.broadcast(Profiles(rows, depth))
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # Plain rows, so that executors need no copy of this package.
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        known = Profiles(sent.value, depth)
         for batch in batches:
             found = [known.predict(t) for t in batch.column("_text").to_pylist()]
             names = [c for c in batch.schema.names if c != "_text"]

@@ -79,51 +79,54 @@ def bands_needed(limit: int, percent: int, guarantee: float) -> int:
     return math.ceil(math.log(1 - guarantee) / math.log(1 - part / (2 * limit + least - part)))
 
 
-class Templates:
-    """Shingles of the templates, and by class the MinHash values that retrieve them."""
+def prepare(texts: Mapping[str, str], size: int, percent: int, guarantee: float) -> tuple[dict, list]:
+    """Shingles of the templates by name, and by class (limit, names, bands) what retrieves them.
 
-    def __init__(self, texts: Mapping[str, str], size: int, percent: int, guarantee: float) -> None:
-        hasher = WordHasher()
-        self.sets = {name: np.unique(shingles(hasher.words([t.encode()])[0], size)) for name, t in sorted(texts.items())}
-        self.sets = {name: found for name, found in self.sets.items() if len(found)}
-        classes: dict[int, list[str]] = {}
-        for name, found in self.sets.items():
-            n = len(found)
-            classes.setdefault(1 if n == 1 else max(4, 1 << (n - 1).bit_length()), []).append(name)
-        self.classes = []
-        for limit, names in sorted(classes.items()):
-            seeds = mix(np.arange(1, bands_needed(limit, percent, guarantee) + 1, dtype=np.uint64))
-            bands = []
-            for seed in seeds:
-                values = np.array([(self.sets[n] ^ seed).min() for n in names], np.uint64)
-                maybe = np.zeros(1 << 16, bool)
-                maybe[(values >> np.uint64(48)).astype(np.int64)] = True
-                bands.append((seed, maybe, values))
-            self.classes.append((limit, names, bands))
-
-    def met(self, tokens: np.ndarray, bounds: np.ndarray) -> set[tuple[int, str]]:
-        """(text, template) pairs that share a band; ``tokens`` holds the shingles of texts one after the other."""
-        out: set[tuple[int, str]] = set()
-        for limit, names, bands in self.classes:
-            # Blocks of ``limit`` shingles that do not cross texts; two in a row are a window.
-            sizes = np.diff(bounds)
-            blocks = -(-sizes // limit)
-            heads = np.repeat(bounds[:-1], blocks) + limit * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-            if not len(heads):
-                continue
-            owner = np.repeat(np.arange(len(sizes)), blocks)
-            for seed, maybe, values in bands:
-                least = tokens ^ seed
-                if limit > 1:
-                    least = np.minimum.reduceat(least, heads)
-                    joined = least.copy()
-                    same = owner[1:] == owner[:-1]
-                    joined[:-1][same] = np.minimum(least[:-1], least[1:])[same]
-                    least = joined
-                at = np.flatnonzero(maybe[(least >> np.uint64(48)).astype(np.int64)])
-                for i in at.tolist():
-                    out.update((int(owner[i]), names[j]) for j in np.flatnonzero(values == least[i]))
-        return out
+    A band is (seed, presence of the leading 16 bits, MinHash values). Plain
+    dictionaries, lists and arrays, so that executors need no copy of this package.
+    """
+    hasher = WordHasher()
+    sets = {name: np.unique(shingles(hasher.words([t.encode()])[0], size)) for name, t in sorted(texts.items())}
+    sets = {name: found for name, found in sets.items() if len(found)}
+    members: dict[int, list[str]] = {}
+    for name, found in sets.items():
+        n = len(found)
+        members.setdefault(1 if n == 1 else max(4, 1 << (n - 1).bit_length()), []).append(name)
+    classes = []
+    for limit, names in sorted(members.items()):
+        bands = []
+        for seed in mix(np.arange(1, bands_needed(limit, percent, guarantee) + 1, dtype=np.uint64)):
+            values = np.array([(sets[n] ^ seed).min() for n in names], np.uint64)
+            maybe = np.zeros(1 << 16, bool)
+            maybe[(values >> np.uint64(48)).astype(np.int64)] = True
+            bands.append((seed, maybe, values))
+        classes.append((limit, names, bands))
+    return sets, classes
+
+
+def met(classes: list, tokens: np.ndarray, bounds: np.ndarray) -> set[tuple[int, str]]:
+    """(text, template) pairs that share a band; ``tokens`` holds the shingles of texts one after the other."""
+    out: set[tuple[int, str]] = set()
+    for limit, names, bands in classes:
+        # Blocks of ``limit`` shingles that do not cross texts; two in a row are a window.
+        sizes = np.diff(bounds)
+        blocks = -(-sizes // limit)
+        heads = np.repeat(bounds[:-1], blocks) + limit * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        if not len(heads):
+            continue
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        for seed, maybe, values in bands:
+            least = tokens ^ seed
+            if limit > 1:
+                least = np.minimum.reduceat(least, heads)
+                joined = least.copy()
+                same = owner[1:] == owner[:-1]
+                joined[:-1][same] = np.minimum(least[:-1], least[1:])[same]
+                least = joined
+            at = np.flatnonzero(maybe[(least >> np.uint64(48)).astype(np.int64)])
+            for i in at.tolist():
+                out.update((int(owner[i]), names[j]) for j in np.flatnonzero(values == least[i]))
+    return out
 
 
 def scan(
@@ -138,10 +141,11 @@ def scan(
     The last two say where its shingles stand: the first word of the first and
     the last word of the last one.
     """
-    known = docs.sparkSession.sparkContext.broadcast(Templates(templates, size, percent, guarantee))
+    sent = docs.sparkSession.sparkContext.broadcast(prepare(templates, size, percent, guarantee))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        sets, classes = sent.value
         for whole in batches:
             for batch in slices(whole):
                 words, counts = hasher.words(text_bytes(batch.column("text")))
@@ -149,8 +153,8 @@ def scan(
                 tokens = [shingles(words[end - n : end], size) for n, end in zip(counts, ends, strict=True)]
                 bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
                 rows = []
-                for i, name in sorted(known.value.met(np.concatenate(tokens), bounds)):
-                    wanted = known.value.sets[name]
+                for i, name in sorted(met(classes, np.concatenate(tokens), bounds)):
+                    wanted = sets[name]
                     at = np.minimum(np.searchsorted(wanted, tokens[i]), len(wanted) - 1)
                     hits = np.flatnonzero(wanted[at] == tokens[i])
                     shared = len(np.unique(at[hits]))
