@@ -13,9 +13,10 @@ summed in cells of the rank first, and only the cell that holds the cut is
 ordered. Each document then decides by itself from one row per source.
 
 Null or empty text has size 0 and takes no words. Null is a source of its
-own, last in order. Repeated rows have equal ranks and decide by the words
-before them, in any order. An empty table gives an empty result. Columns of
-the input that are named like an added one are replaced.
+own, last in order. Rows that repeat a doc_id have equal random numbers and go
+by their text; of rows alike in both that stand at the cut, as many are taken
+as come nearest to the target. An empty table gives an empty result. Columns
+of the input that are named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -93,6 +94,11 @@ def _join_sources(rows: DataFrame, sources: DataFrame, broadcast: bool) -> DataF
     return rows.join(F.broadcast(named) if broadcast else named, F.col("source").eqNullSafe(F.col("named_source")), "left").drop("named_source")
 
 
+def _place() -> Column:
+    """Where a row stands in its source: by rank value, id and text; only rows alike in all three stand together."""
+    return F.struct(F.col("rank"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("mark"))
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, ceiling: int = 2, seed: int = 17
 ) -> DataFrame:
@@ -103,10 +109,13 @@ def mix_sources(
     source's taken words miss its target by half a document at most.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in docs.columns if c.lower() not in added]
     lean = F.floor(F.lit(100_000) / (F.col("size") + 100)).cast("long")
-    sized = docs.select(*own, word_count(F.col("text")).alias("size")).withColumn("lean", lean)
-    slim = settle(sized.select("doc_id", "source", "size", "lean"))
+    # Own columns travel in a struct, where no name meets one used here.
+    sized = docs.select(
+        F.struct(*own).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size")
+    ).withColumn("lean", lean)
+    slim = settle(sized.select("doc_id", "source", "mark", "size", "lean"))
     targets = settle(source_targets(slim, weights, share, ceiling))
     small = targets.count() <= BROADCAST_SOURCES
 
@@ -120,10 +129,14 @@ def mix_sources(
     )
     cut_cells = F.broadcast(cut_cells) if small else cut_cells
     inside = ranked.join(cut_cells, F.col("source").eqNullSafe(F.col("named_source")) & (F.col("cell") == F.col("cut_cell")))
-    order = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first())
-    upto = F.col("below") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    taken = inside.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("needed"))
-    last = taken.groupBy("source").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))).alias("last"))
+    # Rows that repeat are one place with a number of rows, of which as many are taken as fit.
+    places = inside.groupBy("source", _place().alias("place"), "size").agg(
+        F.count("*").alias("held"), F.first("below").alias("below"), F.first("needed").alias("needed")
+    )
+    before = F.sum(F.col("size") * F.col("held")).over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    room = (F.col("needed") - F.col("below") - F.coalesce(before, F.lit(0))) / F.col("size") + 0.5
+    fit = F.greatest(F.lit(0), F.least(F.col("held"), F.floor(room).cast("long")))
+    last = places.withColumn("fit", fit).where("fit > 0").groupBy("source").agg(F.max(F.struct("place", "fit", "held")).alias("last"))
     cuts = (
         targets.join(cut_cells, F.col("source").eqNullSafe(F.col("named_source")), "left")
         .drop("named_source")
@@ -133,9 +146,37 @@ def mix_sources(
     cuts = settle(cuts)
 
     decided = _ranked(_join_sources(sized, cuts, small), seed)
-    place = F.struct(F.col("rank"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"))
-    drawn = (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (place <= F.col("last")))
-    copies = F.col("whole") + F.when(F.col("chance").isNotNull() & F.coalesce(drawn, F.lit(False)), 1).otherwise(0)
+    at_cut = F.col("cell") == F.col("cut_cell")
+    torn = F.col("chance").isNotNull() & at_cut & (_place() == F.col("last.place")) & (F.col("last.fit") < F.col("last.held"))
+    torn = F.coalesce(torn, F.lit(False))
+    drawn = (F.col("cell") < F.col("cut_cell")) | (at_cut & (_place() <= F.col("last.place")))
+    taken = F.col("chance").isNotNull() & F.coalesce(drawn, F.lit(False))
+    if cuts.where("last.fit < last.held").isEmpty():
+        decided = decided.withColumn("taken", taken)
+    else:
+        decided = decided.where(~torn).withColumn("taken", taken).unionByName(_first_of_equals(decided.where(torn)))
+    copies = F.col("whole") + F.when(F.col("taken"), 1).otherwise(0)
     return decided.select(
-        *own, "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+        *[F.col("own")[c].alias(c) for c in own],
+        "size",
+        "source_size",
+        "target",
+        copies.cast("int").alias("copies"),
+        (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def _first_of_equals(rows: DataFrame) -> DataFrame:
+    """Takes ``last.fit`` of the equal rows at the cut of each source; which of them is all the same.
+
+    They are numbered within the parts they come in, and the parts by their
+    counts, so that no task sees all of them.
+    """
+    parts = settle(rows).withColumn("part", F.spark_partition_id())
+    counts = settle(parts.groupBy("source", "part").agg(F.count("*").alias("here")))
+    before = F.sum("here").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = counts.select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), F.coalesce(before, F.lit(0)).alias("ahead"))
+    number = F.row_number().over(Window.partitionBy("source", "part").orderBy("mark"))
+    joined = parts.withColumn("number", number).join(ahead, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("part") == F.col("of_part")))
+    taken = F.col("ahead") + F.col("number") <= F.col("last.fit")
+    return joined.withColumn("taken", taken).drop("part", "number", "of_source", "of_part", "ahead")
