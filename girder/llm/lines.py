@@ -166,11 +166,13 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` without the shared lines, with n_lines (before) and n_dropped."""
-        own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "row_key", "other_key", "dropped")]
-        keyed = docs.select(*own, *_row_keys()).join(self.dropped_lines(docs), ["row_key", "other_key"], "left")
-        kinds = [f for f in docs.schema.fields if f.name in own]
-        schema = T.StructType([*kinds, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        return keyed.select(*own, "dropped").mapInArrow(_cut, schema)
+        own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+        others = F.struct(*[c for c in own if c != "text"])
+        keyed = docs.select(others.alias("own"), "text", *_row_keys()).join(self.dropped_lines(docs), ["row_key", "other_key"], "left")
+        rows = keyed.select("own", "text", "dropped")
+        schema = T.StructType([*rows.schema.fields[:2], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+        cut = rows.mapInArrow(_cut, schema)
+        return cut.select(*[F.col(c) if c == "text" else F.col("own")[c].alias(c) for c in own], "n_lines", "n_dropped")
 
 
 def _row_keys() -> list:
