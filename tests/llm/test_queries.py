@@ -8,9 +8,24 @@ from cases import DOCS, docs_frame, hard_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from girder.llm import ORACLES, QUERIES, decontaminate, fuzzy, jaccard, language, licenses, lines, mixture, quality, repeats, secrets
-
-TABLES = "documents benchmark labels".split()
+from girder.llm import (
+    ORACLES,
+    QUERIES,
+    decontaminate,
+    fuzzy,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    mixture,
+    quality,
+    ranking,
+    repeats,
+    secrets,
+    toxicity,
+)
+
+TABLES = "documents benchmark labels embeddings".split()
 
 
 def rounded(row):
@@ -33,7 +48,7 @@ def test_query_equals_its_sql(spark, sf, name):
 
 def test_every_number_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 ITEMS = [(1, "tok10 tok11 tok12 tok13 tok14 tok15 tok16"), (1, "tok10 tok11 tok12 tok13 tok14 tok15 tok16"), (2, None), (3, ""), (None, "x"), (4, "short text")]
@@ -50,8 +65,10 @@ OPERATORS = {
     "lines": lambda docs, items, labels: lines.dedup_lines(docs, min_docs=2),
     "decontaminate": lambda docs, items, labels: decontaminate.contained(docs, items),
     "decontaminate_rows": lambda docs, items, labels: decontaminate.clean(docs, items),
+    "ranking": lambda docs, items, labels: ranking.search(docs, items),
+    "toxicity": lambda docs, items, labels: toxicity.score(docs, labels, F.lit(False)),
 }
-ROW_FOR_ROW = {"secrets", "mixture", "language", "quality", "jaccard", "fuzzy", "repeats", "lines"}
+ROW_FOR_ROW = {"secrets", "mixture", "language", "quality", "jaccard", "fuzzy", "repeats", "lines", "toxicity"}
 
 
 def small(spark, rows):
@@ -72,7 +89,7 @@ def test_hard_rows_and_clashing_columns(spark, name):
         ids = sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x))
         assert ids == [1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, None]
     twice = [r for r in rows if r["doc_id"] == 2]
-    if name not in ("mixture", "fuzzy"):  # a mix may take one of two equal rows, and what follows them differs
+    if name not in ("mixture", "fuzzy", "ranking"):  # a mix may take one of two equal rows, what follows them differs, and so do ranks
         assert len(twice) < 2 or twice[0] == twice[1]
 
 
