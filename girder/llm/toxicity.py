@@ -54,9 +54,11 @@ SHORT = 20
 MISSED = 3.0
 WORD = 256
 FITTED = 20_000
+BROADCAST_LABELS = 2_000_000  # labels up to this number (some 30 bytes each) are broadcast to the texts, more are joined by shuffle
 TABLE_BYTES = 96 << 20
 ENTRY_BYTES = 12
 HELD_WORDS = 200_000
+HELD_SPELLINGS = 3_000_000
 START, END = 0x20, 0x0A
 LOWER_ORDER = SHARED[-1] + 1
 CLASSES = ("toxic_early", "plain_early", "toxic_late", "plain_late")
@@ -92,24 +94,41 @@ def _count(docs: DataFrame) -> DataFrame:
     """(lower, gram, n, toxic_early, ...): documents by spelling, over all of them at the shared order and by class at the full one."""
     fold = _fold()
 
-    def emit(everywhere: Counter, classes: list[Counter]) -> Iterator[pa.RecordBatch]:
-        for lower, sums in ((True, [everywhere]), (False, classes)):
-            words = list(dict.fromkeys(w for c in sums for w in c))
-            grams, owner = _grams(words, LOWER_ORDER if lower else ORDER)
-            keys, back = np.unique(grams, return_inverse=True)
-            counted = [
-                np.bincount(back, np.array([c[w] for w in words], np.float64)[owner], len(keys)).astype(np.int64) if words else np.zeros(0, np.int64)
-                for c in sums
-            ]
-            none = np.zeros(len(keys), np.int64)
-            columns = [*counted, none, none, none, none] if lower else [none, *counted]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), lower)), pa.array(keys.view(np.int64)), *map(pa.array, columns)],
-                ["lower", "gram", "n", *CLASSES],
-            )
+    def count(sums: list[Counter], order: int) -> tuple[np.ndarray, np.ndarray]:
+        words = list(dict.fromkeys(w for c in sums for w in c))
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros((len(sums), 0), np.int64)
+        grams, owner = _grams(words, order)
+        keys, back = np.unique(grams, return_inverse=True)
+        counts = [np.bincount(back, np.array([c[w] for w in words], np.float64)[owner], len(keys)) for c in sums]
+        return keys, np.array(counts).astype(np.int64)
+
+    def add(held: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([held[0], more[0]]), return_inverse=True)
+        counts = np.zeros((len(held[1]), len(keys)), np.int64)
+        for part, at in ((held[1], back[: len(held[0])]), (more[1], back[len(held[0]) :])):
+            counts[:, at] += part
+        return keys, counts
+
+    def rows(held: tuple[np.ndarray, np.ndarray], lower: bool) -> pa.RecordBatch:
+        keys, counts = held
+        none = np.zeros(len(keys), np.int64)
+        columns = [counts[0], none, none, none, none] if lower else [none, *counts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keys), lower)), pa.array(keys.view(np.int64)), *map(pa.array, columns)], ["lower", "gram", "n", *CLASSES]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task sends each spelling once, unless it meets very many.
+        none = [(np.zeros(0, np.uint64), np.zeros((n, 0), np.int64)) for n in (1, len(CLASSES))]
+        held = list(none)
         everywhere, classes = Counter(), [Counter() for _ in CLASSES]
+
+        def fold_in() -> None:
+            held[0], held[1] = add(held[0], count([everywhere], LOWER_ORDER)), add(held[1], count(classes, ORDER))
+            for sums in (everywhere, *classes):
+                sums.clear()
+
         for whole in batches:
             for batch in slices(whole):
                 for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
@@ -118,10 +137,12 @@ def _count(docs: DataFrame) -> DataFrame:
                     if kind is not None:
                         classes[kind].update(words)
                 if len(everywhere) > HELD_WORDS:
-                    yield from emit(everywhere, classes)
-                    everywhere, classes = Counter(), [Counter() for _ in CLASSES]
-        if everywhere:
-            yield from emit(everywhere, classes)
+                    fold_in()
+                    if len(held[0][0]) + len(held[1][0]) > HELD_SPELLINGS:
+                        yield from (rows(held[0], True), rows(held[1], False))
+                        held[:] = none
+        fold_in()
+        yield from (rows(held[0], True), rows(held[1], False))
 
     fields = ", ".join(f"{c} long" for c in ("n", *CLASSES))
     counted = docs.select("text", "kind").mapInArrow(run, f"lower boolean, gram long, {fields}")
@@ -299,7 +320,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, table_bytes: int
     spark = docs.sparkSession
     added = ("score", "predicted", "evidence", "_words_of")
     own = [c for c in docs.columns if c.lower() not in added]
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = settle(labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked
     # One part in four of the learning rows stays out of the early counts, for the curve.
     late = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     kind = F.when(F.col("toxic").isNotNull() & ~held_out, (1 - F.col("toxic") + F.when(late, 2).otherwise(0)).cast("int"))
