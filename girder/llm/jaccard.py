@@ -51,7 +51,9 @@ COUNTED = 0.22
 FEW = 16  # members of a prefix group that is compared as it is; larger groups go in blocks
 CROWD = 2  # pairs left per document above which the nearest are checked before the rest
 BLOCK = 512  # documents of a prefix group compared in one block
-SETS = "doc_id long, n int, set_key binary, token long, seen long"
+SETS = "doc_id long, n int, set_key binary, bits binary, counted int, token long, seen long"
+PACK_BYTES = 8 << 20  # text per pack of prefix shingles
+SLICE = 8 << 20  # bytes of text whose prefix shingles a task packs at once
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, size: int) -> Iterator[np.ndarray]:
@@ -66,7 +68,8 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _summarise(size: int):
-    """Rows of two kinds: a document with its set's size and digest, and a shingle frequent in this block of rows."""
+    """Rows of two kinds: a document with figures of its set, and a shingle frequent in this block of rows."""
+    limit = np.uint64(int(COUNTED * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -84,6 +87,8 @@ def _summarise(size: int):
                     "doc_id": pa.nulls(n, pa.int64()),
                     "n": pa.nulls(n, pa.int32()),
                     "set_key": pa.nulls(n, pa.binary()),
+                    "bits": pa.nulls(n, pa.binary()),
+                    "counted": pa.nulls(n, pa.int32()),
                     "token": tokens[at].astype(np.int64),
                     "seen": seen[at].astype(np.int64),
                 }
@@ -91,15 +96,20 @@ def _summarise(size: int):
 
         for whole in batches:
             for batch in slices(whole):
-                sizes, keys = [], []
+                sizes, keys, bits, counted = [], [], [], []
                 for found in _sets(batch, hasher, size):
                     sizes.append(len(found))
                     keys.append(_digest(found))
+                    bits.append(_short_parity(found) if len(found) else None)
+                    counted.append(int(np.searchsorted(found, limit)))
                     held.append(found)
                     room += len(found)
                 none = pa.nulls(len(sizes), pa.int64())
                 yield pa.record_batch(
-                    {"doc_id": batch.column("doc_id"), "n": np.array(sizes, np.int32), "set_key": pa.array(keys, pa.binary()), "token": none, "seen": none}
+                    {
+                        "doc_id": batch.column("doc_id"), "n": np.array(sizes, np.int32), "set_key": pa.array(keys, pa.binary()),
+                        "bits": pa.array(bits, pa.binary()), "counted": np.array(counted, np.int32), "token": none, "seen": none,
+                    }
                 )
                 if room > 4_000_000:
                     yield frequent()
@@ -131,50 +141,104 @@ def _wide_parity(found: np.ndarray) -> bytes:
 
 
 OTHERS = 1 << 40  # above any rank
+PACKED = "pack int, keys binary, ids binary, places binary"
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Ids as 32-bit numbers where they all are."""
+    return values.astype(np.uint32) if not len(values) or (values.min() >= 0 and values.max() < 1 << 32) else values
 
 
-def _prefixes(size: int, percent: int, order):
+def _packed_prefixes(size: int, percent: int, order, bits: int):
+    """Prefix shingles of a slice of documents by pack (leading bits of the hash): 32 more bits, documents, and places in their sets' order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         tokens, ranks = order.value
         limit = np.uint64(int(COUNTED * 2**64))
         known: set[bytes] = set()
-        for whole in batches:
-            for batch in slices(whole):
-                ids, sizes, bits, prefixes, counted = [], [], [], [], []
-                for doc_id, found in zip(batch.column("doc_id").to_pylist(), _sets(batch, hasher, size), strict=True):
-                    if doc_id is None or not len(found):
+        for batch in (part for whole in batches for part in slices(whole, limit=SLICE)):
+            prefixes, ids = [], []
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), _sets(batch, hasher, size), strict=True):
+                if doc_id is None or not len(found):
+                    continue
+                if len(known) < 200_000:  # copies met in this task need one prefix
+                    key = _digest(found)
+                    if key in known:
                         continue
-                    if len(known) < 200_000:  # copies met in this task need one prefix
-                        key = _digest(found)
-                        if key in known:
-                            continue
-                        known.add(key)
-                    at = np.minimum(np.searchsorted(tokens, found), max(len(tokens) - 1, 0))
-                    rank = np.where(tokens[at] == found, ranks[at], 0) if len(tokens) else np.zeros(len(found), np.int64)
-                    length = len(found) - _needed(len(found), percent) + 1
-                    # Counted shingles come before the others, both by rank and then hash; sets come sorted by hash.
-                    inside = int(np.searchsorted(found, limit))
-                    first = np.argsort(rank + (np.arange(len(found)) >= inside) * OTHERS, kind="stable")[: max(length, inside)]
-                    counted.append(inside)
-                    ids.append(doc_id)
-                    sizes.append(len(found))
-                    bits.append(_short_parity(found))
-                    prefixes.append(found[first].astype(np.int64))
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array(ids, pa.int64()),
-                        "n": pa.array(sizes, pa.int32()),
-                        "bits": pa.array(bits, pa.binary()),
-                        "counted": pa.array(counted, pa.int32()),
-                        "length": pa.array([n - _needed(n, percent) + 1 for n in sizes], pa.int32()),
-                        "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-                    }
-                )
+                    known.add(key)
+                at = np.minimum(np.searchsorted(tokens, found), max(len(tokens) - 1, 0))
+                rank = np.where(tokens[at] == found, ranks[at], 0) if len(tokens) else np.zeros(len(found), np.int64)
+                length = len(found) - _needed(len(found), percent) + 1
+                # Counted shingles come before the others, both by rank and then hash; sets come sorted by hash.
+                inside = int(np.searchsorted(found, limit))
+                first = np.argsort(rank + (np.arange(len(found)) >= inside) * OTHERS, kind="stable")[: max(length, inside)]
+                prefixes.append(found[first])
+                ids.append(doc_id)
+            if not ids:
+                continue
+            sizes = np.array([len(p) for p in prefixes])
+            hashes = np.concatenate(prefixes)
+            owners = np.repeat(np.array(ids, np.int64), sizes)
+            places = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
+            by = np.argsort(hashes, kind="stable")
+            hashes, owners, places = hashes[by], owners[by], places[by]
+            pack = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            keys = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            cuts = np.flatnonzero(np.append(True, pack[1:] != pack[:-1]))
+            ends = np.append(cuts[1:], len(pack))
+            where = [(a, b) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            short = [places[a:b].astype(np.uint16) if places[a:b].max() < 1 << 16 else places[a:b] for a, b in where]
+            yield pa.record_batch(
+                {
+                    "pack": pack[cuts].astype(np.int32),
+                    "keys": pa.array([keys[a:b].tobytes() for a, b in where], pa.binary()),
+                    "ids": pa.array([_narrow(owners[a:b]).tobytes() for a, b in where], pa.binary()),
+                    "places": pa.array([x.tobytes() for x in short], pa.binary()),
+                }
+            )
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, doc_id, pos, members) of shingles that two documents have; rows come sorted by pack.
+
+    A token is the pack and the 32 bits of a shingle's hash. Two shingles with
+    one token only make more candidates.
+    """
+
+    def resolve(pack: int, rows: list) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in rows])
+        ids = np.concatenate([np.frombuffer(i, np.int64 if len(i) == 2 * len(k) else np.uint32).astype(np.int64) for k, i, _ in rows])
+        places = np.concatenate([np.frombuffer(p, np.uint32 if len(p) == len(k) else np.uint16).astype(np.int32) for k, _, p in rows])
+        by = np.argsort(keys, kind="stable")
+        keys, ids, places = keys[by], ids[by], places[by]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(heads, len(keys)))
+        kept = np.repeat(np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads), size)
+        return pa.record_batch(
+            {
+                "token": (np.int64(pack) << 32) | keys[kept].astype(np.int64),
+                "doc_id": ids[kept],
+                "pos": places[kept],
+                "members": np.repeat(size, size)[kept],
+            }
+        )
+
+    held: list = []
+    last = None
+    for batch in batches:
+        for pack, *row in zip(*(batch.column(c).to_pylist() for c in ("pack", "keys", "ids", "places")), strict=True):
+            if held and pack != last:
+                yield resolve(last, held)
+                held = []
+            held.append(row)
+            last = pack
+    if held:
+        yield resolve(last, held)
+
+
 def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
     """In how many places parities differ; the wider is folded to the narrower, which keeps parities."""
     out = np.zeros(len(one), np.int64)
@@ -375,7 +439,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     summary = settle(docs.mapInArrow(_summarise(size), SETS))
-    members = summary.where("set_key is not null").select("doc_id", "n", "set_key")
+    sets = summary.where("set_key is not null")
+    members = sets.select("doc_id", "n", "set_key")
 
     # The order of rarity: bounded by FREQUENT rows, gathered and sent to the tasks.
     top = (
@@ -386,7 +451,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     order = spark.sparkContext.broadcast((rows[by_token, 0].astype(np.uint64), rows[by_token, 1]))
 
     with scratch(spark) as store:
-        links = _links(docs, size, percent, order, store)
+        links = _links(docs, sets, size, percent, order, store)
     labels = components(links)
     of_set = (
         members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("set_key").agg(F.min("component").alias("component"))
@@ -399,23 +464,27 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     return members.join(classes, "set_key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def _links(docs: DataFrame, size: int, percent: int, order, store) -> DataFrame:
-    """Verified links (a, b) that join every component."""
-    parts = store(docs.mapInArrow(_prefixes(size, percent, order), "doc_id long, n int, bits binary, counted int, length int, prefix array<long>"))
-    tokens = parts.select("doc_id", "n", "counted", "length", F.posexplode("prefix").alias("pos", "token"))
-    spread = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("members"))
-    spread = spread.where("low < high").select("token", "members")
+def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int, order, store) -> DataFrame:
+    """Verified links (a, b) that join every component; ``sets`` has the size, parity and counted shingles of every document."""
+    sets = sets.where("doc_id is not null and n > 0")
+    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["doc_id", "set_key"])
+    figures, bits = sets.select("doc_id", "n", "counted"), sets.select("doc_id", "bits")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wide = min(31, max(6, int(total // PACK_BYTES).bit_length()))
+    # Shingles travel once, ten bytes each; what one document alone has ends here.
+    packed = docs.mapInArrow(_packed_prefixes(size, percent, order, wide), PACKED)
+    met = packed.repartition("pack").sortWithinPartitions("pack").mapInArrow(_met, "token long, doc_id long, pos int, members long")
     # Counted shingles of one document alone come first in the order. A document
     # with enough of them for its whole prefix has no candidates and is gone.
     of_doc = Window.partitionBy("doc_id")
     inside = F.col("pos") < F.col("counted")
     alone = F.col("counted") - F.count_if(inside).over(of_doc)
     place = F.when(inside, alone + F.row_number().over(of_doc.orderBy("pos")) - 1).otherwise(F.col("pos"))
-    placed = tokens.join(spread, "token").withColumn("place", place.cast("int")).where("place < length")
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    placed = met.join(figures, "doc_id").withColumn("place", place.cast("int")).where(F.col("place") < length)
     slim = store(placed.select("token", "doc_id", "n", F.col("place").alias("pos"), "members"))
 
-    bits = parts.select("doc_id", "bits")
-
     # First round: every document against a few members of each of its prefix groups.
     chained = _near_pairs(slim.join(bits, "doc_id").withColumn("component", F.col("doc_id")), percent, chain=True)
     links = _verify(chained, docs, size, percent)
@@ -430,7 +499,7 @@ def _links(docs: DataFrame, size: int, percent: int, order, store) -> DataFrame:
         open_rows = labelled.join(mixed.where("low < high").select("token"), "token").join(bits, "doc_id")
         found = store(_near_pairs(open_rows, percent, chain=False))
         # Many pairs are left only where groups of near copies have not met yet: for these, the nearest first.
-        nearest_only = nearest_only and found.count() > CROWD * parts.count()
+        nearest_only = nearest_only and found.count() > CROWD * sets.count()
         if nearest_only:
             # For each document and each component beside its own, the nearest by parity.
             side = labels.select(F.col("node").alias("other"), "component")
