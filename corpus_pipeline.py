@@ -25,9 +25,10 @@ from girder.session import scratch_path, settle
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds neither junk nor abusive."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    others = F.struct(*docs.columns).alias("others")
-    kept = quality.classify(docs.select("doc_id", "text", others), labels).where("keep")
-    return kept.select(*[F.col("others")[c].alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = [F.struct(*others).alias("others")] if others else []
+    kept = quality.classify(docs.select("doc_id", "text", *packed), labels).where("keep")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def cut_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ linear scorer over hashed words, word beginnings and votes is fitted to these
 labels. A document is rejected if either scorer finds it bad.
 
 What is gathered is bounded: vote patterns (3 to the power of the labellers),
-``LEXICON`` words, and one task fits the scorer on about ``TRAIN`` documents
-picked by hash. Two labellers of abuse use words and word beginnings that
-stand out in toxic rows of a label table, from about ``LABELLED`` of its rows
-of either kind. Every document is voted on and scored whole.
+and one task fits the scorer on about ``TRAIN`` documents picked by hash. Two
+labellers of abuse use all words and word beginnings that stand out in toxic
+rows of a label table, from about ``LABELLED`` of its rows of either kind.
+Every document is voted on and scored whole.
 
 How dense abuse is, is judged on the densest ``STRETCH`` words that stand
 together in a text, so the length of the rest does not outvote them. Single
@@ -42,7 +42,6 @@ from girder.session import settle
 
 BEGINNINGS = (4, 5, 6, 7)
 DIMENSIONS = 1 << 18
-LEXICON = 5_000
 LABELLED = 4_000
 STRETCH = 1_000
 TRAIN = 6_000
@@ -53,10 +52,10 @@ ABUSE_LABELLERS = ("listed", "words", "beginnings", "several", "density")
 
 
 def _begin_hashes(words: tuple[str, ...]) -> np.ndarray:
-    """The hash of the longest beginning that is taken of each word."""
+    """The hash of the longest beginning that is taken of each word; a word shorter than any beginning stands for itself."""
     hasher = WordHasher(BEGINNINGS)
     found, _ = hasher.words([w.encode() for w in words])
-    return np.array([max((int(h) for h in column[1:][::-1] if h), key=lambda h, c=column: list(c).index(h)) for column in found.T], np.uint64)
+    return np.array([next((h for h in column[:0:-1].tolist() if h), int(column[0])) for column in found.T], np.uint64)
 
 
 @dataclass
@@ -148,7 +147,7 @@ def abuse_votes(batch: Batch, listed: np.ndarray, learned_words: np.ndarray, lea
         at = np.flatnonzero((known[found] == rows).any(0))
         return np.bincount(owner[at], minlength=texts), _densest(at, owner, ends)
 
-    in_list, list_stretch = hits(batch.words[1:], listed)
+    in_list, list_stretch = hits(batch.words, listed)
     in_words, words_stretch = hits(batch.words[:1], learned_words)
     in_begins, begins_stretch = hits(batch.words[1:], learned_begins)
     known = bool(len(learned_begins))
@@ -226,7 +225,7 @@ def _learn_words(labelled: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray
     error = F.sqrt(both * (1 - both) * (1 / max(sizes.get(1, 0), 1) + 1 / max(sizes.get(0, 0), 1)))
     ratio = bad / ((F.col("good") + 0.5) / max(sizes.get(0, 0), 1))
     telling = sums.where((bad - good >= 4 * error) & (ratio >= F.when(F.col("kind") == 0, 30).otherwise(4)))
-    rows = telling.orderBy(F.desc("bad"), "hash").limit(LEXICON).collect()
+    rows = telling.select("kind", "hash").collect()  # from ``LABELLED`` toxic rows at most
     learned = [np.sort(np.array([r["hash"] for r in rows if r["kind"] == k], np.int64).astype(np.uint64)) for k in (0, 1)]
     return learned[0], learned[1]
 
@@ -279,7 +278,7 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
 def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with p_junk, p_abuse (0 to 1), quality (0 to 1) and keep; ``lexicon`` lists abusive words of at least 4 bytes."""
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("p_junk", "p_abuse", "quality", "keep", "_text")]
+    own = [c for c in docs.columns if c.lower() not in ("p_junk", "p_abuse", "quality", "keep")]
     listed = np.sort(_begin_hashes(lexicon))
     words, begins = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     row = F.abs(F.xxhash64("doc_id", "text") % 1_000_000_007)
@@ -291,7 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
         chosen = marked.where((F.col("toxic").isin(0, 1)) & (pick <= F.when(F.col("toxic") == 1, cut.get(1, 0)).otherwise(cut.get(0, 0))))
         # About 2 * LABELLED rows of 12 bytes, whatever the size of the table.
         learning = {t: min(n, LABELLED) for t, n in sizes.items() if t in (0, 1)}
-        words, begins = _learn_words(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), learning)
+        words, begins = _learn_words(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), learning)
     sent = spark.sparkContext.broadcast((listed, words, begins))
 
     def votes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -348,8 +347,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                read = reader.read(text_bytes(batch.column("_text")))
+            for batch in slices(whole):
+                read = reader.read(text_bytes(batch.column("text")))
                 junk, abuse = votes(read)
                 chances = {"junk": [], "abuse": []}
                 for x in _indices(read, junk, abuse):
@@ -359,12 +358,12 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
                         found.append(1 / (1 + np.exp(-np.clip(weights[x] @ values + bias, -30, 30))))
                 p_junk, p_abuse = np.array(chances["junk"], np.float64), np.array(chances["abuse"], np.float64)
                 worst = np.maximum(p_junk, p_abuse)
-                names = [c for c in batch.schema.names if c != "_text"]
+                names = batch.schema.names
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in names), pa.array(p_junk), pa.array(p_abuse), pa.array(1 - worst), pa.array(worst < 0.5)],
                     [*names, "p_junk", "p_abuse", "quality", "keep"],
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own)
-    kept = docs.select(*own, F.col("text").alias("_text"))
-    return kept.mapInArrow(score, f"{schema}, p_junk double, p_abuse double, quality double, keep boolean")
+    # Every text goes to a worker once and comes back once.
+    return docs.select(*own).mapInArrow(score, f"{schema}, p_junk double, p_abuse double, quality double, keep boolean")
