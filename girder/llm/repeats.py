@@ -19,10 +19,12 @@ sends one entry for all documents it saw the anchor in, equal segments of a
 task travel as one, and past HOT documents the strings of the anchor are sent
 by their own content instead.
 
-Null text is empty. Texts shorter than ``length`` keep all bytes. Documents
-with equal doc_id never cover each other; rows without doc_id neither cover
-nor are covered. An empty table gives an empty result. Bytes that are left
-may not be valid UTF-8, so the kept text is binary.
+Null text is empty. Texts shorter than ``length`` keep all bytes. Rows that
+repeat a doc_id, with one text or several, never cover each other, and each
+loses what stands in its own text; rows without doc_id neither cover nor are
+covered. An empty table gives an empty result. Bytes that are left may not be
+valid UTF-8, so the kept text is binary. Columns named like an added one are
+replaced.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from girder.session import settle
 GRAM = 24
 GROUP = 1 << 19  # bytes of text handled at once
 PACK_BYTES = 8 << 20  # text per pack of anchors: about a twelfth of it are anchors
-SLICE = 12 << 20  # bytes of text whose anchors a task lists at once
+SLICE = 8 << 20  # bytes of text whose anchors a task lists at once
 HOT = 100_000
 SPLIT = 64  # segments ordered in one string
 
@@ -225,13 +227,13 @@ def _shared(hot: int):
 
 
 def _segments(length: int, bits: int, hot_anchors):
-    """(anchor, first, docs, starts, segment) of a batch's shared anchors; equal segments are one row."""
+    """(anchor, first, docs, marks, starts, segment) of a batch's shared anchors; equal segments are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         hot = hot_anchors.value
         for batch in (part for whole in batches for part in slices(whole.filter(whole.column("anchors").is_valid()), limit=SLICE)):
-            ids = batch.column("doc_id").to_numpy()
+            ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_pylist()
             texts = text_bytes(batch.column("text"))
             wanted = batch.column("anchors")
             text, hashes, first, last = anchors.find(texts)
@@ -241,8 +243,8 @@ def _segments(length: int, bits: int, hot_anchors):
             keep = _among(text, short, asked)
             rows: dict[tuple[int, bytes], list] = {}
 
-            def add(key: int, segment: bytes, owner: int, start: int, rows=rows, ids=ids) -> None:
-                rows.setdefault((key, segment), []).append((int(ids[owner]), start))
+            def add(key: int, segment: bytes, owner: int, start: int, rows=rows, ids=ids, marks=marks) -> None:
+                rows.setdefault((key, segment), []).append((int(ids[owner]), marks[owner], start))
 
             for i, key, a, b in zip(text[keep].tolist(), short[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                 if key in hot:
@@ -256,8 +258,9 @@ def _segments(length: int, bits: int, hot_anchors):
                 {
                     "anchor": np.array([k for k, _ in rows], np.int64),
                     "first": np.array([x[0][0] for x in found], np.int64),
-                    "docs": pa.array([[d for d, _ in x] for x in found], pa.list_(pa.int64())),
-                    "starts": pa.array([[s for _, s in x] for x in found], pa.list_(pa.int32())),
+                    "docs": pa.array([[d for d, _, _ in x] for x in found], pa.list_(pa.int64())),
+                    "marks": pa.array([[m for _, m, _ in x] for x in found], pa.list_(pa.int32())),
+                    "starts": pa.array([[s for _, _, s in x] for x in found], pa.list_(pa.int32())),
                     "segment": pa.array([s for _, s in rows], pa.binary()),
                 }
             )
@@ -375,7 +378,7 @@ def _window_least(segments: list[bytes], groups: np.ndarray, firsts: np.ndarray,
 
 
 def _covered(length: int):
-    """(doc_id, start, end) of covered ranges; rows come sorted by anchor and smallest document."""
+    """(doc_id, mark, start, end) of covered ranges; rows come sorted by anchor and smallest document."""
 
     def resolve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         data = pa.Table.from_batches(rows).combine_chunks()
@@ -391,6 +394,7 @@ def _covered(length: int):
         lists = data.column("docs").combine_chunks()
         counts = lists.value_lengths().to_numpy()
         docs = lists.flatten().to_numpy()
+        marks = data.column("marks").combine_chunks().flatten().to_numpy()
         starts = data.column("starts").combine_chunks().flatten().to_numpy()
         segment = np.repeat(of_row, counts)
         sizes = windows[segment]
@@ -400,13 +404,14 @@ def _covered(length: int):
         hit = least[begin[segment[owner]] + inner] < docs[owner]
         at = np.flatnonzero(hit)
         if not len(at):
-            return pa.record_batch({"doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)})
+            none = np.zeros(0, np.int64)
+            return pa.record_batch({"doc_id": none, "mark": none.astype(np.int32), "start": none, "end": none})
         cut = np.append(True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]]))
         heads = np.flatnonzero(cut)
         tails = np.append(heads[1:], len(at)) - 1
         who = owner[at[heads]]
         return pa.record_batch(
-            {"doc_id": docs[who], "start": starts[who] + inner[at[heads]], "end": starts[who] + inner[at[tails]] + length}
+            {"doc_id": docs[who], "mark": marks[who], "start": starts[who] + inner[at[heads]], "end": starts[who] + inner[at[tails]] + length}
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,9 +441,10 @@ def _covered(length: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, spans = [], [], []
-        for text, ranges in zip(text_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+        columns = (text_bytes(batch.column("text")), batch.column("mark").to_pylist(), batch.column("ranges").to_pylist())
+        for text, mark, ranges in zip(*columns, strict=True):
             parts, at, gone, runs, end = [], 0, 0, 0, -1
-            for x in sorted((r["start"], r["end"]) for r in ranges or ()):
+            for x in sorted((r["start"], r["end"]) for r in ranges or () if r["mark"] == mark):
                 if x[0] > end:
                     runs += 1
                     parts.append(text[at : x[0]])
@@ -457,14 +463,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of documents whose whole text is that of a smaller doc_id."""
-    texts = docs.select("doc_id", F.md5("text").alias("digest")).where("doc_id is not null and digest is not null")
+    """(doc_id, mark) of documents whose whole text is that of a smaller doc_id."""
+    texts = docs.select("doc_id", "mark", F.md5("text").alias("digest")).where("doc_id is not null and digest is not null")
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return texts.join(first, "digest").where("doc_id > first").select("doc_id").distinct()
+    return texts.join(first, "digest").where("doc_id > first").select("doc_id", "mark").distinct()
 
 
 def covered_ranges(texts: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, end): byte ranges of ``texts`` (doc_id, text) covered by strings that start in a smaller doc_id too."""
+    """(doc_id, mark, start, end): byte ranges of ``texts`` (doc_id, mark, text) covered by strings that start in a smaller doc_id too.
+
+    ``mark`` is a hash of the text that tells the rows of one doc_id apart.
+    """
     spark = texts.sparkSession
     long_enough = texts.where(f"doc_id is not null and octet_length(text) >= {length}")
     total = long_enough.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -479,10 +488,10 @@ def covered_ranges(texts: DataFrame, length: int = 50, hot: int = HOT) -> DataFr
     hot_sent = spark.sparkContext.broadcast(hot_anchors)
     # A left join like the last one, so that both read one shuffle of the texts.
     segments = texts.join(wanted.select("doc_id", "anchors"), "doc_id", "left").mapInArrow(
-        _segments(length, bits, hot_sent), "anchor long, first long, docs array<long>, starts array<int>, segment binary"
+        _segments(length, bits, hot_sent), "anchor long, first long, docs array<long>, marks array<int>, starts array<int>, segment binary"
     )
     met = segments.repartition("anchor").sortWithinPartitions("anchor", "first")
-    return met.mapInArrow(_covered(length), "doc_id long, start long, end long")
+    return met.mapInArrow(_covered(length), "doc_id long, mark int, start long, end long")
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
@@ -491,19 +500,24 @@ def drop_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame
     A document whose whole text stands in a smaller doc_id is covered as it is,
     and what it could cover, the smaller one does.
     """
-    own = [c for c in docs.columns if c not in ("n_removed", "n_spans", "kept", "ranges", "anchors")]
-    docs = docs.select(*own)
+    own = [c for c in docs.columns if c.lower() not in ("n_removed", "n_spans", "kept")]
+    # Other columns travel in a struct, where no name meets one used here.
+    others = [c for c in own if c not in ("doc_id", "text")]
+    packed = [F.struct(*others).alias("own")] if others else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("mark"), *packed)
     copies = settle(whole_copies(docs.where(f"octet_length(text) >= {length}")))
     texts = rows_of_ids(docs, copies, keep=False)
-    ranges = covered_ranges(texts.select("doc_id", "text"), length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = texts.join(ranges, "doc_id", "left").select(*own, "ranges").mapInArrow(_cut, f"{schema}, n_removed long, n_spans long, kept binary")
+    ranges = covered_ranges(texts.select("doc_id", "text", "mark"), length, hot)
+    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "start", "end")).alias("ranges"))
+    back = [F.col(c) if c in ("doc_id", "text") else F.col("own")[c].alias(c) for c in own]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    cut = texts.join(ranges, "doc_id", "left").select(*docs.columns, "ranges").mapInArrow(_cut, f"{kinds}, n_removed long, n_spans long, kept binary")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     whole = size >= length
     again = rows_of_ids(docs, copies).select(
-        *own,
+        *back,
         F.when(whole, size).otherwise(0).cast("long").alias("n_removed"),
         whole.cast("long").alias("n_spans"),
         F.when(whole, F.lit("").cast("binary")).otherwise(F.coalesce("text", F.lit("")).cast("binary")).alias("kept"),
     )
-    return cut.unionByName(again)
+    return cut.select(*back, "n_removed", "n_spans", "kept").unionByName(again)

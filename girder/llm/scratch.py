@@ -38,6 +38,6 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def rows_of_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (or is not), a distinct column that has been written already."""
+    """Rows of ``docs`` whose values are in ``ids`` (or are not): distinct rows, doc_id as a rule, that have been written already."""
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi" if keep else "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, ids.columns, "left_semi" if keep else "left_anti")
