@@ -24,7 +24,8 @@ words are scored by joins, and the words of documents are joined to them. Both
 give the same scores.
 
 Null or empty text, or text without a word, has the sum 0. Without a toxic or
-without an ordinary document to learn from every score is 0. Label rows that
+without an ordinary document to learn from there is no evidence and every
+score is 0. Label rows that
 repeat count as toxic if one of them is; rows without document or label do
 nothing. Rows that repeat a doc_id get the label of the id each and score
 equally if their texts are equal. An empty table gives an empty result.
@@ -316,7 +317,7 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted; labels (doc_id, toxic) of rows that ``held_out`` names are not read."""
+    """``docs`` with evidence (the sum), score (0 to 1) and predicted; labels (doc_id, toxic) of rows that ``held_out`` names are not read."""
     spark = docs.sparkSession
     added = ("score", "predicted", "evidence", "_words_of")
     own = [c for c in docs.columns if c.lower() not in added]
@@ -341,7 +342,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, table_bytes: int
             differences(spellings, F.col("toxic_early") + F.col("toxic_late"), F.col("plain_early") + F.col("plain_late"))
         )
     if table.isEmpty():
-        return docs.select(*own, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*own, F.lit(None).cast("double").alias("evidence"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     judged = rows.where("kind >= 2")
     share = min(1.0, FITTED / max(judged.count(), 1))
     pick = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1
@@ -349,4 +350,4 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, table_bytes: int
     slope, offset = fit_curve(sample.column("evidence").to_numpy(), sample.column("toxic").to_numpy())
     found = evidence(docs.select(*own, F.col("text").alias("_words_of")), table)
     chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(offset))))
-    return found.select(*own, chance.alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return found.select(*own, "evidence", chance.alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -1,8 +1,13 @@
 """Queries against their SQL on the small tables, and every operator on hard, repeated and empty rows."""
 
 import math
+import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from cases import DOCS, docs_frame, hard_rows
 from pyspark.sql import functions as F
@@ -93,6 +98,34 @@ def test_hard_rows_and_clashing_columns(spark, name):
         assert len(twice) < 2 or twice[0] == twice[1]
 
 
+def names_in(module):
+    """Every name that stands in quotes in an operator's code: what it adds, or uses inside."""
+    source = Path(module.__file__).read_text()
+    return sorted({n.lower() for n in re.findall(r"[\"']([a-z_][a-z_0-9]*)[\"']", source, re.I)} - set("doc_id text lang source n_chars".split()))
+
+
+CARRIES = {
+    "secrets": secrets, "mixture": mixture, "language": language, "quality": quality, "repeats": repeats, "lines": lines, "toxicity": toxicity,
+}
+ADDED = {
+    "secrets": {"base", "spans"}, "mixture": {"size", "source_size", "target", "copies", "taken"}, "language": {"lang_pred", "score"},
+    "quality": {"p_junk", "p_abuse", "quality", "keep"}, "repeats": {"n_removed", "n_spans", "kept"}, "lines": {"n_lines", "n_dropped"},
+    "toxicity": {"evidence", "score", "predicted"},
+}
+
+
+@pytest.mark.parametrize("name", ["mixture", "repeats", "lines", "quality", "toxicity"])
+def test_own_columns_come_back(spark, name):
+    """Columns named like anything in the operator's code keep their values, but for those it says it adds."""
+    docs, items, labels = small(spark, hard_rows())
+    inner = [n for n in names_in(CARRIES[name]) if n not in ADDED[name] and not n.startswith("_")]
+    assert len(inner) > 5
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(inner)])
+    rows = OPERATORS[name](wide, items, labels).collect()
+    assert len(rows) == len(hard_rows())
+    assert {tuple(r[n] for n in inner) for r in rows} == {tuple(range(len(inner)))}
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(spark, name):
     docs, items, labels = small(spark, hard_rows())
@@ -137,6 +170,55 @@ def test_mixture_reaches_targets(spark, sf):
     assert math.isclose(sum(t for _, t in source.values()), 1.5 * sum(r["size"] for r in rows))
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_mixture_of_repeated_rows(spark, partitions):
+    """Many rows of one id and one text at the cut: half a document off at most, which of them is all the same."""
+    text = " ".join(["w"] * 100)
+    rows = [(7, text, "en", "a", 1)] * 300 + [(i, text, "en", "b", 1) for i in range(300)] + [(7, text + f" x{i}", "en", "c", 1) for i in range(50)]
+    docs = docs_frame(spark, rows).repartition(partitions)
+    got = mixture.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"a": 300, "b": 300, "c": 50}
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= 51
+
+
+def test_repeats_of_one_id_with_two_texts(spark):
+    """A row loses what stands in its own text only, whole or in part."""
+    shared, own = "s" * 20 + "h" * 20 + "a" * 30, "o" * 30 + "w" * 40
+    rows = [(1, shared), (2, shared), (2, own), (2, "x" + shared + "y"), (3, own + own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in repeats.drop_repeats(docs).collect())
+    assert got == sorted([(1, shared, 0), (2, shared, 70), (2, own, 0), (2, "x" + shared + "y", 70), (3, own + own, 140)])
+
+
+def test_short_words_of_a_lexicon(spark):
+    none = np.zeros(0, np.uint64)
+    read = quality.Reader().read([b"you big OX you", b"big oxen", b"scoundrels all", b"all fine"])
+    votes = quality.abuse_votes(read, np.sort(quality._begin_hashes(("ox", "scoundrel"))), none, none)
+    assert votes[:, 0].tolist() == [quality.BAD, quality.GOOD, quality.BAD, quality.GOOD]
+    docs = docs_frame(spark, [(1, "you big ox you", "en", "s", 1), (2, "fine", "en", "s", 1)])
+    wide = docs.withColumn("toxic", F.lit("mine"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert {r["toxic"] for r in quality.classify(wide, labels).collect()} == {"mine"}
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path, sf):
+    """Every query runs in a folder where the package cannot be imported by the workers."""
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+import corpus_pipeline
+from girder.llm import QUERIES
+from girder.session import build_session
+spark = build_session(master="local[2]", shuffle_partitions=2, **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path / 'c')!r}}})
+for name, query in sorted(QUERIES.items()):
+    print(name, query(spark, {sf!r}).count() >= 0)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900)
+    assert done.stdout.split().count("True") == len(QUERIES), done.stderr[-3000:]
+
+
 def test_mixture_does_not_depend_on_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one = {(r["doc_id"], r["copies"]) for r in mixture.mix_sources(docs).collect()}
@@ -154,6 +236,11 @@ def test_schemas_are_the_contracts(spark, sf):
             "near_edited": "double", "near_next": "double",
         },
         "op9_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+        "op11_centroid_clusters": {
+            "vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string",
+        },
+        "op12_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+        "op13_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     }
     for name, columns in want.items():
         assert columns.items() <= dict(QUERIES[name](spark, sf).dtypes).items()
