@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.cash import CASH, cash_frame
 from catalog.registry import query
-from girder.models import arima, attribution, boosted, features, forest
+from girder.models import arima, attribution, boosted, features, forest, newton
 from girder.operators.timeline import active_projects, month_axis, on_axis
 from girder.plans import cash, documents
 from girder.plans.operations import season_index
@@ -343,6 +343,25 @@ def over_budget_metric_rules(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy(rows.alias("row_count"), over.alias("over_budget")).agg(*broken(majority=F.col("accuracy") >= larger, range=ranged))
 
 
+@query(
+    f"SELECT count(*) AS row_count, 0::BIGINT AS loss_violations, 0::BIGINT AS range_violations FROM ({TEST_ROWS}) WHERE tested",
+    USES,
+    COST_RATE,
+)
+def second_order_model_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees by gradient and curvature judge the test rows, with a lower log loss than the share of the training rows."""
+    train, test = features.split(model_rows(spark, sf))
+    settings = newton.Settings(iterations=10, step=0.3, depth=3, loss="logistic")
+    model = newton.fit(train, list(features.NUMERIC), boosted.LABEL, settings)
+    share = train.agg(F.avg(boosted.LABEL)).first()[0]
+    label = F.col(boosted.LABEL)
+    lost = lambda p: F.avg(-(label * F.log(p) + (1 - label) * F.log(1 - p)))
+    judged = newton.predict(test, model, "p").agg(
+        F.count("*").alias("row_count"), lost(F.col("p")).alias("loss"), lost(F.lit(share)).alias("plain"), *broken(range=F.col("p").between(0, 1))
+    )
+    return judged.groupBy("row_count", "range_violations").agg(*broken(loss=F.col("loss") <= F.col("plain"))).select("row_count", "loss_violations", "range_violations")
+
+
 @query("SELECT 5::BIGINT AS row_count, 5::BIGINT AS folds, 0::BIGINT AS mean_violations, 0::BIGINT AS spread_violations, 0::BIGINT AS rmse_violations")
 def cross_validation_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Five folds, whose mean and deviation stand beside them."""

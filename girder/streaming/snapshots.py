@@ -8,7 +8,8 @@ appears as a whole by a rename, so a reader that has taken a version keeps
 seeing it while merges go on. A batch that runs again after a failure finds its
 own number in the newest manifest and does nothing.
 
-One stream writes a table. The bytes rewritten per batch are those of the
+One stream writes a table, with one checkpoint: numbers of batches only grow,
+so a stream that starts anew needs a new table. The bytes rewritten per batch are those of the
 touched buckets; choose ``buckets`` so that one is a few hundred megabytes.
 """
 

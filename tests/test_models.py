@@ -184,7 +184,8 @@ def test_forest_repeats_with_its_seed_and_any_partitioning(spark):
 @pytest.mark.parametrize("gathered", [3, 50, 10**6])
 def test_quantile_is_exact_at_any_size(spark, gathered):
     rng = np.random.default_rng(2)
-    for values in (rng.normal(0, 1, 2001), np.repeat([1.0, 2.0, 2.0, 3.0], 300), np.array([4.0])):
+    ends = np.concatenate([np.zeros(400), rng.normal(5, 1, 300), np.full(400, 10.0)])  # ties at both ends, many values between
+    for values in (rng.normal(0, 1, 2001), np.repeat([1.0, 2.0, 2.0, 3.0], 300), ends, np.array([4.0])):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
         for fraction in (0.0, 0.1, 0.5, 1.0):
             assert forest.exact_quantile(df, "v", fraction, gathered) == pytest.approx(np.quantile(values, fraction))
