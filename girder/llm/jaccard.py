@@ -51,6 +51,7 @@ COUNTED = 0.22
 FEW = 16  # members of a prefix group that is compared as it is; larger groups go in blocks
 CROWD = 2  # pairs left per document above which the nearest are checked before the rest
 BLOCK = 512  # documents of a prefix group compared in one block
+TASK_PAIRS = 500_000  # different pairs that a task holds before it sends them on
 SETS = "doc_id long, n int, set_key binary, bits binary, counted int, token long, seen long"
 PACK_BYTES = 8 << 20  # text per pack of prefix shingles
 SLICE = 8 << 20  # bytes of text whose prefix shingles a task packs at once
@@ -330,18 +331,45 @@ class Rows:
         close = apart <= allowed
         return a[close], b[close], apart[close]
 
-    def batch(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def pairs(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(larger id, smaller id, apart) of pairs of rows."""
         a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
         one, two = self.ids[a], self.ids[b]
-        pairs = np.stack([np.maximum(one, two), np.minimum(one, two), apart], axis=1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        return np.stack([np.maximum(one, two), np.minimum(one, two), apart], axis=1)
+
+
+def _once(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of all groups of a task: two documents share many shingles of their prefixes, but leave it once.
+
+    Where more than TASK_PAIRS different pairs are held they are sent on, and may come again.
+    """
+
+    def distinct(parts: list[np.ndarray]) -> np.ndarray:
+        pairs = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        return pairs[np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))] if len(pairs) else pairs
+
+    def batch(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch({"doc_id": pairs[:, 0], "other": pairs[:, 1], "apart": pairs[:, 2].astype(np.int32)})
 
+    held: list[np.ndarray] = []
+    room = 0
+    for pairs in found:
+        held.append(pairs)
+        room += len(pairs)
+        if room > 2 * TASK_PAIRS:
+            held = [distinct(held)]
+            room = len(held[0])
+            if room > TASK_PAIRS:
+                yield batch(held[0])
+                held, room = [], 0
+    yield batch(distinct(held))
+
 
 def _chained(percent: int):
     """Each row against the CHAIN rows after it in its group; rows come sorted by group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         tail: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -351,16 +379,19 @@ def _chained(percent: int):
             for k in range(1, CHAIN + 1):
                 at = np.flatnonzero(rows.group[k:] == rows.group[:-k])
                 found.append(rows.passing(at, at + k))
-            yield rows.batch(found)
+            yield rows.pairs(found)
             tail = batch.slice(max(0, batch.num_rows - CHAIN))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _once(chained(batches))
+
     return run
 
 
 def _compared(percent: int):
     """All pairs of each group or pair of blocks; rows come sorted by them."""
 
-    def resolve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def resolve(parts: list[pa.RecordBatch]) -> np.ndarray:
         rows = Rows(parts, percent)
         sizes = np.diff(np.append(rows.heads, len(rows.ids)))
         small = (sizes <= FEW) & ~rows.split[rows.heads]
@@ -378,9 +409,9 @@ def _compared(percent: int):
             for i in left:
                 at = right if rows.split[head] else right[right > i]
                 found.append(rows.passing(np.full(len(at), i), at))
-        return rows.batch(found)
+        return rows.pairs(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -402,6 +433,9 @@ def _compared(percent: int):
         if held:
             yield resolve(held)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _once(compared(batches))
+
     return run
 
 

@@ -184,6 +184,17 @@ def test_components_equal_all_pairs(spark, documents):
     assert got == want
 
 
+@pytest.mark.parametrize("room", [1, 4, 1_000])
+def test_pairs_leave_a_task_once(monkeypatch, room):
+    """Pairs met by many shingles come once; where a task may hold few, none is lost."""
+    monkeypatch.setattr(jaccard, "TASK_PAIRS", room)
+    groups = [np.array([[b, a, a + b] for a in range(4) for b in range(a + 1, 4 + i % 3)], np.int64) for i in range(40)]
+    out = [tuple(r.values()) for batch in jaccard._once(iter(groups)) for r in batch.to_pylist()]
+    assert set(out) == {tuple(r) for g in groups for r in g.tolist()}
+    assert room < 1_000 or len(out) == len(set(out))
+    assert [b.num_rows for b in jaccard._once(iter([]))] == [0]
+
+
 @pytest.mark.parametrize("few,block,crowd", [(16, 512, 2), (2, 3, 0)])
 def test_groups_of_near_copies_meet_in_blocks(spark, monkeypatch, few, block, crowd):
     """Copies that differ by some words, near the limit, with and without blocks and rounds of nearest pairs."""
