@@ -2,7 +2,7 @@ import duckdb
 
 import __spark_entry__ as entry
 
-TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def test_entry_has_rows(spark):
