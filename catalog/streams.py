@@ -141,7 +141,8 @@ def approval_states_by_event_time(spark: SparkSession, sf: str) -> DataFrame:
         .filter(F.col("event_type").isin("signup", "click", "purchase"))
         .select(F.col("user_id").alias("record_id"), "event_id", "ts", wanted.alias("requested"))
     )
-    return appended(spark, entries.approvals_in_order(requests, "1 day"), "ordered-approvals")
+    with sinks.state_in_rocksdb(spark):
+        return appended(spark, entries.approvals_in_order(requests, "1 day"), "ordered-approvals")
 
 
 @query(

@@ -198,7 +198,8 @@ def approvals_in_order(requests: DataFrame, delay: str = "10 minutes") -> DataFr
     less than that still takes its place, a later one is dropped. The state
     store holds where each record stands and its requests of the last
     ``delay``, not its history. Ties of time go by event_id. ``ts`` is a
-    timestamp; requests without record_id or ts do nothing.
+    timestamp; requests without record_id or ts do nothing. Start it inside
+    :func:`girder.streaming.sinks.state_in_rocksdb`.
     """
     timed = requests.filter("record_id is not null and ts is not null").withWatermark("ts", delay)
     return timed.groupBy("record_id").transformWithStateInPandas(

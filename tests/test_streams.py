@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.streams import approval_states_by_event_time
 from girder.streaming import entries, sinks, snapshots
 
 SCHEMA = "event_id long, ts timestamp, record_id long, requested string, amount_kpy long"
@@ -124,6 +125,18 @@ def test_approvals_do_not_depend_on_batches(spark, tmp_path, batches):
     assert got[2] == ("確定", True) and got[6] == ("確定", False) and 10 not in got
 
 
+def test_event_time_approvals_run_in_a_session_with_sparks_own_state_store(spark, sf):
+    """The session's store keeps one kind of state per key; the query brings the one it needs and puts the setting back."""
+    own = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(sinks.STATE_STORE)
+    spark.conf.set(sinks.STATE_STORE, own)
+    try:
+        assert approval_states_by_event_time(spark, sf).count() > 0
+        assert spark.conf.get(sinks.STATE_STORE) == own
+    finally:
+        spark.conf.set(sinks.STATE_STORE, before)
+
+
 VERSIONS = "project_id long, contract_amount_kpy long, target_cost_rate double, changed_at timestamp"
 
 
