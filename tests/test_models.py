@@ -44,6 +44,28 @@ def test_split_is_a_partition_and_stable(rows):
     assert {r.project_id for r in again.select("project_id").collect()} == {r.project_id for r in test.select("project_id").collect()}
 
 
+def test_a_fit_reads_few_partitions(rows):
+    """Every tree level is a job: a few hundred rows must not be dealt to 64 tasks each time, and none is lost."""
+    seen = []
+
+    class Watched:
+        def getLabelCol(self):  # noqa: N802
+            return boosted.TARGET
+
+        def copy(self):
+            return self
+
+        def fit(self, encoded):
+            seen.append((encoded.rdd.getNumPartitions(), encoded.count()))
+            return boosted.regressor(iterations=1, depth=1).fit(encoded)
+
+    train = rows.repartition(64)
+    boosted.fit(train, Watched())
+    boosted.cross_validate(train, Watched(), folds=2)
+    assert seen[0] == (1, rows.count())
+    assert [n for n, _ in seen] == [1, 1, 1] and sum(c for _, c in seen[1:]) == rows.count()
+
+
 def test_metrics_against_hand_values(spark):
     df = spark.createDataFrame([(10.0, 12.0), (0.0, 1.0)], "actual_cost_rate double, predicted_cost_rate double")
     m = boosted.regression_metrics(df).first()
