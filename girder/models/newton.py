@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.session import settle
+from girder.session import packed, settle
 
 KEEP = 10
 UNIT = 1 << 30
@@ -208,6 +208,7 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, settings: Settings
     own = data.where("not held_out").agg(F.avg("label").alias("mean"), F.max(F.abs("label")).alias("most"), F.count("*").alias("n")).first()
     if not own.n:
         raise ValueError("no row to learn from")
+    data = packed(data)
     base, most = own.mean, 2 * own.most
     if settings.loss == "logistic":
         share = min(max(own.mean, 1e-6), 1 - 1e-6)

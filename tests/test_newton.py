@@ -96,3 +96,17 @@ def test_edges(spark):
     with pytest.raises(ValueError, match="no row"):
         newton.fit(df.where("false"), FEATURES, "y")
     assert newton.predict(df.where("false"), model).collect() == []
+
+
+def test_levels_read_few_partitions(spark, monkeypatch):
+    """Each level is a job over the rows: 80 of them must not be dealt to 40 tasks every time."""
+    df, rows = table(spark, partitions=40)
+    seen, sums = [], newton._sums
+
+    def watched(data, *rest):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return sums(data, *rest)
+
+    monkeypatch.setattr(newton, "_sums", watched)
+    newton.fit(df, FEATURES, "y", newton.Settings(iterations=2, depth=2))
+    assert seen and set(seen) == {(1, len(rows))}
