@@ -46,6 +46,8 @@ LABELLED = 4_000
 STRETCH = 1_000
 TRAIN = 6_000
 STEPS = 60
+SLICE = 1 << 20  # bytes of text read at once; word hashes and their look-ups are many times as large
+CHUNK = 1 << 20  # features of the sample weighed at once
 BAD, NONE, GOOD = 0, 1, 2
 JUNK_LABELLERS = ("symbols", "marks", "capitals", "variety", "bars", "echo", "shouting")
 ABUSE_LABELLERS = ("listed", "words", "beginnings", "several", "density")
@@ -250,27 +252,53 @@ def _values(n: int) -> np.ndarray:
     return values
 
 
+def _chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` features, one row at least."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
-    """Weights of both aspects by logistic regression (AdaGrad over all rows of the sample)."""
+    """Weights of both aspects by logistic regression (AdaGrad over all rows of the sample).
+
+    Scores and gradients are added up chunk by chunk, so beside the features a
+    step holds the arrays of one chunk.
+    """
     rows = frame.sort_values("row").reset_index(drop=True)
     features = [np.frombuffer(x, np.int32) for x in rows["features"]]
-    index = np.concatenate(features).astype(np.int64)
-    values = np.concatenate([_values(len(x)) for x in features])
-    heads = np.cumsum([0, *(len(x) for x in features[:-1])])
-    sizes = [len(x) for x in features]
+    sizes = np.array([len(x) for x in features])
+    parts = list(_chunks(sizes, CHUNK))
+    index = [np.concatenate(features[a:b]) for a, b in parts]
+    labels = {aspect: rows[aspect].to_numpy() for aspect in ("junk", "abuse")}
+    del frame, rows
+    scale = 1 / np.sqrt(np.maximum(sizes - VOTES, 1))
+    del features
     out = []
-    for aspect in ("junk", "abuse"):
-        label = rows[aspect].to_numpy()
+    for aspect, label in labels.items():
         weights, seen = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
         bias, bias_seen = 0.0, 1e-8
         for _ in range(STEPS):
-            score = np.add.reduceat(weights[index] * values, heads) + bias
-            error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - label) / len(label)
-            gradient = np.bincount(index, np.repeat(error, sizes) * values, DIMENSIONS) + 1e-7 * weights
+            gradient, off = np.zeros(DIMENSIONS), 0.0
+            for (a, b), at in zip(parts, index, strict=True):
+                heads = np.cumsum(sizes[a:b]) - sizes[a:b]
+                values = np.repeat(scale[a:b], sizes[a:b])
+                values[(heads[:, None] + np.arange(VOTES)).ravel()] = 1.0
+                score = np.add.reduceat(weights[at] * values, heads) + bias
+                error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - label[a:b]) / len(label)
+                values *= np.repeat(error, sizes[a:b])
+                gradient += np.bincount(at, values, DIMENSIONS)
+                off += error.sum()
+            gradient += 1e-7 * weights
             seen += gradient**2
             weights -= 0.3 * gradient / np.sqrt(seen)
-            bias_seen += error.sum() ** 2
-            bias -= 0.3 * error.sum() / np.sqrt(bias_seen)
+            bias_seen += off**2
+            bias -= 0.3 * off / np.sqrt(bias_seen)
         out.append({"aspect": aspect, "bias": bias, "weights": weights.astype(np.float32).tobytes()})
     return pd.DataFrame(out)
 
@@ -300,7 +328,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
         reader = Reader()
         for whole in batches:
             seen: Counter = Counter()
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 junk, abuse = votes(reader.read(text_bytes(batch.column("text"))))
                 seen.update(("junk", bytes(v)) for v in junk.astype(np.uint8))
                 seen.update(("abuse", bytes(v)) for v in abuse.astype(np.uint8))
@@ -326,7 +354,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
     def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 read = reader.read(text_bytes(batch.column("text")))
                 junk, abuse = votes(read)
                 yield pa.record_batch(
@@ -347,7 +375,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, lexicon: tuple[st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 read = reader.read(text_bytes(batch.column("text")))
                 junk, abuse = votes(read)
                 chances = {"junk": [], "abuse": []}

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from cases import brute_components, brute_repeats, docs_frame, hard_rows, shingle_set, words
@@ -449,3 +450,20 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
     taken = sum(r["taken"] for r in rows)
     total = sum(len(words(t)) for t in clean.values())
     assert abs(taken - 1.5 * total) < 0.1 * total
+
+
+def test_quality_weights_do_not_depend_on_chunks(monkeypatch):
+    """The sample is weighed chunk by chunk, and no array of a step is as long as the sample."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(quality.VOTES, 90, 40)
+    features = [rng.integers(0, quality.DIMENSIONS, n).astype(np.int32).tobytes() for n in sizes]
+    frame = pd.DataFrame({"row": rng.permutation(40), "features": features, "junk": rng.random(40), "abuse": rng.random(40)})
+    whole = quality._fit(frame)
+    monkeypatch.setattr(quality, "CHUNK", 150)
+    longest, bincount = [], np.bincount
+    monkeypatch.setattr(quality.np, "bincount", lambda x, *rest: longest.append(len(x)) or bincount(x, *rest))
+    parts = quality._fit(frame)
+    assert max(longest) <= 150 < sum(sizes)
+    for a, b in zip(whole.itertuples(), parts.itertuples(), strict=True):
+        assert a.bias == pytest.approx(b.bias, abs=1e-12)
+        assert np.frombuffer(a.weights, np.float32) == pytest.approx(np.frombuffer(b.weights, np.float32), abs=1e-6)
