@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -66,6 +67,31 @@ def test_a_fit_reads_few_partitions(rows):
     assert [n for n, _ in seen] == [1, 1, 1] and sum(c for _, c in seen[1:]) == rows.count()
 
 
+def test_fits_run_side_by_side_on_settled_rows(rows):
+    """Two fits wait for each other, so one after the other would end in a broken barrier; their rows come without the plan that made them."""
+    both, plans = threading.Barrier(2, timeout=60), []
+
+    class Waiting:
+        def __init__(self, estimator):
+            self.estimator = estimator
+
+        def getLabelCol(self):  # noqa: N802
+            return self.estimator.getLabelCol()
+
+        def fit(self, encoded):
+            both.wait()
+            plans.append(encoded._jdf.queryExecution().optimizedPlan().toString())
+            return self.estimator.fit(encoded)
+
+    reg, clf = boosted.regressor(iterations=2, depth=2), boosted.classifier(iterations=2, depth=2)
+    models = boosted.fit_all(rows, Waiting(reg), Waiting(clf))
+    assert [type(m.stages[-1]).__name__ for m in models] == ["GBTRegressionModel", "GBTClassificationModel"]
+    assert all(plan.startswith("LogicalRDD") for plan in plans) and len(plans) == 2
+    alone = boosted.fit(rows, reg)
+    predicted = lambda m: [r[0] for r in m.transform(rows).orderBy("project_id").select("predicted_cost_rate").collect()]
+    assert predicted(models[0]) == pytest.approx(predicted(alone))
+
+
 def test_metrics_against_hand_values(spark):
     df = spark.createDataFrame([(10.0, 12.0), (0.0, 1.0)], "actual_cost_rate double, predicted_cost_rate double")
     m = boosted.regression_metrics(df).first()
