@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from cases import brute_components, brute_repeats, docs_frame, hard_rows, shingle_set, words
@@ -315,6 +317,18 @@ def test_removed_bytes_equal_brute_force(spark, documents, monkeypatch, hot, spl
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute_repeats(rows, 50)
 
 
+def test_a_segment_travels_with_16_bytes_for_each_place():
+    """Ids, marks and places in lists of their own take more of the shuffle than the text."""
+    text = "".join(chr(c) for c in np.random.default_rng(1).integers(97, 123, 400))
+    batch = pa.record_batch({"doc_id": np.arange(2), "mark": np.array([7, 8], np.int32), "text": [text, text]})
+    found = repeats.Anchors(50).find([text.encode()])[1]
+    wanted = sorted(set(repeats._short(found, 6).tolist()))
+    batch = batch.append_column("anchors", pa.array([wanted, wanted], pa.list_(pa.int64())))
+    [sent] = repeats._segments(50, 6, SimpleNamespace(value=set()))(iter([batch]))
+    columns = [c for c in sent.schema.names if c != "segment"]
+    assert sent.num_rows and sum(sent.column(c).nbytes for c in columns) <= sent.num_rows * (8 + 4 + 2 * 16) + 4
+
+
 def test_equal_ids_and_null_ids_do_not_cover(spark):
     text = "0123456789" * 8
     rows = [(5, text), (5, text), (None, text), (6, "a" + text)]
