@@ -481,3 +481,28 @@ def test_quality_weights_do_not_depend_on_chunks(monkeypatch):
     for a, b in zip(whole.itertuples(), parts.itertuples(), strict=True):
         assert a.bias == pytest.approx(b.bias, abs=1e-12)
         assert np.frombuffer(a.weights, np.float32) == pytest.approx(np.frombuffer(b.weights, np.float32), abs=1e-6)
+
+
+def test_repeats_shuffle_the_texts_once(spark):
+    """The join that gives the segments and the one that cuts the texts read one shuffle of them."""
+    shared = "".join(chr(97 + i * i % 23) for i in range(80))
+    docs = spark.createDataFrame([(i, f"{i} alone {shared} {i} {'xyz'[i % 3] * 60}") for i in range(12)], "doc_id long, text string")
+    width = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(width)
+    spark.conf.set(width, "-1")
+    try:
+        kept = repeats.drop_repeats(docs)
+        assert sum(r["n_removed"] > 0 for r in kept.collect()) == 11
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0].splitlines()
+        assert [x for x in final if "ReusedExchange" in x and "Exchange hashpartitioning(doc_id" in x]
+    finally:
+        spark.conf.set(width, before)
+
+
+def test_anchors_spread_evenly_over_packs():
+    """An anchor has the least hash of its strings: by its leading bits as they are, the first of 64 packs would hold a third of all."""
+    text = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8).tobytes()
+    _, hashes, _, _ = repeats.Anchors(50).find([text])
+    packs = np.bincount((hashes >> np.uint64(50)).astype(np.int64), minlength=64)
+    assert len(hashes) > 10_000 and packs.max() < 1.5 * packs.mean() and packs.min() > packs.mean() / 1.5
