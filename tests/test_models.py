@@ -342,3 +342,21 @@ def test_forecast_per_series_with_reasons(spark):
     assert min(r.month for r in got if r.k == "walk with gaps") == dt.date(2023, 12, 1)
     widths = [r.upper - r.lower for r in sorted((r for r in got if r.k == "walk"), key=lambda r: r.step)]
     assert widths == sorted(widths)
+
+
+def test_documents_fit_both_models_at_once_and_the_split_is_placed_once(spark, rows, sf, monkeypatch):
+    """Neither model is fitted before the other begins, and all queries of a session read one split."""
+    import catalog.models as queries
+
+    placed, fits = [], []
+    split, fit_all = features.split, boosted.fit_all
+    monkeypatch.setattr(queries, "_fitted", {})
+    monkeypatch.setattr(features, "split", lambda *a, **k: placed.append(1) or split(*a, **k))
+    monkeypatch.setattr(boosted, "fit_all", lambda train, *e: fits.append(len(e)) or fit_all(train, *e))
+    monkeypatch.setattr(boosted, "regressor", lambda make=boosted.regressor: make(iterations=2, depth=2))
+    monkeypatch.setattr(boosted, "classifier", lambda make=boosted.classifier: make(iterations=2, depth=2))
+    assert queries.prediction_documents(spark, sf).count() == rows.count()
+    queries.cost_rate_model_metrics(spark, sf).collect()
+    assert fits == [2] and len(placed) == 1
+    sides = [sorted(r[0] for r in side.select("project_id").collect()) for side in queries.settled_split(spark, sf)]
+    assert sides == [sorted(r[0] for r in side.select("project_id").collect()) for side in split(rows)]
