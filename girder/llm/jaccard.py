@@ -35,12 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm.components import components
 from girder.llm.kernels import WordHasher, shingles, slices, text_bytes
-from girder.llm.scratch import rows_of_ids, scratch
+from girder.llm.scratch import BROADCAST_IDS, rows_of_ids, scratch
 from girder.session import settle
 
 NARROW, BROAD = 512, 4096  # bits of the parities that travel with prefix shingles
@@ -51,7 +51,9 @@ COUNTED = 0.22
 FEW = 16  # members of a prefix group that is compared as it is; larger groups go in blocks
 CROWD = 2  # pairs left per document above which the nearest are checked before the rest
 BLOCK = 512  # documents of a prefix group compared in one block
+STAR = 64  # sets that are compared with one set where it has been sent to
 TASK_PAIRS = 500_000  # different pairs that a task holds before it sends them on
+PAIRS = "doc_id long, other long, apart int"
 SETS = "doc_id long, n int, set_key binary, bits binary, counted int, token long, seen long"
 PACK_BYTES = 8 << 20  # text per pack of prefix shingles
 SLICE = 8 << 20  # bytes of text whose prefix shingles a task packs at once
@@ -255,11 +257,24 @@ def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (doc_id, other, apart) of different components, with both: the smaller as one, the larger as two."""
+    of_doc = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+    of_other = labels.select(F.col("node").alias("other"), "component")
+    own, component = F.coalesce("own", "doc_id"), F.coalesce("component", "other")
+    both = pairs.join(of_doc, "doc_id", "left").join(of_other, "other", "left").where(own != component)
+    return both.select("doc_id", "other", "apart", F.least(own, component).alias("one"), F.greatest(own, component).alias("two"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, repeated: bool, stepwise: bool = False) -> DataFrame:
     """The pairs (doc_id, other) whose whole sets are similar enough, as settled links (a, b).
 
     Parities as wide as the sets sort out most pairs of long documents before
-    whole sets travel.
+    whole sets travel. Sets travel to the set of ``other``, which is sent once
+    for STAR of them. With ``stepwise`` the nearest pair of each document is
+    checked first, then the nearest of any two components that pairs are left
+    between, then all pairs that still are between components: links inside a
+    component that is joined already are left out.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,42 +282,80 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         for whole in batches:
             for batch in slices(whole):
                 found = list(_sets(batch, hasher, size))
-                yield pa.record_batch(
+                rows = pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id"),
                         "n": np.array([len(x) for x in found], np.int32),
-                        "wide": pa.array([_wide_parity(x) for x in found], pa.binary()),
+                        "wide": pa.array([_wide_parity(x) if len(x) else b"" for x in found], pa.binary()),
                         "tokens": pa.array([x.tobytes() for x in found], pa.binary()),
                     }
                 )
+                yield rows.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("n").to_numpy().astype(np.int64) + batch.column("other_n").to_numpy()
             allowed = total - 2 * np.ceil(total * percent / (100.0 + percent) - 1e-9)
             apart = _apart(batch.column("wide").to_pylist(), batch.column("other_wide").to_pylist())
-            yield batch.select(["doc_id", "other"]).filter(pa.array(apart <= allowed))
+            out = pa.record_batch({"doc_id": batch.column("doc_id"), "other": batch.column("other"), "apart": apart.astype(np.int32)})
+            yield out.filter(pa.array(apart <= allowed))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("tokens"), batch.column("other_tokens"), strict=True):
-                a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                union = len(np.union1d(a, b))
-                keep.append(100 * (len(a) + len(b) - union) >= percent * union)
-            yield pa.record_batch({"a": batch.column("doc_id"), "b": batch.column("other")}).filter(pa.array(keep, pa.bool_()))
+            links = []
+            columns = (batch.column(c).to_pylist() for c in ("star", "doc_id", "is_hub"))
+            for star, doc_id, is_hub, tokens in zip(*columns, batch.column("tokens"), strict=True):
+                found = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if is_hub:
+                    hub = found.copy()
+                    continue
+                union = len(np.union1d(hub, found))
+                if 100 * (len(hub) + len(found) - union) >= percent * union:
+                    links.append((doc_id, star))
+            a, b = (pa.array([x[i] for x in links], pa.int64()) for i in (0, 1))
+            yield pa.record_batch({"a": a, "b": b})
 
     def joined(named: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
         own, other = found.select("doc_id", *columns), found.select(F.col("doc_id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns])
         return named.join(own, "doc_id").join(other, "other")
 
+    def stars(pairs: DataFrame) -> DataFrame:
+        """(doc_id, star, block, is_hub): which sets meet where."""
+        crowded = pairs.groupBy("other").count().where(F.col("count") > STAR).select("other", F.ceil(F.col("count") / STAR).alias("blocks"))
+        dealt = pairs.join(crowded, "other", "left")
+        block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.lit(0)).cast("int").alias("block")
+        rays = dealt.select("doc_id", F.col("other").alias("star"), block, F.lit(False).alias("is_hub"))
+        return rays.unionByName(rays.select(F.col("star").alias("doc_id"), "star", "block", F.lit(True).alias("is_hub")).distinct())
+
+    def compared(pairs: DataFrame, found: DataFrame, store) -> DataFrame:
+        places = store(stars(pairs.select("doc_id", "other")))
+        # A row of places is four times an id.
+        small = places.count() <= BROADCAST_IDS // 4
+        key = ["star", "block"]
+        met = found.select("doc_id", "tokens").join(F.broadcast(places) if small else places, "doc_id")
+        in_order = met.repartition(*key).sortWithinPartitions(*key, F.desc("is_hub"))
+        return in_order.mapInArrow(linked, "a long, b long")
+
     with scratch(docs.sparkSession) as store:
         named = store(pairs.select("doc_id", "other"))
         wanted = store(named.select("doc_id").unionByName(named.select(F.col("other").alias("doc_id"))).distinct())
+        rows = rows_of_ids(docs, wanted)
         fields = "doc_id long, n int, wide binary, tokens binary"
-        found = store(rows_of_ids(docs, wanted).mapInArrow(sets, fields).dropDuplicates(["doc_id"]))
-        close = store(joined(named, found, "n", "wide").mapInArrow(near, "doc_id long, other long"))
-        return settle(joined(close, found, "tokens").mapInArrow(linked, "a long, b long"))
+        found = store((rows.dropDuplicates(["doc_id"]) if repeated else rows).mapInArrow(sets, fields))
+        close = store(joined(named, found, "n", "wide").mapInArrow(near, PAIRS))
+        if not stepwise:
+            return settle(compared(close, found, store))
+        near_one = F.min(F.struct("apart", "other", "doc_id")).alias("x")
+        checked = store(close.groupBy("doc_id").agg(near_one).select("doc_id", "x.other"))
+        links, left = settle(compared(checked, found, store)), close
+        for between in (True, False):
+            left = store(_crossing(left.select("doc_id", "other", "apart").join(checked, ["doc_id", "other"], "left_anti"), components(links)))
+            if left.isEmpty():
+                break
+            checked = store(left.groupBy("one", "two").agg(near_one).select("x.doc_id", "x.other") if between else left.select("doc_id", "other"))
+            links = settle(links.unionByName(compared(checked, found, store)))
+        return links
 
 
 class Rows:
@@ -439,9 +492,6 @@ def _compared(percent: int):
     return run
 
 
-PAIRS = "doc_id long, other long, apart int"
-
-
 def _near_pairs(rows: DataFrame, percent: int, chain: bool) -> DataFrame:
     """Candidates (doc_id, other, apart) of prefix groups (token, doc_id, n, pos, component, members, bits), each once.
 
@@ -450,22 +500,49 @@ def _near_pairs(rows: DataFrame, percent: int, chain: bool) -> DataFrame:
     where there are many. Large groups are dealt to many tasks either way.
     """
     blocks = F.when(F.col("members") > FEW, F.ceil(F.col("members") / BLOCK)).otherwise(1).cast("int")
-    salt = [F.col("token")] if chain else [F.lit(3)]
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", *salt), F.col("blocks")).cast("int"))
+    block = F.pmod(F.xxhash64("doc_id", F.col("token") if chain else F.lit(3)), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", block)
+    figures = ["token", "doc_id", "n", "pos", "bits"]
     if chain:
-        dealt = dealt.withColumn("with", F.col("block"))
-    else:
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "token", "doc_id", "n", "pos", "component", "bits",
-        F.least("block", "with").alias("row_block"),
-        F.greatest("block", "with").alias("column_block"),
-        (F.col("block") > F.col("with")).cast("int").alias("own"),
-        (F.col("block") != F.col("with")).alias("split"),
-    )
+        in_order = dealt.select(*figures, "block").repartition("token", "block").sortWithinPartitions("token", "block", F.xxhash64("doc_id", "token"))
+        in_order = in_order.select(*figures, F.col("doc_id").alias("component"), *_in_block("block", "block"))
+        return in_order.mapInArrow(_chained(percent), PAIRS).dropDuplicates(["doc_id", "other"])
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*figures, "component", *_in_block("block", "with"))
     key = ["token", "row_block", "column_block"]
-    in_order = dealt.repartition(*key).sortWithinPartitions(*key, *([F.xxhash64("doc_id", "token")] if chain else []))
-    return in_order.mapInArrow((_chained if chain else _compared)(percent), PAIRS).dropDuplicates(["doc_id", "other"])
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compared(percent), PAIRS)
+
+
+def _in_block(block: str, other: str) -> list[Column]:
+    """Where a row of ``block`` is compared with those of another, or of its own."""
+    return [
+        F.least(block, other).alias("row_block"),
+        F.greatest(block, other).alias("column_block"),
+        (F.col(block) > F.col(other)).cast("int").alias("own"),
+        (F.col(block) != F.col(other)).alias("split"),
+    ]
+
+
+def _open_pairs(slim: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates (doc_id, other, apart), each once, between components, of prefix groups whose members have not all met."""
+
+    def open_rows(rows: DataFrame, mixed) -> DataFrame:
+        labelled = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return mixed(labelled.withColumn("component", F.coalesce("component", "doc_id")))
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        group = Window.partitionBy("token")
+        ranged = rows.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group), "rows": F.count("*").over(group)})
+        return ranged.where((F.col("low") < F.col("high")) & (F.col("rows") > CHAIN + 1))
+
+    def by_totals(rows: DataFrame) -> DataFrame:
+        totals = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return rows.join(totals.where("low < high").select("token"), "token")
+
+    # Groups of one block lie together for the window already. All CHAIN + 1 members of one have met in the first round.
+    one_block = open_rows(slim.where(F.col("members").between(CHAIN + 2, BLOCK)), by_window)
+    whole = one_block.withColumn("block", F.lit(0)).select("token", "doc_id", "n", "pos", "bits", "component", *_in_block("block", "block"))
+    pairs = whole.sortWithinPartitions("token").mapInArrow(_compared(percent), PAIRS)
+    return pairs.unionByName(_near_pairs(open_rows(slim.where(F.col("members") > BLOCK), by_totals), percent, chain=False)).dropDuplicates(["doc_id", "other"])
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -501,7 +578,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int, order, store) -> DataFrame:
     """Verified links (a, b) that join every component; ``sets`` has the size, parity and counted shingles of every document."""
     sets = sets.where("doc_id is not null and n > 0")
-    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+    repeated = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
         sets = sets.dropDuplicates(["doc_id", "set_key"])
     figures, bits = sets.select("doc_id", "n", "counted"), sets.select("doc_id", "bits")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -517,21 +595,18 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int, order, sto
     place = F.when(inside, alone + F.row_number().over(of_doc.orderBy("pos")) - 1).otherwise(F.col("pos"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     placed = met.join(figures, "doc_id").withColumn("place", place.cast("int")).where(F.col("place") < length)
-    slim = store(placed.select("token", "doc_id", "n", F.col("place").alias("pos"), "members"))
+    # With the parities, whose rows of one document lie next to each other.
+    slim = store(placed.select("token", "doc_id", "n", F.col("place").alias("pos"), "members").join(bits, "doc_id"))
 
     # First round: every document against a few members of each of its prefix groups.
-    chained = _near_pairs(slim.join(bits, "doc_id").withColumn("component", F.col("doc_id")), percent, chain=True)
-    links = _verify(chained, docs, size, percent)
+    chained = _near_pairs(slim, percent, chain=True)
+    links = _verify(chained, docs, size, percent, repeated, stepwise=True)
 
     # Later rounds: what shares a prefix shingle and is not in one component yet.
     nearest_only = True
     while True:
         labels = components(links)
-        labelled = slim.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_rows = labelled.join(mixed.where("low < high").select("token"), "token").join(bits, "doc_id")
-        found = store(_near_pairs(open_rows, percent, chain=False))
+        found = store(_open_pairs(slim, labels, percent))
         # Many pairs are left only where groups of near copies have not met yet: for these, the nearest first.
         nearest_only = nearest_only and found.count() > CROWD * sets.count()
         if nearest_only:
@@ -539,7 +614,7 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int, order, sto
             side = labels.select(F.col("node").alias("other"), "component")
             aimed = found.join(side, "other", "left").withColumn("component", F.coalesce("component", "other"))
             found = aimed.groupBy("doc_id", "component").agg(F.min(F.struct("apart", "other")).alias("x")).select("doc_id", F.col("x.other").alias("other"))
-        more = _verify(found.select("doc_id", "other"), docs, size, percent)
+        more = _verify(found.select("doc_id", "other"), docs, size, percent, repeated)
         links = settle(links.unionByName(more))
         if not nearest_only:
             return links
