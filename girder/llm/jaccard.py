@@ -50,7 +50,7 @@ FREQUENT = 200_000  # shingles whose order by count is kept (16 bytes each); all
 COUNTED = 0.22
 FEW = 16  # members of a prefix group that is compared as it is; larger groups go in blocks
 CROWD = 2  # pairs left per document above which the nearest are checked before the rest
-BLOCK = 512  # documents of a prefix group compared in one block
+BLOCK = 2048  # documents of a prefix group compared in one block; a larger group sends a row to each block it meets
 STAR = 64  # sets that are compared with one set where it has been sent to
 TASK_PAIRS = 500_000  # different pairs that a task holds before it sends them on
 PAIRS = "doc_id long, other long, apart int"
@@ -144,6 +144,7 @@ def _wide_parity(found: np.ndarray) -> bytes:
 
 
 OTHERS = 1 << 40  # above any rank
+PLACES = "array<struct<row_block: int, column_block: int, own: int, split: boolean>>"
 PACKED = "pack int, keys binary, ids binary, places binary"
 
 
@@ -492,57 +493,83 @@ def _compared(percent: int):
     return run
 
 
-def _near_pairs(rows: DataFrame, percent: int, chain: bool) -> DataFrame:
-    """Candidates (doc_id, other, apart) of prefix groups (token, doc_id, n, pos, component, members, bits), each once.
+FIGURES = ["token", "doc_id", "n", "pos", "bits"]
 
-    With ``chain`` a group is read in a random order, its own for each token, and
-    each member meets those next to it; otherwise all members meet, in blocks
-    where there are many. Large groups are dealt to many tasks either way.
+
+def _chain_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (doc_id, other, apart) of prefix groups (token, doc_id, n, pos, members, bits), each once.
+
+    A group is read in a random order, its own for each token, and each member
+    meets those next to it. Large groups are dealt to many tasks.
+    """
+    blocks = F.when(F.col("members") > FEW, F.ceil(F.col("members") / BLOCK)).otherwise(1)
+    dealt = rows.select(*FIGURES, F.pmod(F.xxhash64("doc_id", "token"), blocks).cast("int").alias("block"))
+    in_order = dealt.repartition("token", "block").sortWithinPartitions("token", "block", F.xxhash64("doc_id", "token"))
+    in_order = in_order.select(*FIGURES, F.col("doc_id").alias("component"), *_in_block("block", "block"))
+    return in_order.mapInArrow(_chained(percent), PAIRS).dropDuplicates(["doc_id", "other"])
+
+
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (doc_id, other, apart) of the members of groups (token, doc_id, n, pos, component, bits) in different components.
+
+    Members of the component with the most of a group need not meet each other:
+    their blocks meet those of the others, which also meet among themselves.
+    Where most of a group is joined already, its rows are sent about once.
     """
-    blocks = F.when(F.col("members") > FEW, F.ceil(F.col("members") / BLOCK)).otherwise(1).cast("int")
-    block = F.pmod(F.xxhash64("doc_id", F.col("token") if chain else F.lit(3)), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", block)
-    figures = ["token", "doc_id", "n", "pos", "bits"]
-    if chain:
-        in_order = dealt.select(*figures, "block").repartition("token", "block").sortWithinPartitions("token", "block", F.xxhash64("doc_id", "token"))
-        in_order = in_order.select(*figures, F.col("doc_id").alias("component"), *_in_block("block", "block"))
-        return in_order.mapInArrow(_chained(percent), PAIRS).dropDuplicates(["doc_id", "other"])
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*figures, "component", *_in_block("block", "with"))
+    counted = rows.groupBy("token", "component").count().groupBy("token")
+    totals = counted.agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("rows"))
+    totals = totals.where(F.col("most.count") < F.col("rows")).select(
+        "token",
+        F.col("most.component").alias("most"),
+        F.ceil(F.col("most.count") / BLOCK).cast("int").alias("most_blocks"),
+        F.ceil((F.col("rows") - F.col("most.count")) / BLOCK).cast("int").alias("blocks"),
+    )
+    first = F.col("component") == F.col("most")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.when(first, F.col("most_blocks")).otherwise(F.col("blocks"))).cast("int")
+    dealt = rows.join(totals, "token").withColumns({"first": first, "block": block})
+    facing = F.when(F.col("first"), F.col("blocks")).otherwise(F.col("most_blocks"))
+
+    def with_most(k: Column) -> Column:
+        one, two = F.when(F.col("first"), F.col("block")).otherwise(k), F.when(F.col("first"), k).otherwise(F.col("block"))
+        return F.struct(one.alias("row_block"), (-1 - two).alias("column_block"), (~F.col("first")).cast("int").alias("own"), F.lit(True).alias("split"))
+
+    def among_others(k: Column) -> Column:
+        return F.struct(*_in_block(F.col("block"), k))
+
+    met = F.transform(F.sequence(F.lit(0), facing - 1), with_most)
+    others = F.when(~F.col("first"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), among_others))
+    dealt = dealt.select(*FIGURES, "component", F.explode(F.concat(met, F.coalesce(others, F.array().cast(PLACES)))).alias("at"))
     key = ["token", "row_block", "column_block"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compared(percent), PAIRS)
+    in_order = dealt.select(*FIGURES, "component", "at.*").repartition(*key).sortWithinPartitions(*key)
+    return in_order.mapInArrow(_compared(percent), PAIRS)
 
 
-def _in_block(block: str, other: str) -> list[Column]:
+def _in_block(block: Column | str, other: Column | str) -> list[Column]:
     """Where a row of ``block`` is compared with those of another, or of its own."""
+    block, other = (F.col(x) if isinstance(x, str) else x for x in (block, other))
     return [
         F.least(block, other).alias("row_block"),
         F.greatest(block, other).alias("column_block"),
-        (F.col(block) > F.col(other)).cast("int").alias("own"),
-        (F.col(block) != F.col(other)).alias("split"),
+        (block > other).cast("int").alias("own"),
+        (block != other).alias("split"),
     ]
 
 
 def _open_pairs(slim: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidates (doc_id, other, apart), each once, between components, of prefix groups whose members have not all met."""
 
-    def open_rows(rows: DataFrame, mixed) -> DataFrame:
-        labelled = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return mixed(labelled.withColumn("component", F.coalesce("component", "doc_id")))
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        group = Window.partitionBy("token")
-        ranged = rows.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group), "rows": F.count("*").over(group)})
-        return ranged.where((F.col("low") < F.col("high")) & (F.col("rows") > CHAIN + 1))
-
-    def by_totals(rows: DataFrame) -> DataFrame:
-        totals = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return rows.join(totals.where("low < high").select("token"), "token")
+    def labelled(rows: DataFrame) -> DataFrame:
+        found = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return found.withColumn("component", F.coalesce("component", "doc_id"))
 
     # Groups of one block lie together for the window already. All CHAIN + 1 members of one have met in the first round.
-    one_block = open_rows(slim.where(F.col("members").between(CHAIN + 2, BLOCK)), by_window)
-    whole = one_block.withColumn("block", F.lit(0)).select("token", "doc_id", "n", "pos", "bits", "component", *_in_block("block", "block"))
-    pairs = whole.sortWithinPartitions("token").mapInArrow(_compared(percent), PAIRS)
-    return pairs.unionByName(_near_pairs(open_rows(slim.where(F.col("members") > BLOCK), by_totals), percent, chain=False)).dropDuplicates(["doc_id", "other"])
+    group = Window.partitionBy("token")
+    rows = labelled(slim.where(F.col("members").between(CHAIN + 2, BLOCK)))
+    rows = rows.withColumns({"low": F.min("component").over(group), "high": F.max("component").over(group), "rows": F.count("*").over(group)})
+    rows = rows.where((F.col("low") < F.col("high")) & (F.col("rows") > CHAIN + 1)).withColumn("block", F.lit(0))
+    whole = rows.select(*FIGURES, "component", *_in_block("block", "block")).sortWithinPartitions("token")
+    large = labelled(slim.where(F.col("members") > BLOCK))
+    return whole.mapInArrow(_compared(percent), PAIRS).unionByName(_block_pairs(large, percent)).dropDuplicates(["doc_id", "other"])
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -599,7 +626,7 @@ def _links(docs: DataFrame, sets: DataFrame, size: int, percent: int, order, sto
     slim = store(placed.select("token", "doc_id", "n", F.col("place").alias("pos"), "members").join(bits, "doc_id"))
 
     # First round: every document against a few members of each of its prefix groups.
-    chained = _near_pairs(slim, percent, chain=True)
+    chained = _chain_pairs(slim, percent)
     links = _verify(chained, docs, size, percent, repeated, stepwise=True)
 
     # Later rounds: what shares a prefix shingle and is not in one component yet.
