@@ -75,25 +75,22 @@ def _as_arrays(nodes: pd.DataFrame) -> list[dict]:
     return trees
 
 
-def _leaves(tree: dict) -> list[tuple[float, list[int], np.ndarray, list[list[tuple[int, bool]]]]]:
-    """For each leaf its value, the features on its path, their shares of rows, and the (node, left) steps of each."""
+def _leaves(tree: dict) -> list[tuple[float, np.ndarray]]:
+    """For each leaf its value and the shares of rows of the features on its path."""
     found = []
     open_ = [(0, {}, {})]
     while open_:
         node, shares, steps = open_.pop()
         if tree["left"][node] < 0:
-            found.append((float(tree["mean"][node]), list(shares), np.array(list(shares.values())), list(steps.values())))
+            found.append((float(tree["mean"][node]), np.array(list(shares.values()))))
             continue
-        f = int(tree["feature"][node])
-        for child, left in ((int(tree["left"][node]), True), (int(tree["right"][node]), False)):
-            part = float(tree["rows"][child]) / float(tree["rows"][node])
-            open_.append((child, shares | {f: shares.get(f, 1.0) * part}, steps | {f: [*steps.get(f, []), (node, left)]}))
+        open_ += _sides(tree, node, shares, steps)
     return found
 
 
 def expected_value(trees: list[dict]) -> float:
     """The prediction expected without knowing a feature."""
-    return sum(t["weight"] * sum(value * shares.prod() for value, _, shares, _ in _leaves(t)) for t in trees)
+    return sum(t["weight"] * sum(value * shares.prod() for value, shares in _leaves(t)) for t in trees)
 
 
 def _leaf_values(goes: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -114,40 +111,117 @@ def _leaf_values(goes: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley_values(x: np.ndarray, trees: list[dict], width: int) -> np.ndarray:
-    """Shapley values of all rows; rows that fall alike on a leaf's path are worked out once."""
-    out = np.zeros((len(x), width))
+BITS = 9  # decisions a table covers
+
+
+def _pieces(tree: dict) -> list[tuple]:
+    """The tree cut into parts of at most ``BITS`` decisions; a deeper leaf is a part of its own.
+
+    A part has the decisions its leaves depend on, each a list of (node, left)
+    steps that a row takes all or not, the features it credits, its leaves as
+    (worth, features, shares, decisions of each feature), and the values
+    (feature, pattern) of all patterns of its decisions, None if there are more
+    than 2^BITS.
+    """
+    below: dict[int, list[int]] = {}
+
+    def splits(n: int) -> list[int]:
+        if tree["left"][n] < 0:
+            return []
+        below[n] = [n, *splits(int(tree["left"][n])), *splits(int(tree["right"][n]))]
+        return below[n]
+
+    splits(0)
+    found = []
+    open_ = [(0, {}, {})]
+    while open_:
+        node, shares, steps = open_.pop()
+        inside = below.get(node, [])
+        if inside and len(steps) + len(inside) > BITS:
+            open_ += [(child, *taken) for child, *taken in _sides(tree, node, shares, steps)]
+            continue
+        decisions = [*steps.values(), *([(n, True)] for n in inside)]
+        known = {f: [(i, True)] for i, f in enumerate(steps)}
+        place = {n: len(steps) + i for i, n in enumerate(inside)}
+        leaves, todo = [], [(node, shares, known)]
+        while todo:
+            n, part, way = todo.pop()
+            if tree["left"][n] < 0:
+                if part:
+                    leaves.append((tree["weight"] * float(tree["mean"][n]), list(part), np.array(list(part.values())), list(way.values())))
+                continue
+            todo += _sides(tree, n, part, way, place)
+        if not leaves:
+            continue
+        credited = sorted({f for _, features, _, _ in leaves for f in features})
+        patterns = (np.arange(2 ** len(decisions))[:, None] >> np.arange(len(decisions)) & 1).astype(bool) if len(decisions) <= BITS else None
+        found.append((decisions, credited, leaves, None if patterns is None else _worth(leaves, credited, patterns)))
+    return found
+
+
+def _sides(tree: dict, node: int, shares: dict, steps: dict, names: dict | None = None) -> list[tuple[int, dict, dict]]:
+    """The children of a node with their features' shares and steps; ``names`` numbers the nodes of the steps."""
+    f, out = int(tree["feature"][node]), []
+    for child, left in ((int(tree["left"][node]), True), (int(tree["right"][node]), False)):
+        part = float(tree["rows"][child]) / float(tree["rows"][node])
+        step = (node if names is None else names[node], left)
+        out.append((child, shares | {f: shares.get(f, 1.0) * part}, steps | {f: [*steps.get(f, []), step]}))
+    return out
+
+
+def _worth(leaves: list[tuple], credited: list[int], patterns: np.ndarray) -> np.ndarray:
+    """Shapley values (feature, pattern) of leaves for patterns of decisions."""
+    out = np.zeros((len(credited), len(patterns)))
+    for value, features, shares, ways in leaves:
+        goes = np.stack([np.logical_and.reduce([patterns[:, i] == side for i, side in way]) for way in ways], axis=1)
+        out[[credited.index(f) for f in features]] += value * _leaf_values(goes.astype(float), shares).T
+    return out
+
+
+def shapley_values(x: np.ndarray, trees: list[dict], width: int, pieces: list[list[tuple]] | None = None) -> np.ndarray:
+    """Shapley values of all rows, read off the tables of the trees' ``pieces`` by the decisions a row meets."""
+    out = np.zeros((width, len(x)))
     if not len(x):
-        return out
-    for t in trees:
+        return out.T
+    columns = np.ascontiguousarray(x.T)
+    for t, parts in zip(trees, pieces or map(_pieces, trees), strict=True):
         left = np.zeros((len(t["left"]), len(x)), bool)
         for n in np.flatnonzero(t["left"] >= 0):
-            value = x[:, t["feature"][n]]
+            value = columns[t["feature"][n]]
             left[n] = np.isin(value, t["sets"][n]) if n in t["sets"] else value <= t["threshold"][n]
-        for value, features, shares, steps in _leaves(t):
-            if not features:
-                continue
-            goes = np.stack([np.logical_and.reduce([left[n] == side for n, side in way]) for way in steps])
-            patterns, first, back = np.unique((goes.T << np.arange(len(features))).sum(axis=1), return_index=True, return_inverse=True)
-            out[:, features] += t["weight"] * value * _leaf_values(goes.T[first].astype(float), shares)[back]
-    return out
+        for decisions, credited, leaves, table in parts:
+            taken = [np.logical_and.reduce([left[n] if side else ~left[n] for n, side in way]) for way in decisions]
+            if table is None:
+                patterns, back = np.unique(np.stack(taken, axis=1), axis=0, return_inverse=True)
+                table, at = _worth(leaves, credited, patterns), back.ravel()
+            else:
+                at = np.zeros(len(x), np.uint16)
+                for i, bit in enumerate(taken):
+                    at |= np.left_shift(bit, i, dtype=np.uint16)
+                at = at.astype(np.intp)
+            for f, values in zip(credited, table, strict=True):
+                out[f] += values.take(at, mode="clip")
+    return out.T
 
 
 def contributions(encoded: DataFrame, model: PipelineModel, names: Sequence[str]) -> DataFrame:
     """Adds ``contributions``, the Shapley values in feature order, and ``base_value``.
 
     ``encoded`` has the model's features vector. The node table holds at most
-    iterations x 2^(depth+1) rows, whatever the data, and travels with the task.
+    iterations x 2^(depth+1) rows, whatever the data, and the tables of its parts
+    are worked out once; both are sent to each executor once.
     """
     spark = encoded.sparkSession
     trees = _as_arrays(tree_nodes(model, spark).toPandas())
+    sent = spark.sparkContext.broadcast((trees, [_pieces(t) for t in trees]))
     width = len(names)
 
     @F.pandas_udf("array<double>")
     def credit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trees, pieces = sent.value
         for features in batches:
             x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, width))
-            yield pd.Series(list(shapley_values(x, trees, width)))
+            yield pd.Series(list(np.ascontiguousarray(shapley_values(x, trees, width, pieces))))
 
     base = F.lit(expected_value(trees))
     return encoded.withColumns({"contributions": credit(vector_to_array("features")), "base_value": base})

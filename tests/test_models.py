@@ -164,6 +164,25 @@ def test_shapley_values_equal_all_orders():
     assert attribution.shapley_values(np.zeros((0, 6)), [tree], 6).shape == (0, 6)
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4, 9])
+def test_shapley_values_are_read_off_tables(monkeypatch, bits):
+    """Rows are looked up in tables made before; only a leaf with more decisions than a table has works out its patterns."""
+    monkeypatch.setattr(attribution, "BITS", bits)
+    rng = np.random.default_rng(7)
+    for depth in (0, 1, 4, 6):
+        trees = [grown_tree(rng, 5, depth) for _ in range(4)]
+        x = rng.normal(size=(9, 6))
+        x[:, 0] = rng.integers(0, 4, 9)
+        want = sum(np.array([brute_shapley(t, row, 6) for row in x]) for t in trees)
+        assert attribution.shapley_values(x, trees, 6) == pytest.approx(want, abs=1e-12)
+        pieces = [attribution._pieces(t) for t in trees]
+        assert all(len(table[0]) == 2 ** len(decisions) <= 2**bits for parts in pieces for decisions, _, _, table in parts if table is not None)
+        if bits == 9:
+            with monkeypatch.context() as m:
+                m.setattr(attribution, "_leaf_values", None)
+                assert attribution.shapley_values(x, trees, 6, pieces) == pytest.approx(want, abs=1e-12)
+
+
 def test_contributions_of_a_fitted_model(spark, rows, reg):
     """Shapley values of the fitted trees by the definition, their sum, and what is read off them."""
     names = features.feature_names(reg)
