@@ -212,7 +212,8 @@ def over_budget_probability_histogram(spark: SparkSession, sf: str) -> DataFrame
 
 @query()
 def project_risk_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return boosted.result_table(scored_projects(spark, sf))
+    """Scored once: the sort reads its rows twice, for the bounds of its ranges and to deal them out."""
+    return boosted.result_table(settle(scored_projects(spark, sf).select(*boosted.RESULT_COLUMNS)))
 
 
 @query()
@@ -411,6 +412,22 @@ def feature_importance_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("row_count"), *rules)
 
 
+def order_violations(ranking: DataFrame, score: str) -> DataFrame:
+    """Rows of a ranking, and how many have a higher score than the row before.
+
+    A row is compared within its partition, the first of one with the last of
+    the partition before, so no task sees the whole ranking.
+    """
+    placed = settle(ranking.select(F.col(score).alias("score"), F.monotonically_increasing_id().alias("place")))
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    ends = placed.groupBy("part").agg(F.max_by("score", "place").alias("end"))
+    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))
+    before = F.lag(F.struct("score")).over(Window.partitionBy("part").orderBy("place"))
+    rows = placed.withColumn("row_before", before).join(F.broadcast(ends), "part")
+    rows = rows.withColumn("before", F.when(F.col("row_before").isNull(), F.col("end")).otherwise(F.col("row_before")["score"]))
+    return rows.agg(F.count("*").alias("ranked"), *broken(order=F.col("before").isNull() | (F.col("score") <= F.col("before"))))
+
+
 @query(
     """SELECT least(count(*), 20) AS row_count, count(*) AS ranked, 0::BIGINT AS order_violations, 0::BIGINT AS better_left_out FROM model_features""",
     USES,
@@ -418,10 +435,8 @@ def feature_importance_rules(spark: SparkSession, sf: str) -> DataFrame:
 )
 def top_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
     """The ranking holds every project by falling score; the twenty listed are its first."""
-    scored = settle(scored_projects(spark, sf))
-    ranking = boosted.result_table(scored).withColumn("place", F.monotonically_increasing_id())
-    before = F.lag("risk_score").over(Window.orderBy("place"))
-    order = ranking.withColumn("before", before).agg(F.count("*").alias("ranked"), *broken(order=F.col("before").isNull() | (F.col("risk_score") <= F.col("before"))))
+    scored = settle(scored_projects(spark, sf).select(*boosted.RESULT_COLUMNS))
+    order = order_violations(boosted.result_table(scored), "risk_score")
     top = boosted.result_table(scored, rows=20)
     last = top.agg(F.min(F.struct("risk_score", (-F.col("project_id")).alias("p"))))
     better = scored.join(top, "project_id", "left_anti").filter(F.struct("risk_score", (-F.col("project_id")).alias("p")) > last.scalar())

@@ -363,6 +363,19 @@ def test_forecast_per_series_with_reasons(spark):
     assert widths == sorted(widths)
 
 
+def test_order_of_a_ranking_is_judged_in_many_tasks(spark):
+    """Rising scores count within a partition and across a border, and no window takes in all rows."""
+    from catalog.models import order_violations
+
+    falling = spark.range(1000, numPartitions=7).select((1000.0 - F.col("id")).alias("s"))
+    assert tuple(order_violations(falling, "s").first()) == (1000, 0)
+    edges = spark.range(12, numPartitions=3).select(F.when(F.col("id") == 4, 50.0).when(F.col("id") == 9, 40.0).when(F.col("id") == 11, None).otherwise(20.0 - F.col("id")).alias("s"))
+    assert tuple(order_violations(edges, "s").first()) == (12, 3)
+    assert order_violations(falling.limit(0), "s").first()["ranked"] == 0
+    plan = order_violations(falling, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Window [lag" in line and ", [place" in line and "[part" in line]
+
+
 def test_documents_fit_both_models_at_once_and_the_split_is_placed_once(spark, rows, sf, monkeypatch):
     """Neither model is fitted before the other begins, and all queries of a session read one split."""
     import catalog.models as queries
