@@ -392,3 +392,61 @@ def test_documents_fit_both_models_at_once_and_the_split_is_placed_once(spark, r
     assert fits == [2] and len(placed) == 1
     sides = [sorted(r[0] for r in side.select("project_id").collect()) for side in queries.settled_split(spark, sf)]
     assert sides == [sorted(r[0] for r in side.select("project_id").collect()) for side in split(rows)]
+
+
+def test_blocks_grow_the_trees_of_mllib(spark, monkeypatch):
+    """Same nodes as by MLlib's own fit: more rows than it draws thresholds from, zeros, a constant, two-valued and equal features."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
+    from girder.models import blocks
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 4)).round(2)
+    x[:, 0] = np.where(x[:, 0] < 0, 0.0, x[:, 0])
+    x[:, 1] = rng.integers(0, 5, len(x)) - 2.0
+    kinds = [("a", "x")[i] for i in rng.integers(0, 2, len(x))]
+    rate = x[:, 0] * 3 + (x[:, 1] > 0) * 5 + (np.array(kinds) == "x") * 2 + x[:, 2] ** 2 + rng.normal(size=len(x)) * 3
+    data = [(*map(float, r), k, c, float(v), int(v > 5)) for r, k, c, v in zip(x, kinds, ("p", "q") * 6000, rate)]
+    df = spark.createDataFrame(data, f"n0 double, n1 double, n2 double, n3 double, k string, c string, {boosted.TARGET} double, {boosted.LABEL} int")
+    encoded = features.encoder(numeric=("n0", "n1", "n2", "n3", "same"), categorical=("k", "c")).fit(df := df.withColumn("same", F.lit(4.0))).transform(df).coalesce(1)
+    monkeypatch.setattr(blocks, "BLOCK", 5000)
+    monkeypatch.setattr(blocks, "KEPT", 2)
+
+    class Fitted:
+        def __init__(self, model):
+            self.stages = [model]
+
+    for own, plain, column in ((boosted.regressor(5, depth=4), GBTRegressor(), "predicted_cost_rate"), (boosted.classifier(5, depth=4), GBTClassifier(), "over_budget_vector")):
+        for p, v in own._paramMap.items():
+            plain._set(**{p.name: v})
+        models = own.fit(encoded), plain.fit(encoded)
+        assert type(models[0]) is type(models[1]) and models[0].getMaxDepth() == 4
+        nodes = [attribution.tree_nodes(Fitted(m), spark).toPandas().sort_values(["treeID", "id"]).reset_index(drop=True) for m in models]
+        for c in nodes[1].columns:
+            if c in ("prediction", "values"):
+                assert np.concatenate([np.atleast_1d(v) for v in nodes[0][c]]) == pytest.approx(np.concatenate([np.atleast_1d(v) for v in nodes[1][c]]), rel=1e-9, abs=1e-9)
+            else:
+                assert nodes[0][c].tolist() == nodes[1][c].tolist(), c
+        value = vector_to_array(column)[1] if column == "over_budget_vector" else F.col(column)
+        predicted = [m.transform(encoded).select(value.alias("v")).toPandas()["v"].to_numpy() for m in models]
+        assert predicted[0] == pytest.approx(predicted[1], rel=1e-9)
+        assert list(models[0].featureImportances.toArray()) == pytest.approx(list(models[1].featureImportances.toArray()))
+    with pytest.raises(Exception, match="no label"):
+        own.fit(encoded.withColumn(boosted.LABEL, F.when(F.col("n3") < 0, F.col(boosted.LABEL))))
+    assert boosted.regressor(2).setMinInfoGain(0.5).fit(encoded).getMinInfoGain() == 0.5
+
+
+def test_a_level_of_a_fit_is_read_by_blocks(spark):
+    """A pass reads arrays of many rows, not a row at a time, and as many tasks as there are blocks for."""
+    from girder.models import blocks
+
+    rows = spark.range(300, numPartitions=8).select(F.array(F.col("id").cast("double")).alias("x"), F.col("id").cast("double").alias(boosted.TARGET))
+    from pyspark.ml.functions import array_to_vector
+
+    held = blocks._blocks(boosted.regressor(), rows.withColumn("features", array_to_vector("x")), 300, [np.array([99.5])], False)
+    got = held.collect()
+    assert held.getNumPartitions() == 1 and sum(b.shape[1] for b, _, _ in got) == 300 and len(got) <= 8
+    assert sorted(np.concatenate([y[b[0] == 0] for b, y, _ in got])) == list(range(100))
+    held.unpersist()
